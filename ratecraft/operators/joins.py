@@ -33,7 +33,13 @@ def _present(flag: str, value, default):
     return F.when(F.col(flag), value).otherwise(default)
 
 
-def join_user_stats(rows: DataFrame, users: DataFrame, *, salt_cols=None,
+def _finish(j: DataFrame, new: dict, drop: list[str]) -> DataFrame:
+    """One projection: replace/add ``new`` columns, drop helpers."""
+    keep = [F.col(f"`{c}`") for c in j.columns if c not in new and c not in drop]
+    return j.select(*keep, *[v.alias(k) for k, v in new.items()])
+
+
+def join_user_stats(rows: DataFrame, users: DataFrame, *, salt_cols=None, count_from=None,
                     rows_per_task: int = ROWS_PER_TASK,
                     max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
     """O21 + O25: user_mean/std (default global), count/range (default 0),
@@ -42,33 +48,37 @@ def join_user_stats(rows: DataFrame, users: DataFrame, *, salt_cols=None,
                      "user_count", "user_range", "user_avg_price")
     j = salted_join(rows, u.withColumnsRenamed({
         "user_mean": "_um", "user_std": "_us", "user_count": "_uc",
-        "user_range": "_ur", "user_avg_price": "_uap"}), ["user_id"], rows_col="u_rows",
+        "user_range": "_ur", "user_avg_price": "_uap"}), ["user_id"],
+        rows_col=None if count_from is not None else "u_rows",
+        counts_from=count_from,
         salt_cols=salt_cols, rows_per_task=rows_per_task, max_hot_keys=max_hot_keys)
-    return (j.withColumns({
+    return _finish(j, {
         "u_present": F.coalesce(F.col("u_present"), F.lit(False)),
         "user_mean": _present("u_present", F.col("_um"), GM()),
         "user_std": _present("u_present", F.col("_us"), GS()),
         "user_count": _present("u_present", F.col("_uc"), F.lit(0.0)),
         "user_range": _present("u_present", F.col("_ur"), F.lit(0.0)),
         "user_avg_price": _present("u_present", F.col("_uap"), F.col("place_price")),
-    }).drop("_um", "_us", "_uc", "_ur", "_uap", "u_rows"))
+    }, ["_um", "_us", "_uc", "_ur", "_uap", "u_rows"])
 
 
-def join_place_stats(rows: DataFrame, places: DataFrame, *, salt_cols=None,
+def join_place_stats(rows: DataFrame, places: DataFrame, *, salt_cols=None, count_from=None,
                      rows_per_task: int = ROWS_PER_TASK,
                      max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
     """place_mean/std (default global), place_count (default 0)."""
     p = places.select("place_id", "p_rows", "p_present",
                       F.col("place_mean").alias("_pm"), F.col("place_std").alias("_ps"),
                       F.col("place_count").alias("_pc"))
-    j = salted_join(rows, p, ["place_id"], rows_col="p_rows", salt_cols=salt_cols,
+    j = salted_join(rows, p, ["place_id"], rows_col=None if count_from is not None else "p_rows",
+                    counts_from=count_from,
+                    salt_cols=salt_cols,
                     rows_per_task=rows_per_task, max_hot_keys=max_hot_keys)
-    return (j.withColumns({
+    return _finish(j, {
         "p_present": F.coalesce(F.col("p_present"), F.lit(False)),
         "place_mean": _present("p_present", F.col("_pm"), GM()),
         "place_std": _present("p_present", F.col("_ps"), GS()),
         "place_count": _present("p_present", F.col("_pc"), F.lit(0.0)),
-    }).drop("_pm", "_ps", "_pc", "p_rows"))
+    }, ["_pm", "_ps", "_pc", "p_rows"])
 
 
 def join_category_city(rows: DataFrame, categories: DataFrame, cities: DataFrame) -> DataFrame:
@@ -80,16 +90,16 @@ def join_category_city(rows: DataFrame, categories: DataFrame, cities: DataFrame
                       F.col("city_mean").alias("_ym"))
     j = (rows.join(bounded_broadcast(c), "place_category", "left")
          .join(bounded_broadcast(y), "place_city", "left"))
-    return (j.withColumns({
+    return _finish(j, {
         "c_present": F.coalesce(F.col("c_present"), F.lit(False)),
         "y_present": F.coalesce(F.col("y_present"), F.lit(False)),
         "category_mean": _present("c_present", F.col("_cm"), GM()),
         "city_mean": _present("y_present", F.col("_ym"), GM()),
-    }).drop("_cm", "_ym"))
+    }, ["_cm", "_ym"])
 
 
 def join_preferences(rows: DataFrame, user_cat: DataFrame, user_city: DataFrame, *,
-                     salt_cols=None, rows_per_task: int = ROWS_PER_TASK,
+                     salt_cols=None, count_from=None, rows_per_task: int = ROWS_PER_TASK,
                      max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
     """User-category and user-city preference; an absent pair takes
     the global mean, a present pair with only null ratings stays null."""
@@ -97,16 +107,20 @@ def join_preferences(rows: DataFrame, user_cat: DataFrame, user_city: DataFrame,
                          F.col("user_category_pref").alias("_ucp"))
     uy = user_city.select("user_id", "place_city", "ucy_rows", "ucy_present",
                           F.col("user_city_pref").alias("_uyp"))
-    j = salted_join(rows, uc, ["user_id", "place_category"], rows_col="uc_rows",
+    j = salted_join(rows, uc, ["user_id", "place_category"],
+                    rows_col=None if count_from is not None else "uc_rows",
+                    counts_from=count_from,
                     salt_cols=salt_cols, rows_per_task=rows_per_task, max_hot_keys=max_hot_keys)
-    j = salted_join(j, uy, ["user_id", "place_city"], rows_col="ucy_rows",
+    j = salted_join(j, uy, ["user_id", "place_city"],
+                    rows_col=None if count_from is not None else "ucy_rows",
+                    counts_from=count_from,
                     salt_cols=salt_cols, rows_per_task=rows_per_task, max_hot_keys=max_hot_keys)
-    return (j.withColumns({
+    return _finish(j, {
         "uc_present": F.coalesce(F.col("uc_present"), F.lit(False)),
         "ucy_present": F.coalesce(F.col("ucy_present"), F.lit(False)),
         "user_category_pref": _present("uc_present", F.col("_ucp"), GM()),
         "user_city_pref": _present("ucy_present", F.col("_uyp"), GM()),
-    }).drop("_ucp", "_uyp", "uc_rows", "ucy_rows"))
+    }, ["_ucp", "_uyp", "uc_rows", "ucy_rows"])
 
 
 COLD_KINDS = [("user", "u_present"), ("place", "p_present"), ("category", "c_present"),

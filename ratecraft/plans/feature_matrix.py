@@ -16,6 +16,8 @@ Plan shape (see ``explain``):
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,29 +28,58 @@ from ..operators.split import TRAIN_FLAG, with_split
 from ..plans.skew import MAX_HOT_KEYS, ROWS_PER_TASK
 
 
+class StatTables(NamedTuple):
+    users: DataFrame
+    places: DataFrame
+    categories: DataFrame
+    cities: DataFrame
+    user_cat: DataFrame
+    user_city: DataFrame
+    glob: DataFrame
+
+
+def stat_tables(rows: DataFrame) -> StatTables:
+    """Every statistic of O12-O19 from rating rows carrying ``is_train``."""
+    uc_pairs = stats.pair_table(rows, "place_category", "uc")
+    uy_pairs = stats.pair_table(rows, "place_city", "ucy")
+    return StatTables(
+        users=stats.user_table(rows),
+        places=stats.place_table(rows),
+        categories=stats.rollup_table(uc_pairs, "place_category", "uc", "category_mean",
+                                      "category_count"),
+        cities=stats.rollup_table(uy_pairs, "place_city", "ucy", "city_mean", "city_count"),
+        user_cat=stats.preference_table(uc_pairs, "place_category", "uc", "user_category_pref"),
+        user_city=stats.preference_table(uy_pairs, "place_city", "ucy", "user_city_pref"),
+        glob=stats.global_table(rows),
+    )
+
+
+def attach_stats(target: DataFrame, t: StatTables, *, salt_cols: list[str] | None,
+                 count_big: bool = False, rows_per_task: int = ROWS_PER_TASK,
+                 max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
+    """O21-O25 + O27-O30 on any rows with the rating columns.
+
+    ``count_big`` makes the skew split count ``target`` rows per key (use it
+    when ``target`` is not the table the statistics came from).
+    """
+    kw = dict(salt_cols=salt_cols, count_from=target if count_big else None,
+              rows_per_task=rows_per_task, max_hot_keys=max_hot_keys)
+    x = joins.with_globals(target, t.glob)
+    x = joins.join_category_city(x, t.categories, t.cities)
+    x = joins.join_user_stats(x, t.users, **kw)
+    x = joins.join_place_stats(x, t.places, **kw)
+    x = joins.join_preferences(x, t.user_cat, t.user_city, **kw)
+    return features.add_scalar_features(x)
+
+
 def joined_rows(ratings: DataFrame, *, key_cols: list[str], bucket_col: str = "split_bucket",
                 rows_per_task: int = ROWS_PER_TASK,
                 max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
     """Rating rows with every statistic joined (defaults applied), plus the
     ``*_present`` flags that tell which lookups fell back."""
     rows = with_split(ratings, bucket_col=bucket_col, key_cols=key_cols)
-    users = stats.user_table(rows)
-    places = stats.place_table(rows)
-    uc_pairs = stats.pair_table(rows, "place_category", "uc")
-    uy_pairs = stats.pair_table(rows, "place_city", "ucy")
-    cats = stats.rollup_table(uc_pairs, "place_category", "uc", "category_mean", "category_count")
-    cities = stats.rollup_table(uy_pairs, "place_city", "ucy", "city_mean", "city_count")
-    user_cat = stats.preference_table(uc_pairs, "place_category", "uc", "user_category_pref")
-    user_city = stats.preference_table(uy_pairs, "place_city", "ucy", "user_city_pref")
-    glob = stats.global_table(rows)
-
-    kw = dict(salt_cols=key_cols, rows_per_task=rows_per_task, max_hot_keys=max_hot_keys)
-    x = joins.with_globals(rows, glob)
-    x = joins.join_category_city(x, cats, cities)
-    x = joins.join_user_stats(x, users, **kw)
-    x = joins.join_place_stats(x, places, **kw)
-    x = joins.join_preferences(x, user_cat, user_city, **kw)
-    return features.add_scalar_features(x)
+    return attach_stats(rows, stat_tables(rows), salt_cols=key_cols,
+                        rows_per_task=rows_per_task, max_hot_keys=max_hot_keys)
 
 
 def feature_matrix(ratings: DataFrame, *, key_cols: list[str], label: str = "user_rating",
@@ -67,4 +98,4 @@ def feature_matrix(ratings: DataFrame, *, key_cols: list[str], label: str = "use
     return round_doubles(out, digits) if digits is not None else out
 
 
-__all__ = ["feature_matrix", "joined_rows", "FEATURE_NAMES"]
+__all__ = ["feature_matrix", "joined_rows", "stat_tables", "attach_stats", "FEATURE_NAMES"]

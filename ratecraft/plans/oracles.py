@@ -50,8 +50,11 @@ uyp as (select user_id, place_city, avg(user_rating) v from t
         where user_id is not null and place_city is not null group by 1, 2)
 """
 
-JOINED = STATS + """,
-j0 as (
+def join_block(target: str, out: str, place_key: str = "p.place_id") -> str:
+    """CTEs ``{out}0``/``{out}``: ``target`` rows with every statistic joined
+    (pandas defaults) and the scalar features."""
+    return f"""
+{out}0 as (
   select x.*, g.global_mean, g.global_std,
     case when u.user_id is not null then u.um else g.global_mean end user_mean,
     case when u.user_id is not null then u.us else g.global_std end user_std,
@@ -67,14 +70,14 @@ j0 as (
     case when u.user_id is not null then u.uap else x.place_price end user_avg_price,
     u.user_id is null u_cold, p.place_id is null p_cold, c.place_category is null c_cold,
     y.place_city is null y_cold, ucp.user_id is null uc_cold, uyp.user_id is null uy_cold
-  from x cross join g
+  from {target} x cross join g
   left join u on x.user_id = u.user_id
-  left join p on x.place_id = p.place_id
+  left join p on x.place_id = {place_key}
   left join c on x.place_category = c.place_category
   left join y on x.place_city = y.place_city
   left join ucp on x.user_id = ucp.user_id and x.place_category = ucp.place_category
   left join uyp on x.user_id = uyp.user_id and x.place_city = uyp.place_city),
-j as (
+{out} as (
   select *,
     ln(1 + place_count) place_popularity,
     case when user_avg_price > 0 then place_price / user_avg_price else 1.0e0 end price_ratio,
@@ -83,9 +86,12 @@ j as (
     abs(user_mean - place_mean) user_place_deviation,
     case when place_price > 0 then place_average_rating / ln(1 + place_price)
          else place_average_rating end rating_price_ratio
-  from j0)
+  from {out}0)
 """
 
+
+JOINED = STATS + "," + join_block("x", "j")
+
 KEY = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
 
 
@@ -154,3 +160,144 @@ ORACLES = {
     "rating_price_ratio": _pick(["rating_price_ratio"]),
     "feature_matrix": _feature_sql(),
 }
+
+
+# ------------------------------------------------------------ requests ----
+from ..sources.fixtures import REQUEST_HEADERS_SQL, REQUEST_PLACES_SQL  # noqa: E402
+
+REQ = f"""
+rq as ({REQUEST_HEADERS_SQL}),
+rp as ({REQUEST_PLACES_SQL}),
+rpv as (select *, concat_ws(',',
+          case when place_id is null or place_category is null or place_city is null
+                 or place_price is null or place_average_rating is null
+                 or place_visit_duration_minutes is null then 'missing_field' end,
+          case when place_price < 0 then 'price_negative' end,
+          case when not (place_average_rating between 1.0e0 and 5.0e0)
+               then 'rating_out_of_range' end,
+          case when place_visit_duration_minutes < 30 then 'duration_too_short' end) violations
+        from rp where not cut_short),
+ra as (select request_id, count(*) n, bool_and(violations = '') ok from rpv group by request_id),
+rv as (select rq.request_id, rq.user_id, rq.user_age, rq.cut_short,
+         cast(case when rq.cut_short then 0 else coalesce(ra.n, 0) end as integer) n_places,
+         case when rq.cut_short then 'malformed'
+              when rq.user_age is null or not (rq.user_age between 18 and 100) then 'user_age'
+              when coalesce(ra.n, 0) < 1 or coalesce(ra.n, 0) > 50 then 'place_count'
+              when not ra.ok then 'places' end reason
+       from rq left join ra on ra.request_id = rq.request_id),
+vp as (select rpv.* from rpv join rv on rv.request_id = rpv.request_id where rv.reason is null)
+"""
+
+DEFAULT_FEATURES = """
+select request_id, cast(pos as integer) pos,
+  3.5e0 user_mean, 1.0e0 user_std, 10.0e0 user_count, 4.0e0 user_range,
+  3.5e0 place_mean, 1.0e0 place_std, 50.0e0 place_count, round(ln(51.0e0), 6) place_popularity,
+  3.5e0 category_mean, 3.5e0 city_mean, 3.5e0 user_category_pref, 3.5e0 user_city_pref,
+  round(place_price, 6) place_price, round(place_price * 1.1e0, 6) user_avg_price,
+  round(case when place_price * 1.1e0 > 0 then place_price / (place_price * 1.1e0)
+             else 1.0e0 end, 6) price_ratio,
+  round(place_average_rating, 6) place_rating,
+  cast(place_visit_duration_minutes as double) place_duration,
+  cast(user_age as double) user_age, 0.0e0 user_place_deviation,
+  round(case when place_price > 0 then place_average_rating / ln(1 + place_price)
+             else place_average_rating end, 6) rating_price_ratio,
+  3.5e0 global_mean, 1.0e0 global_std
+from vp
+"""
+
+# enriched request features, predictor, scores and ranks
+SCORED = STATS + "," + REQ + "," + join_block("vp", "e", "cast(p.place_id as varchar)") + """,
+s0 as (select *, place_rating + user_mean - global_mean prediction from e),
+s1 as (select *, greatest(1.0e0, least(5.0e0, prediction)) clipped from s0),
+s2 as (select *, 0.8e0 + 0.2e0 * (1.0e0 - abs(clipped - 3.5e0) / 1.5e0) confidence_raw from s1),
+s3 as (select *, cast(round_even(clipped * 100.0e0, 0) as double) / 100.0e0 predicted_rating,
+              cast(round_even(confidence_raw * 1000.0e0, 0) as double) / 1000.0e0
+                confidence_score from s2),
+rk as (select *, cast(row_number() over (partition by request_id
+                 order by predicted_rating desc, pos) as integer) recommendation_rank from s3)
+"""
+
+
+def _enriched_sql() -> str:
+    cols = []
+    for n in FEATURE_NAMES:
+        src = "cast(user_age as double)" if n == "user_age" else n
+        cols.append(r6(src, n))
+    return _with(SCORED, "select request_id, cast(pos as integer) pos, " + ", ".join(cols)
+                 + " from e")
+
+
+ORACLES.update({
+    "parse_requests": _with(REQ, """
+        select count(*) n_requests, count_if(cut_short) n_malformed,
+               (select count(*) from rpv) n_places from rq"""),
+    "validate_users": _with(REQ, """
+        select request_id, user_age,
+               coalesce(user_age between 18 and 100, false) user_valid
+        from rq where not cut_short"""),
+    "validate_places": _with(REQ, """
+        select request_id, cast(pos as integer) pos, violations = '' place_valid, violations
+        from rpv"""),
+    "validate_requests": _with(REQ, """
+        select request_id, n_places, reason is null valid, reason from rv"""),
+    "default_fill": _with(REQ, """
+        select request_id, cast(pos as integer) pos,
+               coalesce(place_description, '') place_description from rpv"""),
+    "explode_places": _with(REQ, """
+        select request_id, cast(pos as integer) pos, user_age, place_id, place_category,
+               place_city, round(place_price, 6) place_price,
+               round(place_average_rating, 6) place_average_rating,
+               place_visit_duration_minutes from rpv"""),
+    "serving_features": _with(REQ, DEFAULT_FEATURES),
+    "serving_features_enriched": _enriched_sql(),
+    "clip_rating": _with(SCORED, """
+        select request_id, cast(pos as integer) pos, round(prediction, 6) prediction,
+               round(clipped, 6) clipped from rk"""),
+    "confidence": _with(SCORED, """
+        select request_id, cast(pos as integer) pos, round(confidence_raw, 6) confidence_raw
+        from rk"""),
+    "round_scores": _with(SCORED, """
+        select request_id, cast(pos as integer) pos, predicted_rating, confidence_score
+        from rk"""),
+    "rank_places": _with(SCORED, """
+        select request_id, cast(pos as integer) pos, place_id, predicted_rating,
+               confidence_score, recommendation_rank from rk"""),
+    "top_recommendation": _with(SCORED, """
+        select request_id, place_id, predicted_rating, confidence_score
+        from rk where recommendation_rank = 1"""),
+    "recommend_top_k": _with(SCORED, """
+        select request_id, recommendation_rank, place_id, predicted_rating
+        from rk where recommendation_rank <= 5"""),
+    "recommend_summary": _with(SCORED, """
+        select request_id, count(*) total_places_evaluated, 5 top_k_requested,
+          coalesce(cast(round_even(
+            list_reduce(list(predicted_rating order by recommendation_rank)
+                        filter (where recommendation_rank <= 5), lambda a, b: a + b)
+            / count(*) filter (where recommendation_rank <= 5) * 100.0e0, 0) as double)
+            / 100.0e0, 0.0e0) average_predicted_rating
+        from rk group by request_id"""),
+    "diversity": _with(SCORED, """
+        select request_id,
+          round(case when count(*) > 1 then least(1.0e0, stddev_pop(predicted_rating) / 2.0e0)
+                else 0.5e0 end, 6) diversity
+        from rk group by request_id"""),
+})
+
+# Pivot of present (user, category) pairs; absent cells take the global
+# mean, a present pair whose ratings are all null stays null (NaN marker).
+# DuckDB discovers pivot columns with a pre-query that cannot see CTEs, so
+# the sources are inlined.
+_TRAIN = f"(select * from ({RATINGS_SQL}) where split_bucket < 80)"
+ORACLES["preference_pivot"] = f"""
+select user_id,
+  round(case when columns(* exclude (user_id)) is null
+             then (select avg(user_rating) from {_TRAIN})
+             when isnan(columns(* exclude (user_id))) then null
+             else columns(* exclude (user_id)) end, 6)
+from (pivot (select user_id, place_category,
+                    coalesce(avg(user_rating), cast('NaN' as double)) v
+             from {_TRAIN}
+             where user_id is not null and place_category is not null
+             group by user_id, place_category)
+      on place_category using first(v) group by user_id)
+"""

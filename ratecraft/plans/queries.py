@@ -16,6 +16,9 @@ from ..operators.split import TRAIN_FLAG, with_split
 from ..sources.fixtures import ROW_KEY
 from ..sources.ratings import conform_ratings
 from . import catalog
+from ..operators import score, validate
+from ..sources.requests import parse_requests, parse_summary
+from . import serving
 from .feature_matrix import feature_matrix, joined_rows
 
 Q = dict
@@ -131,6 +134,129 @@ def q_feature_matrix(spark, sf_dir):
     return feature_matrix(catalog.ratings(spark, sf_dir), key_cols=ROW_KEY)
 
 
+# ----------------------------------------------------------- requests -----
+def _parsed(spark, sf_dir):
+    return parse_requests(catalog.requests(spark, sf_dir))
+
+
+def _wellformed(spark, sf_dir):
+    return _parsed(spark, sf_dir).where(~F.col("malformed"))
+
+
+def q_parse_requests(spark, sf_dir):
+    """O2: counts of requests, malformed texts and places."""
+    return parse_summary(_parsed(spark, sf_dir))
+
+
+def q_validate_users(spark, sf_dir):
+    """User check of every well-formed request."""
+    p = _wellformed(spark, sf_dir)
+    return p.select("request_id", F.col("user.user_age").alias("user_age"),
+                    validate.user_valid(F.col("user")).alias("user_valid"))
+
+
+def q_validate_places(spark, sf_dir):
+    """Violated rules per place (empty string = valid)."""
+    p = _wellformed(spark, sf_dir)
+    x = p.select("request_id", F.posexplode("places").alias("pos", "place"))
+    v = validate.place_violations(F.col("place"))
+    return x.select("request_id", "pos", (F.size(v) == 0).alias("place_valid"),
+                    F.array_join(v, ",").alias("violations"))
+
+
+def q_validate_requests(spark, sf_dir):
+    """All-or-nothing request validity with the first failing reason."""
+    return validate.request_status(_parsed(spark, sf_dir)).select(
+        "request_id", "n_places", "valid", "reason")
+
+
+def q_default_fill(spark, sf_dir):
+    """Optional fields after defaults."""
+    p = validate.fill_defaults(_wellformed(spark, sf_dir))
+    x = validate.explode_places(p.select("request_id", "user", "places"))
+    return x.select("request_id", "pos", "place_description")
+
+
+def q_explode_places(spark, sf_dir):
+    """One row per (request, place) with list position."""
+    x = validate.explode_places(_wellformed(spark, sf_dir).select("request_id", "user", "places"))
+    return round_doubles(x.select("request_id", "pos", "user_age", "place_id", "place_category",
+                                  "place_city", "place_price", "place_average_rating",
+                                  "place_visit_duration_minutes"))
+
+
+def _request_rows(spark, sf_dir):
+    return serving.request_rows(catalog.requests(spark, sf_dir))
+
+
+def _features_out(df: DataFrame) -> DataFrame:
+    from ..operators.features import feature_columns
+    return round_doubles(df.select("request_id", "pos", *feature_columns()))
+
+
+def q_serving_features(spark, sf_dir):
+    """Request features with the fixed defaults."""
+    return _features_out(serving.default_features(_request_rows(spark, sf_dir)))
+
+
+def _enriched(spark, sf_dir):
+    tables = serving.serving_tables(catalog.ratings(spark, sf_dir), key_cols=ROW_KEY)
+    return serving.enriched_features(_request_rows(spark, sf_dir), tables)
+
+
+def q_serving_features_enriched(spark, sf_dir):
+    """Request features from the training statistics."""
+    return _features_out(_enriched(spark, sf_dir))
+
+
+def _scored(spark, sf_dir):
+    """Valid requests scored with the closed-form predictor and ranked."""
+    return serving.scored(_enriched(spark, sf_dir), serving.bias_predictor)
+
+
+def q_clip_rating(spark, sf_dir):
+    s = serving.bias_predictor(_enriched(spark, sf_dir))
+    return round_doubles(s.select("request_id", "pos", "prediction",
+                                  score.clip_rating(F.col("prediction")).alias("clipped")))
+
+
+def q_confidence(spark, sf_dir):
+    return round_doubles(_scored(spark, sf_dir).select("request_id", "pos", "confidence_raw"))
+
+
+def q_round_scores(spark, sf_dir):
+    return _scored(spark, sf_dir).select("request_id", "pos", "predicted_rating",
+                                         "confidence_score")
+
+
+def q_rank_places(spark, sf_dir):
+    return _scored(spark, sf_dir).select("request_id", "pos", "place_id", "predicted_rating",
+                                         "confidence_score", "recommendation_rank")
+
+
+def q_top_recommendation(spark, sf_dir):
+    return score.top_recommendation(_scored(spark, sf_dir)).select(
+        "request_id", "place_id", "predicted_rating", "confidence_score")
+
+
+def q_recommend_top_k(spark, sf_dir):
+    return score.recommend_top_k(_scored(spark, sf_dir), 5).select(
+        "request_id", "recommendation_rank", "place_id", "predicted_rating")
+
+
+def q_recommend_summary(spark, sf_dir):
+    return score.recommend_summary(_scored(spark, sf_dir), 5)
+
+
+def q_diversity(spark, sf_dir):
+    return round_doubles(score.diversity(_scored(spark, sf_dir)))
+
+
+def q_request_response(spark, sf_dir):
+    """O51 (rows only): one JSON response per valid request."""
+    return score.request_response(_scored(spark, sf_dir), "bias-baseline")
+
+
 QUERIES = Q(
     scan_ratings=q_scan_ratings,
     train_test_split=q_train_test_split,
@@ -154,4 +280,21 @@ QUERIES = Q(
     user_place_deviation=q_user_place_deviation,
     rating_price_ratio=q_rating_price_ratio,
     feature_matrix=q_feature_matrix,
+    parse_requests=q_parse_requests,
+    validate_users=q_validate_users,
+    validate_places=q_validate_places,
+    validate_requests=q_validate_requests,
+    default_fill=q_default_fill,
+    explode_places=q_explode_places,
+    serving_features=q_serving_features,
+    serving_features_enriched=q_serving_features_enriched,
+    clip_rating=q_clip_rating,
+    confidence=q_confidence,
+    round_scores=q_round_scores,
+    rank_places=q_rank_places,
+    top_recommendation=q_top_recommendation,
+    recommend_top_k=q_recommend_top_k,
+    recommend_summary=q_recommend_summary,
+    diversity=q_diversity,
+    request_response=q_request_response,
 )

@@ -9,10 +9,8 @@ a re-run task computes the same salt), and the per-key row is replicated once
 per salt value.  Every large-side row still meets exactly one copy, so the
 result is the plain join's result.
 
-Only the hot-key list ``(key, n_salt)`` is broadcast.  Its size is bounded
-by construction: the threshold is at least ``total_rows / max_hot_keys`` and
-the row counts sum to ``total_rows``, so fewer than ``max_hot_keys`` keys
-can exceed it.
+Only the hot-key list ``(key, n_salt)`` is broadcast; it holds at most
+``max_hot_keys`` rows (a top-k by row count), a fixed bound.
 
 ``bounded_broadcast`` broadcasts a table only after checking its row count;
 beyond the bound the caller's plan keeps a shuffle join.
@@ -37,44 +35,52 @@ _NSALT = "__nsalt"
 def hot_keys(small: DataFrame, on: list[str], rows_col: str, *,
              rows_per_task: int = ROWS_PER_TASK,
              max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
-    """``(key..., __nsalt)`` for keys with more than the threshold rows.
+    """``(key..., __nsalt)`` for the keys with more than ``rows_per_task`` rows.
 
-    threshold = max(rows_per_task, ceil(total / max_hot_keys)); computed in
-    the plan (a one-row aggregate), never on the driver.
+    At most ``max_hot_keys`` keys - the largest ones - are listed
+    (``orderBy(desc).limit``: a per-partition top-k, merged in one task), so
+    the broadcast list has a fixed size bound whatever the data volume.  A
+    key left off the list holds fewer rows than each listed key, so fewer
+    than ``total / max_hot_keys``; AQE's skew-join split covers those.
     """
-    total = small.agg(F.sum(rows_col).alias("__total"))
-    thr = total.select(
-        F.greatest(F.lit(rows_per_task).cast("long"),
-                   F.ceil(F.coalesce(F.col("__total"), F.lit(0)) / F.lit(max_hot_keys))
-                   .cast("long")).alias("__thr"))
-    return (small.select(*on, rows_col)
-            .crossJoin(F.broadcast(thr))          # one row
-            .where(F.col(rows_col) > F.col("__thr"))
-            .select(*on, F.ceil(F.col(rows_col) / F.col("__thr")).cast("int").alias(_NSALT)))
-
-
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], *, rows_col: str,
+    return (small.where(F.col(rows_col) > F.lit(rows_per_task))
+            .orderBy(F.col(rows_col).desc())
+            .limit(max_hot_keys)
+            .select(*on, F.ceil(F.col(rows_col) / F.lit(rows_per_task)).cast("int").alias(_NSALT)))
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], *, rows_col: str | None,
                 salt_cols: list[str] | None = None, how: str = "left",
+                counts_from: DataFrame | None = None,
                 rows_per_task: int = ROWS_PER_TASK,
                 max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
     """Equi-join ``big`` with ``small`` (unique on ``on``), splitting hot keys.
 
+    ``rows_col`` names the column of ``small`` counting ``big`` rows per key;
+    with ``None`` the counts come from a partial aggregate of
+    ``counts_from`` (default ``big``) - pass the un-joined base rows when
+    ``big`` is the output of earlier joins, so the count does not re-plan
+    them.
     ``salt_cols`` are deterministic columns of ``big`` that vary within a
     key (a row key); default all columns of ``big``.
     """
     if how not in ("left", "inner"):
         raise ValueError("salted_join supports left and inner joins")
-    hot = F.broadcast(hot_keys(small, on, rows_col, rows_per_task=rows_per_task,
-                               max_hot_keys=max_hot_keys))
+    if rows_col is None:
+        base = counts_from if counts_from is not None else big
+        counts = base.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
+        hot = hot_keys(counts, on, "__rows", rows_per_task=rows_per_task,
+                       max_hot_keys=max_hot_keys)
+    else:
+        hot = hot_keys(small, on, rows_col, rows_per_task=rows_per_task,
+                       max_hot_keys=max_hot_keys)
+    hot = F.broadcast(hot)
     salt_cols = salt_cols or big.columns
-    big_s = (big.join(hot, on, "left")
-             .withColumn(_SALT, F.when(F.col(_NSALT).isNull(), F.lit(0))
-                         .otherwise(F.pmod(F.xxhash64(*salt_cols), F.col(_NSALT)).cast("int")))
-             .drop(_NSALT))
-    small_s = (small.join(hot, on, "left")
-               .withColumn(_SALT, F.explode(F.sequence(
-                   F.lit(0), F.coalesce(F.col(_NSALT), F.lit(1)) - 1)))
-               .drop(_NSALT))
+    salt = (F.when(F.col(_NSALT).isNull(), F.lit(0))
+            .otherwise(F.pmod(F.xxhash64(*salt_cols), F.col(_NSALT)).cast("int")))
+    big_s = big.join(hot, on, "left").select(*big.columns, salt.alias(_SALT))
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_NSALT), F.lit(1)) - 1))
+    small_s = small.join(hot, on, "left").select(*small.columns, copies.alias(_SALT))
     return big_s.join(small_s, on + [_SALT], how).drop(_SALT)
 
 
