@@ -112,19 +112,29 @@ def serving_features(places: DataFrame, stats_col: str | None = None) -> DataFra
 # -------------------------------------------------------------- scaler ----
 def fit_scaler(train: DataFrame, cols: list[str] = FEATURE_NAMES) -> DataFrame:
     """O34 fit: one-row table of mean and *population* std per column
-    (one aggregate pass).  A constant column gets divisor 1."""
-    aggs = []
+    (one aggregate pass) and the row count for the constant-column test."""
+    aggs = [F.count(F.lit(1)).alias("__n")]
     for c in cols:
-        aggs += [F.avg(c).alias(f"{c}__mu"), F.stddev_pop(c).alias(f"{c}__sd")]
+        aggs += [F.avg(c).alias(f"{c}__mu"), F.var_pop(c).alias(f"{c}__var")]
     return train.agg(*aggs)
 
 
+# fixed value: float64 machine epsilon, used by the constant-column test
+EPS = 2.220446049250313e-16
+
+
 def apply_scaler(df: DataFrame, scaler: DataFrame, cols: list[str] = FEATURE_NAMES) -> DataFrame:
-    """O34 transform: (x - mean) / std, std 0 -> 1.  The one-row scaler is
-    broadcast (exactly one row)."""
+    """O34 transform: (x - mean) / std.  A column counts as constant - divisor
+    1 - when var <= n*eps*var + (n*mean*eps)^2, the rounding-error bound the
+    original scaler uses.  The one-row scaler is broadcast (exactly one row)."""
     j = df.crossJoin(F.broadcast(scaler))
+    n = F.col("__n")
     out = {}
     for c in cols:
-        sd = F.col(f"{c}__sd")
-        out[c] = (F.col(c) - F.col(f"{c}__mu")) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)
-    return j.withColumns(out).drop(*[f"{c}__{s}" for c in cols for s in ("mu", "sd")])
+        mu, var = F.col(f"{c}__mu"), F.col(f"{c}__var")
+        bound = n * F.lit(EPS) * var + (n * mu * F.lit(EPS)) * (n * mu * F.lit(EPS))
+        div = F.when(var <= bound, F.lit(1.0)).otherwise(F.sqrt(var))
+        out[c] = (F.col(c) - mu) / div
+    helpers = ["__n"] + [f"{c}__{s}" for c in cols for s in ("mu", "var")]
+    keep = [F.col(c) for c in df.columns if c not in out]
+    return j.select(*keep, *[v.alias(k) for k, v in out.items()]).drop(*helpers)

@@ -48,3 +48,16 @@ def clear() -> None:
         except Exception:  # session already gone
             pass
     _CACHE.clear()
+
+
+_MODELS: dict[tuple[str, str, str], object] = {}
+
+
+def model(spark: SparkSession, sf_dir: str, name: str, fit):
+    """A fitted model per (application, folder, name); fitted once."""
+    k = _key(spark, sf_dir, name)
+    m = _MODELS.get(k)
+    if m is None:
+        m = fit()
+        _MODELS[k] = m
+    return m

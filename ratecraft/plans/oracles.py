@@ -301,3 +301,62 @@ from (pivot (select user_id, place_category,
              group by user_id, place_category)
       on place_category using first(v) group by user_id)
 """
+
+
+# ------------------------------------------------------ train / evaluate ---
+TB = JOINED + """,
+tb as (select user_rating y, place_rating + user_mean - global_mean p
+       from j where not is_train)
+"""
+
+
+def _scale_sql() -> str:
+    feats = []
+    for n in FEATURE_NAMES:
+        feats.append("cast(user_age as double)" if n == "user_age" else n)
+    fit = ", ".join(f"avg({e}) m{i}, var_pop({e}) v{i}" for i, e in enumerate(feats))
+    eps = "2.220446049250313e-16"
+    cols = []
+    for i, (n, e) in enumerate(zip(FEATURE_NAMES, feats)):
+        bound = f"(cnt * {eps} * v{i} + (cnt * m{i} * {eps}) * (cnt * m{i} * {eps}))"
+        cols.append(f"round(({e} - m{i}) / case when v{i} <= {bound} then 1.0e0 "
+                    f"else sqrt(v{i}) end, 6) + 0.0e0 as {n}")
+    return _with(JOINED + f", sc as (select count(*) cnt, {fit} from j where is_train)",
+                 f"select {KEY}, " + ", ".join(cols) + " from j cross join sc")
+
+
+ORACLES.update({
+    "standard_scale": _scale_sql(),
+    "regression_metrics": _with(TB, """
+        select round(avg((y - p) * (y - p)), 6) mse, round(avg(abs(y - p)), 6) mae,
+               round(sqrt(avg((y - p) * (y - p))), 6) rmse,
+               round(case when var_pop(y) * count(*) > 0
+                     then 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) end, 6) r2
+        from tb"""),
+    "binary_metrics": _with(TB + """,
+        cm as (select count_if(y >= 3.5 and p >= 3.5) tp, count_if(y < 3.5 and p >= 3.5) fp,
+                      count_if(y >= 3.5 and p < 3.5) fn from tb),
+        pr as (select case when tp + fp > 0 then cast(tp as double) / (tp + fp) else 0.0e0 end pre,
+                      case when tp + fn > 0 then cast(tp as double) / (tp + fn) else 0.0e0 end rec
+               from cm)""", """
+        select round(pre, 6) "precision", round(rec, 6) recall,
+               round(case when pre + rec > 0 then 2.0e0 * pre * rec / (pre + rec)
+                     else 0.0e0 end, 6) f1_score from pr"""),
+    "ndcg_at_k": _with(TB + """,
+        rl as (select p s, case when y >= 4.0e0 then 1 else 0 end rel from tb),
+        gr as (select s, count(*) n, sum(rel) g from rl group by s order by s desc limit 10),
+        ps as (select *, coalesce(sum(n) over (order by s desc
+                 rows between unbounded preceding and 1 preceding), 0) st from gr),
+        dc as (select sum(cast(g as double) / n * coalesce(list_sum(list_transform(
+                 range(cast(st as bigint), cast(least(st + n, 10) as bigint)), lambda i: 1.0e0 / log2(i + 2))), 0.0e0)) dcg
+               from ps),
+        tt as (select sum(rel) n_rel, count(*) n_rows from rl),
+        id as (select n_rows, coalesce(list_sum(list_transform(
+                 range(0, cast(least(n_rel, 10) as bigint)), lambda i: 1.0e0 / log2(i + 2))), 0.0e0) idcg
+               from tt)""", """
+        select round(case when idcg > 0 and n_rows > 1 then coalesce(dcg, 0.0e0) / idcg
+                     else 0.0e0 end, 6) ndcg_10
+        from id cross join dc"""),
+    "baseline_predict": _with(JOINED, f"""
+        select {KEY}, round(global_mean, 6) prediction from j where not is_train"""),
+})

@@ -257,6 +257,104 @@ def q_request_response(spark, sf_dir):
     return score.request_response(_scored(spark, sf_dir), "bias-baseline")
 
 
+# --------------------------------------------------- train / evaluate -----
+# Trees fitted by the registered training checks.  The operator default is
+# the original's 200 trees; the checks fit 20 (same depth, rate, subsample,
+# seed) so that one check stays within minutes at sf0.01.
+CHECK_TREES = 20
+
+
+def _matrix(spark, sf_dir):
+    """Unrounded feature matrix (training input)."""
+    return catalog.cached(spark, sf_dir, "matrix", lambda s, d: feature_matrix(
+        catalog.ratings(s, d), key_cols=ROW_KEY, digits=None))
+
+
+def _test_bias(spark, sf_dir):
+    """Test rows scored by the closed-form predictor (oracle-checkable)."""
+    m = _matrix(spark, sf_dir).where(~F.col(TRAIN_FLAG))
+    return m.withColumn("prediction", F.col("place_rating") + F.col("user_mean")
+                        - F.col("global_mean"))
+
+
+def q_standard_scale(spark, sf_dir):
+    """Features scaled with train mean / population std."""
+    from ..operators.features import apply_scaler, fit_scaler
+    m = _matrix(spark, sf_dir)
+    sc = fit_scaler(m.where(F.col(TRAIN_FLAG)))
+    return round_doubles(apply_scaler(m, sc).drop("label", TRAIN_FLAG))
+
+
+def q_regression_metrics(spark, sf_dir):
+    from ..operators.evaluate import regression_metrics
+    return round_doubles(regression_metrics(_test_bias(spark, sf_dir)))
+
+
+def q_binary_metrics(spark, sf_dir):
+    from ..operators.evaluate import binary_metrics
+    return round_doubles(binary_metrics(_test_bias(spark, sf_dir)))
+
+
+def q_ndcg_at_k(spark, sf_dir):
+    from ..operators.evaluate import ndcg_at_k
+    return round_doubles(ndcg_at_k(_test_bias(spark, sf_dir)))
+
+
+def q_baseline_predict(spark, sf_dir):
+    """No model -> every test row gets the training global mean."""
+    from ..operators.train import baseline_predict
+    m = _matrix(spark, sf_dir)
+    g = stats.global_table(with_split(catalog.ratings(spark, sf_dir)))
+    return round_doubles(baseline_predict(m.where(~F.col(TRAIN_FLAG)).select(*ROW_KEY), g))
+
+
+def _model(spark, sf_dir):
+    from ..operators.train import train_gbt
+    return catalog.model(spark, sf_dir, "gbt", lambda: train_gbt(
+        _matrix(spark, sf_dir).where(F.col(TRAIN_FLAG)), n_trees=CHECK_TREES))
+
+
+def q_train_gbt(spark, sf_dir):
+    """O35 (rows only): one row per fitted tree."""
+    gbt = _model(spark, sf_dir).stages[-1]
+    rows = [(i, float(w), t.numNodes, t.depth)
+            for i, (t, w) in enumerate(zip(gbt.trees, gbt.treeWeights))]
+    return spark.createDataFrame(rows, "tree int, weight double, num_nodes int, depth int")
+
+
+def q_predict_batch(spark, sf_dir):
+    """O36 (rows only): model predictions for every test row."""
+    from ..operators.train import predict_batch
+    test = _matrix(spark, sf_dir).where(~F.col(TRAIN_FLAG))
+    return round_doubles(predict_batch(_model(spark, sf_dir), test, ROW_KEY))
+
+
+def q_model_metrics(spark, sf_dir):
+    """O37-O39 on the fitted model's test predictions (rows only)."""
+    from ..operators.evaluate import binary_metrics, ndcg_at_k, regression_metrics
+    from ..operators.train import predict_batch
+    test = _matrix(spark, sf_dir).where(~F.col(TRAIN_FLAG))
+    p = predict_batch(_model(spark, sf_dir), test, ROW_KEY + ["label"]).cache()
+    return round_doubles(regression_metrics(p).crossJoin(binary_metrics(p))
+                         .crossJoin(ndcg_at_k(p)))
+
+
+def q_feature_importance(spark, sf_dir):
+    """O40 (rows only)."""
+    from ..operators.train import feature_importance
+    return round_doubles(feature_importance(spark, _model(spark, sf_dir)))
+
+
+def q_save_load_model(spark, sf_dir):
+    """O4 (rows only): save the pipeline to the shared folder, load it back
+    and score the test rows with the loaded copy."""
+    from ..operators.train import load_model, predict_batch, save_model
+    from ..session import scratch_path
+    path = save_model(_model(spark, sf_dir), scratch_path(spark, "model"))
+    test = _matrix(spark, sf_dir).where(~F.col(TRAIN_FLAG))
+    return round_doubles(predict_batch(load_model(path), test, ROW_KEY))
+
+
 QUERIES = Q(
     scan_ratings=q_scan_ratings,
     train_test_split=q_train_test_split,
@@ -297,4 +395,14 @@ QUERIES = Q(
     recommend_summary=q_recommend_summary,
     diversity=q_diversity,
     request_response=q_request_response,
+    standard_scale=q_standard_scale,
+    regression_metrics=q_regression_metrics,
+    binary_metrics=q_binary_metrics,
+    ndcg_at_k=q_ndcg_at_k,
+    baseline_predict=q_baseline_predict,
+    train_gbt=q_train_gbt,
+    predict_batch=q_predict_batch,
+    model_metrics=q_model_metrics,
+    feature_importance=q_feature_importance,
+    save_load_model=q_save_load_model,
 )

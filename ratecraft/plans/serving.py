@@ -60,13 +60,16 @@ def bias_predictor(df: DataFrame) -> DataFrame:
                          - F.col("global_mean"))
 
 
-def model_predictor(model, feature_cols: list[str] | None = None) -> Predictor:
-    """Wrap a fitted ``PipelineModel`` (assembler + scaler + trees)."""
+def model_predictor(model) -> Predictor:
+    """Wrap a fitted ``PipelineModel`` (assembler + scaler + trees): the
+    22 feature columns are laid out under their model names, then the
+    model adds ``prediction``."""
+    from ..constants import FEATURE_NAMES
+
     def run(df: DataFrame) -> DataFrame:
-        cols = df.columns
-        out = model.transform(df.select(*cols, *features.feature_columns())
-                              if feature_cols is None else df)
-        return out.select(*cols, "prediction")
+        rest = [c for c in df.columns if c not in FEATURE_NAMES and c != "prediction"]
+        x = df.select(*rest, *features.feature_columns())
+        return model.transform(x).select(*x.columns, "prediction")
     return run
 
 
