@@ -69,3 +69,24 @@ EXCLUDED_HANDLERS = ["/metrics"]
 DASHBOARD_HANDLERS = ["/predict", "/recommend", "/health"]
 RMSE_BANDS = [(None, "green"), (0.5, "yellow"), (1.0, "red")]
 DIVERSITY_BANDS = [(None, "red"), (0.3, "yellow"), (0.7, "green")]
+
+# --- fixed values: pod relabelling rules of the scrape configuration --------
+POD_RELABEL_RULES = [
+    {"action": "keep", "source_labels": ["__meta_kubernetes_pod_label_app"],
+     "regex": "fastapi-app"},
+    {"action": "keep", "source_labels": ["__meta_kubernetes_pod_annotation_prometheus_io_scrape"],
+     "regex": "true"},
+    {"action": "replace", "source_labels": ["__meta_kubernetes_pod_annotation_prometheus_io_path"],
+     "target_label": "__metrics_path__", "regex": "(.+)"},
+    {"action": "replace",
+     "source_labels": ["__address__", "__meta_kubernetes_pod_annotation_prometheus_io_port"],
+     "regex": r"([^:]+)(?::\d+)?;(\d+)", "replacement": "$1:$2", "target_label": "__address__"},
+    {"action": "labelmap", "regex": "__meta_kubernetes_pod_label_(.+)"},
+    {"action": "replace", "source_labels": ["__meta_kubernetes_namespace"],
+     "target_label": "kubernetes_namespace"},
+    {"action": "replace", "source_labels": ["__meta_kubernetes_pod_name"],
+     "target_label": "kubernetes_pod_name"},
+]
+
+# --- ours: latency buckets (seconds) for the request-log fixture ------------
+LATENCY_BUCKETS = [50.0, 100.0, 200.0, 300.0, 400.0, 500.0]

@@ -41,6 +41,18 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.request_log(spark, sf_dir)
 
 
+def gauge_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.gauge_samples(spark, sf_dir)
+
+
+def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.counter_samples(spark, sf_dir)
+
+
+def target_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.target_labels(spark, sf_dir)
+
+
 def clear() -> None:
     for df in _CACHE.values():
         try:

@@ -360,3 +360,126 @@ ORACLES.update({
     "baseline_predict": _with(JOINED, f"""
         select {KEY}, round(global_mean, 6) prediction from j where not is_train"""),
 })
+
+
+# -------------------------------------------------------------- metrics ---
+from ..sources.fixtures import (COUNTER_SAMPLES_SQL, GAUGE_SAMPLES_SQL,  # noqa: E402
+                                REQUEST_LOG_SQL)
+
+LOG = f"lg as ({REQUEST_LOG_SQL})"
+# sliding 5-minute windows, 1-minute steps: every row in 5 windows [start, start+5m)
+SLIDE = """sw as (select *, time_bucket(interval 1 minute, ts) - k * interval 1 minute ws
+            from {src}, range(0, 5) t(k))"""
+CONF_BUCKETS = "(values ('0.1', 0.1e0), ('0.2', 0.2e0), ('0.3', 0.3e0), ('0.4', 0.4e0), " \
+               "('0.5', 0.5e0), ('0.6', 0.6e0), ('0.7', 0.7e0), ('0.8', 0.8e0), " \
+               "('0.9', 0.9e0), ('1.0', 1.0e0), ('+Inf', cast('inf' as double))) b(le, bound)"
+
+ORACLES.update({
+    "recommendations_total": _with(SCORED, """
+        select 'bias-baseline' model_name, 'Production' model_stage,
+               count(*) recommendations_total from rk"""),
+    "gauge_last": f"""
+        with gs as ({GAUGE_SAMPLES_SQL}),
+        o as (select *, row_number() over (partition by handler order by ts desc, seq desc) rn
+              from gs where value is not null)
+        select handler, round(value, 6) last_value, ts last_ts from o where rn = 1""",
+    "confidence_histogram": _with(SCORED + f""",
+        hs as (select sum(confidence_raw) hist_sum, count(confidence_raw) hist_count from rk),
+        hb as (select le, count_if(confidence_raw <= bound) bucket_count
+               from rk, {CONF_BUCKETS} group by le)""", """
+        select 'bias-baseline' model_name, 'Production' model_stage, le, bucket_count,
+               round(hist_sum, 6) hist_sum, hist_count from hb, hs"""),
+    "request_rate": f"""
+        with {LOG}, {SLIDE.format(src='lg')}
+        select ws window_start, ws + interval 5 minute window_end, method, status,
+               round(count(*) / 300.0e0, 6) rate
+        from sw group by ws, method, status""",
+    "counter_rate": f"""
+        with cs as ({COUNTER_SAMPLES_SQL}),
+        ci as (select *, lag(value) over (partition by handler order by ts) prev from cs),
+        inc as (select handler, ts, case when value >= prev then value - prev else value end
+                  increase from ci where prev is not null),
+        {SLIDE.format(src='inc')}
+        select ws window_start, ws + interval 5 minute window_end, handler,
+               round(sum(increase) / 300.0e0, 6) rate
+        from sw group by ws, handler""",
+    "endpoint_rates": f"""
+        with {LOG}, {SLIDE.format(src='lg')}
+        select ws window_start, ws + interval 5 minute window_end, handler,
+               round(count(*) / 300.0e0, 6) rate
+        from sw group by ws, handler""",
+    "bucket_rates": _with(SCORED + ", " + SLIDE.format(src="rk"), f"""
+        select ws window_start, ws + interval 5 minute window_end, le,
+               round(count_if(confidence_raw <= bound) / 300.0e0, 6) rate
+        from sw, {CONF_BUCKETS} group by ws, le"""),
+    "latency_quantile": f"""
+        with {LOG}, {SLIDE.format(src='lg')},
+        cc as (select ws, handler,
+                 count_if(duration_s <= 50) c1, count_if(duration_s <= 100) c2,
+                 count_if(duration_s <= 200) c3, count_if(duration_s <= 300) c4,
+                 count_if(duration_s <= 400) c5, count_if(duration_s <= 500) c6,
+                 count(*) n, 0.95e0 * count(*) rk
+               from sw group by ws, handler)
+        select ws window_start, ws + interval 5 minute window_end, handler, round(
+          case when n = 0 then null
+               when c1 >= rk then 0.0e0 + (50.0e0 - 0.0e0) * ((rk - 0) / c1)
+               when c2 >= rk then 50.0e0 + (100.0e0 - 50.0e0) * ((rk - c1) / (c2 - c1))
+               when c3 >= rk then 100.0e0 + (200.0e0 - 100.0e0) * ((rk - c2) / (c3 - c2))
+               when c4 >= rk then 200.0e0 + (300.0e0 - 200.0e0) * ((rk - c3) / (c4 - c3))
+               when c5 >= rk then 300.0e0 + (400.0e0 - 300.0e0) * ((rk - c4) / (c5 - c4))
+               when c6 >= rk then 400.0e0 + (500.0e0 - 400.0e0) * ((rk - c5) / (c6 - c5))
+               else 500.0e0 end, 6) p95
+        from cc""",
+    "threshold_status": _with(SCORED + """,
+        dv as (select request_id, case when count(*) > 1
+                 then least(1.0e0, stddev_pop(predicted_rating) / 2.0e0) else 0.5e0 end d
+               from rk group by request_id)""", """
+        select request_id, round(d, 6) diversity,
+               case when round(d, 9) >= 0.7 then 'green' when round(d, 9) >= 0.3 then 'yellow'
+                    else 'red' end status
+        from dv"""),
+    "excluded_handlers": f"""
+        with {LOG}
+        select handler, status, count(*) n_requests from lg
+        where handler <> '/metrics' group by handler, status""",
+    "in_progress": f"""
+        with {LOG},
+        us as (select handler, epoch_us(ts) s_us,
+                      epoch_us(ts) + cast(trunc(duration_s * 1e6) as bigint) e_us from lg),
+        dl as (select handler, cast(ceil(s_us / 10000000.0e0) * 10000000 as bigint) t, 1 d from us
+               union all
+               select handler, cast(ceil(e_us / 10000000.0e0) * 10000000 as bigint) t, -1 d
+               from us),
+        pt as (select handler, t, sum(d) delta from dl group by handler, t)
+        select handler, make_timestamp(t) tick,
+               sum(delta) over (partition by handler order by t
+                                rows between unbounded preceding and current row) in_progress
+        from pt""",
+    "relabel": """
+        select event_id,
+               'app=fastapi-app,handler=' || event_type
+               || ',kubernetes_namespace=ml-deployment,kubernetes_pod_name=fastapi-app-'
+               || (user_id % 5) || ',tier=api' labels
+        from events where event_type <> 'signup' and event_type <> 'error'""",
+    "sample_at_interval": f"""
+        with gs as ({GAUGE_SAMPLES_SQL}),
+        o as (select *, time_bucket(interval 10 second, ts) b,
+                     row_number() over (partition by handler, time_bucket(interval 10 second, ts)
+                                        order by ts desc, seq desc) rn from gs)
+        select handler, b + interval 10 second tick, round(value, 6) value from o where rn = 1""",
+    "retention": f"""
+        with gs as ({GAUGE_SAMPLES_SQL}), nw as (select max(ts) m from gs)
+        select handler, count(*) n_samples, 'retention' scope from gs, nw
+        where ts >= m - interval 200 hour group by handler
+        union all
+        select handler, count(*) n_samples, 'dashboard' scope from gs, nw
+        where ts >= m - interval 30 minute group by handler""",
+    "load_summary": f"""
+        with {LOG},
+        a as (select count(*) t, count_if(status = 200) s,
+                     (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 el from lg)
+        select t total_requests, s successful_requests, t - s failed_requests,
+               case when t > 0 then ((s * 10000) // t) / 100.0e0 else 0.0e0 end success_rate,
+               coalesce(el, 0) duration_s, t // (coalesce(el, 0) + 1) requests_per_second
+        from a""",
+})

@@ -355,6 +355,122 @@ def q_save_load_model(spark, sf_dir):
     return round_doubles(predict_batch(load_model(path), test, ROW_KEY))
 
 
+# ------------------------------------------------------------ metrics -----
+MODEL_LABELS = {"model_name": "bias-baseline", "model_stage": "Production"}
+
+
+def q_recommendations_total(spark, sf_dir):
+    """O53 places scored per model label set."""
+    from ..operators.metrics import recommendations_total
+    return recommendations_total(_scored(spark, sf_dir), MODEL_LABELS)
+
+
+def q_gauge_last(spark, sf_dir):
+    """O54 last duration gauge value per handler (ties on ts: sequence)."""
+    from ..operators.metrics import gauge_last
+    return round_doubles(gauge_last(catalog.gauge_samples(spark, sf_dir), ["handler"],
+                                    order=["ts", "seq"]))
+
+
+def q_confidence_histogram(spark, sf_dir):
+    """O55 cumulative confidence buckets, sum and count per model labels."""
+    from ..operators.metrics import histogram
+    s = _scored(spark, sf_dir).select(
+        *[F.lit(v).alias(k) for k, v in MODEL_LABELS.items()], "confidence_raw")
+    return round_doubles(histogram(s, "confidence_raw", list(MODEL_LABELS)))
+
+
+def q_request_rate(spark, sf_dir):
+    """O56 requests/s over 5-minute windows (1-minute steps) by method, status."""
+    from ..operators.metrics import request_rate
+    return round_doubles(request_rate(catalog.request_log(spark, sf_dir)))
+
+
+def q_counter_rate(spark, sf_dir):
+    """O57 reset-aware rate of the sampled request counter per handler."""
+    from ..operators.metrics import counter_rate
+    return round_doubles(counter_rate(catalog.counter_samples(spark, sf_dir), ["handler"]))
+
+
+def q_endpoint_rates(spark, sf_dir):
+    """O58 requests/s per handler."""
+    from ..operators.metrics import endpoint_rates
+    return round_doubles(endpoint_rates(catalog.request_log(spark, sf_dir)))
+
+
+def q_bucket_rates(spark, sf_dir):
+    """O59 confidence bucket rates per window (request time = order date)."""
+    from ..constants import CONFIDENCE_BUCKETS
+    from ..operators.metrics import bucket_rates
+    return round_doubles(bucket_rates(_scored(spark, sf_dir), "confidence_raw",
+                                      CONFIDENCE_BUCKETS))
+
+
+def q_latency_quantile(spark, sf_dir):
+    """O60 p95 request duration per handler and window from the buckets."""
+    from ..constants import LATENCY_BUCKETS
+    from ..operators.metrics import latency_quantile
+    return round_doubles(latency_quantile(catalog.request_log(spark, sf_dir), LATENCY_BUCKETS))
+
+
+def q_threshold_status(spark, sf_dir):
+    """O61 dashboard colour of each request's diversity gauge."""
+    from ..constants import DIVERSITY_BANDS
+    from ..operators.metrics import threshold_status
+    d = score.diversity(_scored(spark, sf_dir))
+    return round_doubles(d.withColumn("status", threshold_status(F.col("diversity"),
+                                                                 DIVERSITY_BANDS)))
+
+
+def q_excluded_handlers(spark, sf_dir):
+    """O62 requests per (handler, status) after the exclusion rules."""
+    from ..operators.metrics import excluded_handlers
+    log = excluded_handlers(catalog.request_log(spark, sf_dir))
+    return log.groupBy("handler", "status").agg(F.count(F.lit(1)).alias("n_requests"))
+
+
+def q_in_progress(spark, sf_dir):
+    """O63 open requests per handler at every 10-second tick where it changes."""
+    from ..operators.metrics import in_progress
+    return in_progress(catalog.request_log(spark, sf_dir))
+
+
+def q_relabel(spark, sf_dir):
+    """O64 pod relabelling of every scrape target's labels."""
+    from ..constants import POD_RELABEL_RULES
+    from ..operators.metrics import labels_text, relabel
+    out = relabel(catalog.target_labels(spark, sf_dir), POD_RELABEL_RULES)
+    return out.select("event_id", labels_text(F.col("labels")).alias("labels"))
+
+
+def q_sample_at_interval(spark, sf_dir):
+    """O65 last gauge value per handler per 10-second scrape tick."""
+    from ..operators.metrics import sample_at_interval
+    return round_doubles(sample_at_interval(catalog.gauge_samples(spark, sf_dir), ["handler"],
+                                            order=["ts", "seq"]))
+
+
+def q_retention(spark, sf_dir):
+    """O66 samples kept per handler by the 200 h retention and the 30 min
+    dashboard range."""
+    from ..constants import DASHBOARD_RANGE, RETENTION
+    from ..operators.metrics import retention
+    log = catalog.gauge_samples(spark, sf_dir)
+    out = None
+    for name, keep in (("retention", RETENTION), ("dashboard", DASHBOARD_RANGE)):
+        part = (retention(log, keep).groupBy("handler")
+                .agg(F.count(F.lit(1)).alias("n_samples"))
+                .withColumn("scope", F.lit(name)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def q_load_summary(spark, sf_dir):
+    """O67 load-test style summary of the request log."""
+    from ..operators.metrics import load_summary
+    return load_summary(catalog.request_log(spark, sf_dir))
+
+
 QUERIES = Q(
     scan_ratings=q_scan_ratings,
     train_test_split=q_train_test_split,
@@ -405,4 +521,19 @@ QUERIES = Q(
     model_metrics=q_model_metrics,
     feature_importance=q_feature_importance,
     save_load_model=q_save_load_model,
+    recommendations_total=q_recommendations_total,
+    gauge_last=q_gauge_last,
+    confidence_histogram=q_confidence_histogram,
+    request_rate=q_request_rate,
+    counter_rate=q_counter_rate,
+    endpoint_rates=q_endpoint_rates,
+    bucket_rates=q_bucket_rates,
+    latency_quantile=q_latency_quantile,
+    threshold_status=q_threshold_status,
+    excluded_handlers=q_excluded_handlers,
+    in_progress=q_in_progress,
+    relabel=q_relabel,
+    sample_at_interval=q_sample_at_interval,
+    retention=q_retention,
+    load_summary=q_load_summary,
 )

@@ -80,7 +80,7 @@ def tpch_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # outcomes of O6-O8 occur; a share of the JSON texts is cut short so that
 # the malformed path of O2 runs too.
 REQUEST_PLACES_SQL = """
-select o_orderkey request_id, o_custkey user_id,
+select o_orderkey request_id, o_custkey user_id, o_orderdate ts,
        cast(16 + o_custkey % 87 as integer) user_age,
        (o_orderstatus = 'P' and o_orderpriority = '1-URGENT') cut_short,
        row_number() over (partition by o_orderkey
@@ -97,7 +97,7 @@ from orders join lineitem on l_orderkey = o_orderkey
 
 # Orders without line items become requests with an empty place list.
 REQUEST_HEADERS_SQL = """
-select o_orderkey request_id, o_custkey user_id,
+select o_orderkey request_id, o_custkey user_id, o_orderdate ts,
        cast(16 + o_custkey % 87 as integer) user_age,
        (o_orderstatus = 'P' and o_orderpriority = '1-URGENT') cut_short
 from orders
@@ -105,9 +105,9 @@ from orders
 
 
 def tpch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON request texts (F2): ``request_id, user_id, body``."""
+    """JSON request texts (F2): ``request_id, user_id, ts, body``."""
     o = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+        "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     p = table(spark, sf_dir, "part").select(
@@ -138,16 +138,17 @@ def tpch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("body_full"))
     return (req.select(F.col("o_orderkey").alias("request_id"),
                        F.col("o_custkey").alias("user_id"),
+                       F.col("o_orderdate").alias("ts"),
                        F.to_json(F.struct(user.alias("user"),
                                           F.coalesce("places", F.array()).alias("places")))
                        .alias("body_full"),
                        cut.alias("_cut"))
-            .select("request_id", "user_id", body.alias("body")))
+            .select("request_id", "user_id", "ts", body.alias("body")))
 
 
 # ------------------------------------------------------------ request log --
 REQUEST_LOG_SQL = """
-select ts, 'POST' method, event_type handler,
+select event_id, ts, 'POST' method, event_type handler,
        case when event_type = 'error' then 500 else 200 end status,
        value duration_s
 from events
@@ -158,9 +159,89 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HTTP request log rows (F4) from ``events``."""
     e = table(spark, sf_dir, "events")
     return e.select(
-        "ts",
+        "event_id", "ts",
         F.lit("POST").alias("method"),
         F.col("event_type").alias("handler"),
         F.when(F.col("event_type") == "error", 500).otherwise(200).cast("int").alias("status"),
         F.col("value").alias("duration_s"),
     )
+
+
+# ---------------------------------------------------------- metric samples --
+# Gauge samples: every request sets a duration gauge for its handler.
+GAUGE_SAMPLES_SQL = """
+select event_id seq, 'request_duration_seconds' metric, event_type handler, ts, value
+from events
+"""
+
+
+def gauge_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("seq"),
+                    F.lit("request_duration_seconds").alias("metric"),
+                    F.col("event_type").alias("handler"), "ts", "value")
+
+
+# Counter samples: a per-handler request counter, as a scrape every 10 s
+# would read it; the serving process restarts at midnight, so the counter
+# starts from zero every day (resets).  Only ticks with requests appear.
+COUNTER_SAMPLES_SQL = """
+select 'http_requests_total' metric, handler, ts,
+       cast(sum(n) over (partition by handler, cast(ts - interval 1 microsecond as date)
+                         order by ts rows between unbounded preceding and current row)
+            as double) value
+from (select event_type handler,
+             time_bucket(interval 10 second, ts) + interval 10 second ts, count(*) n
+      from events group by 1, 2)
+"""
+
+
+def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    ticks = (e.groupBy(F.col("event_type").alias("handler"),
+                       F.window("ts", "10 seconds").end.alias("ts"))
+             .agg(F.count(F.lit(1)).alias("n")))
+    day = F.to_date(F.col("ts") - F.expr("INTERVAL 1 MICROSECOND"))
+    from pyspark.sql import Window
+    w = (Window.partitionBy("handler", day).orderBy("ts")
+         .rowsBetween(Window.unboundedPreceding, 0))
+    return ticks.select(F.lit("http_requests_total").alias("metric"), "handler", "ts",
+                        F.sum("n").over(w).cast("double").alias("value"))
+
+
+# Scrape targets: pod discovery labels for each event's source pod.
+TARGET_LABELS_SQL = """
+select event_id,
+  map {'__address__': concat('10.0.', user_id % 7, '.', user_id % 11, ':8000'),
+       '__meta_kubernetes_namespace': 'ml-deployment',
+       '__meta_kubernetes_pod_name': concat('fastapi-app-', user_id % 5),
+       '__meta_kubernetes_pod_label_app':
+          case when event_type = 'signup' then 'worker' else 'fastapi-app' end,
+       '__meta_kubernetes_pod_label_tier': 'api',
+       '__meta_kubernetes_pod_annotation_prometheus_io_scrape':
+          case when event_type = 'error' then 'false' else 'true' end,
+       '__meta_kubernetes_pod_annotation_prometheus_io_path': '/metrics',
+       '__meta_kubernetes_pod_annotation_prometheus_io_port': '9100',
+       'handler': event_type} labels
+from events
+"""
+
+
+def target_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    u = F.col("user_id")
+    lab = F.create_map(
+        F.lit("__address__"), F.concat(F.lit("10.0."), (u % 7).cast("string"), F.lit("."),
+                                       (u % 11).cast("string"), F.lit(":8000")),
+        F.lit("__meta_kubernetes_namespace"), F.lit("ml-deployment"),
+        F.lit("__meta_kubernetes_pod_name"), F.concat(F.lit("fastapi-app-"),
+                                                      (u % 5).cast("string")),
+        F.lit("__meta_kubernetes_pod_label_app"),
+        F.when(F.col("event_type") == "signup", "worker").otherwise("fastapi-app"),
+        F.lit("__meta_kubernetes_pod_label_tier"), F.lit("api"),
+        F.lit("__meta_kubernetes_pod_annotation_prometheus_io_scrape"),
+        F.when(F.col("event_type") == "error", "false").otherwise("true"),
+        F.lit("__meta_kubernetes_pod_annotation_prometheus_io_path"), F.lit("/metrics"),
+        F.lit("__meta_kubernetes_pod_annotation_prometheus_io_port"), F.lit("9100"),
+        F.lit("handler"), F.col("event_type"))
+    return e.select("event_id", lab.alias("labels"))
