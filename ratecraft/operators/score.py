@@ -33,11 +33,11 @@ def score_columns(df: DataFrame, prediction: str = "prediction") -> DataFrame:
     """``confidence_raw`` (histogram input), ``predicted_rating``
     (2 digits) and ``confidence_score`` (3 digits), NumPy half-even."""
     clipped = clip_rating(F.col(prediction))
-    return (df.withColumn("_clipped", clipped)
-            .withColumn("confidence_raw", confidence(F.col("_clipped")))
-            .withColumn("predicted_rating", half_even(F.col("_clipped"), RATING_DIGITS))
-            .withColumn("confidence_score", half_even(F.col("confidence_raw"), CONFIDENCE_DIGITS))
-            .drop("_clipped"))
+    conf = confidence(clipped)
+    return df.withColumns({
+        "confidence_raw": conf,
+        "predicted_rating": half_even(clipped, RATING_DIGITS),
+        "confidence_score": half_even(conf, CONFIDENCE_DIGITS)})
 
 
 def rank_places(scored: DataFrame, request: str = REQ) -> DataFrame:

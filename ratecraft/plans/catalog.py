@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources import fixtures
 
 _CACHE: dict[tuple[str, str, str], DataFrame] = {}
+_MODELS: dict[tuple[str, str, str], object] = {}
 
 
 def _key(spark: SparkSession, sf_dir: str, name: str):
@@ -53,17 +54,30 @@ def target_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.target_labels(spark, sf_dir)
 
 
+_OBJECTS: dict[tuple[str, str, str], object] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str, build):
+    """Any derived object (checkpointed tables, tuples of tables) built once
+    per (application, folder, name)."""
+    k = _key(spark, sf_dir, name)
+    if k not in _OBJECTS:
+        _OBJECTS[k] = build()
+    return _OBJECTS[k]
+
+
 def clear() -> None:
+    """Forget every shared input (the benchmark times each query cold)."""
     for df in _CACHE.values():
         try:
             df.unpersist()
         except Exception:  # session already gone
             pass
     _CACHE.clear()
+    _OBJECTS.clear()
+    _MODELS.clear()
 
 
-_MODELS: dict[tuple[str, str, str], object] = {}
-
 
 def model(spark: SparkSession, sf_dir: str, name: str, fit):
     """A fitted model per (application, folder, name); fitted once."""

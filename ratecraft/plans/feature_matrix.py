@@ -26,6 +26,7 @@ from ..functions import round_doubles
 from ..operators import features, joins, stats
 from ..operators.split import TRAIN_FLAG, with_split
 from ..plans.skew import MAX_HOT_KEYS, ROWS_PER_TASK
+from .materialize import materialize
 
 
 class StatTables(NamedTuple):
@@ -38,19 +39,25 @@ class StatTables(NamedTuple):
     glob: DataFrame
 
 
-def stat_tables(rows: DataFrame) -> StatTables:
-    """Every statistic of O12-O19 from rating rows carrying ``is_train``."""
-    uc_pairs = stats.pair_table(rows, "place_category", "uc")
-    uy_pairs = stats.pair_table(rows, "place_city", "ucy")
+def stat_tables(rows: DataFrame, checkpoint: bool = True) -> StatTables:
+    """Every statistic of O12-O19 from rating rows carrying ``is_train``.
+
+    One grouping-sets pass computes all per-key aggregates; with
+    ``checkpoint`` that one table (aggregates, far smaller than the
+    ratings) is written to the shared checkpoint folder, so the joins that
+    follow plan and recover from a short lineage."""
+    g = materialize(stats.grouped_statistics(rows), checkpoint, "statistics")
+    t = stats.split_statistics(g)
+    uc, uy = t["uc_pairs"], t["uy_pairs"]
     return StatTables(
-        users=stats.user_table(rows),
-        places=stats.place_table(rows),
-        categories=stats.rollup_table(uc_pairs, "place_category", "uc", "category_mean",
+        users=t["users"],
+        places=t["places"],
+        categories=stats.rollup_table(uc, "place_category", "uc", "category_mean",
                                       "category_count"),
-        cities=stats.rollup_table(uy_pairs, "place_city", "ucy", "city_mean", "city_count"),
-        user_cat=stats.preference_table(uc_pairs, "place_category", "uc", "user_category_pref"),
-        user_city=stats.preference_table(uy_pairs, "place_city", "ucy", "user_city_pref"),
-        glob=stats.global_table(rows),
+        cities=stats.rollup_table(uy, "place_city", "ucy", "city_mean", "city_count"),
+        user_cat=stats.preference_table(uc, "place_category", "uc", "user_category_pref"),
+        user_city=stats.preference_table(uy, "place_city", "ucy", "user_city_pref"),
+        glob=t["glob"],
     )
 
 

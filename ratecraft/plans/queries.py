@@ -200,8 +200,14 @@ def q_serving_features(spark, sf_dir):
 
 
 def _enriched(spark, sf_dir):
-    tables = serving.serving_tables(catalog.ratings(spark, sf_dir), key_cols=ROW_KEY)
-    return serving.enriched_features(_request_rows(spark, sf_dir), tables)
+    """Request rows with training statistics.  The statistics tables and the
+    parsed request rows are checkpointed once per session and shared by the
+    scoring queries."""
+    tables = catalog.shared(spark, sf_dir, "serving_tables", lambda: serving.serving_tables(
+        catalog.ratings(spark, sf_dir), key_cols=ROW_KEY))
+    rows = catalog.shared(spark, sf_dir, "request_rows", lambda: serving.request_rows(
+        catalog.requests(spark, sf_dir), checkpoint=True))
+    return serving.enriched_features(rows, tables)
 
 
 def q_serving_features_enriched(spark, sf_dir):

@@ -22,16 +22,20 @@ from ..operators import features, score, validate
 from ..operators.split import with_split
 from ..sources.requests import parse_requests
 from .feature_matrix import StatTables, attach_stats, stat_tables
+from .materialize import materialize
 
 Predictor = Callable[[DataFrame], DataFrame]
 REQUEST_KEY = ["request_id", "pos"]
 
 
-def request_rows(requests: DataFrame, text_col: str = "body") -> DataFrame:
-    """Valid requests only, defaults filled, one row per (request, place)."""
+def request_rows(requests: DataFrame, text_col: str = "body",
+                 checkpoint: bool = False) -> DataFrame:
+    """Valid requests only, defaults filled, one row per (request, place).
+
+    ``checkpoint`` writes the parsed rows once (they feed several joins)."""
     parsed = parse_requests(requests, text_col)
     ok = validate.fill_defaults(validate.valid_requests(parsed))
-    return validate.explode_places(ok.drop("malformed", "n_places"))
+    return materialize(validate.explode_places(ok.drop("malformed", "n_places")), checkpoint)
 
 
 def default_features(rows: DataFrame, stats_col: str | None = None) -> DataFrame:

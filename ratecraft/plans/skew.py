@@ -10,7 +10,9 @@ per salt value.  Every large-side row still meets exactly one copy, so the
 result is the plain join's result.
 
 Only the hot-key list ``(key, n_salt)`` is broadcast; it holds at most
-``max_hot_keys`` rows (a top-k by row count), a fixed bound.
+``max_hot_keys`` rows (a top-k by row count), a fixed bound.  When the list
+is empty (one bounded ``limit(1)`` job finds out) the join is planned as a
+plain equi-join, so balanced data pays nothing for the skew handling.
 
 ``bounded_broadcast`` broadcasts a table only after checking its row count;
 beyond the bound the caller's plan keeps a shuffle join.
@@ -74,7 +76,10 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], *, rows_col: st
     else:
         hot = hot_keys(small, on, rows_col, rows_per_task=rows_per_task,
                        max_hot_keys=max_hot_keys)
-    hot = F.broadcast(hot)
+    # One bounded job: with no hot key the join stays a plain equi-join.
+    if not hot.limit(1).collect():
+        return big.join(small, on, how)
+    hot = F.broadcast(hot.cache())
     salt_cols = salt_cols or big.columns
     salt = (F.when(F.col(_NSALT).isNull(), F.lit(0))
             .otherwise(F.pmod(F.xxhash64(*salt_cols), F.col(_NSALT)).cast("int")))
