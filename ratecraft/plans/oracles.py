@@ -483,3 +483,80 @@ ORACLES.update({
                coalesce(el, 0) duration_s, t // (coalesce(el, 0) + 1) requests_per_second
         from a""",
 })
+
+
+# ------------------------------------------------------------ streaming ---
+ORACLES.update({
+    # every window closed by the final watermark (newest event - 10 minutes)
+    "stream_metrics": f"""
+        with {LOG}, {SLIDE.format(src='lg')}
+        select ws window_start, ws + interval 5 minute window_end, method, status,
+               round(count(*) / 300.0e0, 6) rate
+        from sw group by ws, method, status
+        having ws + interval 5 minute <= (select max(ts) from lg) - interval 10 minute""",
+    # streamed scoring must equal the batch ranking
+    "stream_score": ORACLES["rank_places"],
+})
+
+
+# ----------------------------------------------------------------- runs ---
+RUNS = JOINED + """,
+pr as (select 'global_mean' run_id, user_rating y, global_mean p from j where not is_train
+       union all select 'user_mean', user_rating, user_mean from j where not is_train
+       union all select 'place_mean', user_rating, place_mean from j where not is_train
+       union all select 'bias', user_rating, place_rating + user_mean - global_mean
+                 from j where not is_train),
+rm as (select run_id, avg((y - p) * (y - p)) mse, avg(abs(y - p)) mae,
+              sqrt(avg((y - p) * (y - p))) rmse,
+              count_if(y >= 3.5 and p >= 3.5) tp, count_if(y < 3.5 and p >= 3.5) fp,
+              count_if(y >= 3.5 and p < 3.5) fn,
+              sum(case when y >= 4.0e0 then 1 else 0 end) n_rel, count(*) n_rows
+       from pr group by run_id),
+gr as (select run_id, p s, count(*) n, sum(case when y >= 4.0e0 then 1 else 0 end) g
+       from pr group by run_id, p),
+gt as (select * from (select *, row_number() over (partition by run_id order by s desc) rn
+                      from gr) where rn <= 10),
+ps as (select *, coalesce(sum(n) over (partition by run_id order by s desc
+          rows between unbounded preceding and 1 preceding), 0) st from gt),
+dc as (select run_id, sum(cast(g as double) / n * coalesce(list_sum(list_transform(
+          range(cast(st as bigint), cast(least(st + n, 10) as bigint)),
+          lambda i: 1.0e0 / log2(i + 2))), 0.0e0)) dcg from ps group by run_id),
+m0 as (select rm.*, dc.dcg,
+         coalesce(list_sum(list_transform(range(0, cast(least(n_rel, 10) as bigint)),
+                  lambda i: 1.0e0 / log2(i + 2))), 0.0e0) idcg,
+         case when tp + fp > 0 then cast(tp as double) / (tp + fp) else 0.0e0 end pre,
+         case when tp + fn > 0 then cast(tp as double) / (tp + fn) else 0.0e0 end rec
+       from rm join dc on rm.run_id = dc.run_id),
+m as (select run_id, mse, mae, rmse,
+        case when idcg > 0 and n_rows > 1 then coalesce(dcg, 0.0e0) / idcg else 0.0e0 end ndcg_10,
+        pre "precision", rec recall,
+        case when pre + rec > 0 then 2.0e0 * pre * rec / (pre + rec) else 0.0e0 end f1_score
+      from m0),
+lm as (unpivot m on mse, mae, rmse, ndcg_10, "precision", recall, f1_score
+       into name key value value),
+ver as (select run_id, cast(row_number() over (order by run_id) as integer) version,
+               case when row_number() over (order by rmse, run_id) = 1
+                    then 'production' end alias from m)
+"""
+
+ORACLES.update({
+    "run_metrics_sink": _with(RUNS, "select run_id, key, round(value, 6) value from lm"),
+    "compare_runs": _with(RUNS, """
+        select run_id, round(rmse, 6) rmse, round(mae, 6) mae, round(mse, 6) mse,
+               round(ndcg_10, 6) ndcg_10, round(f1_score, 6) f1_score,
+               cast(row_number() over (order by rmse, run_id) as integer) run_rank,
+               row_number() over (order by rmse, run_id) = 1 is_best
+        from m"""),
+    "resolve_model": _with(RUNS, """
+        select 'rating-gb' model_name, cast(version as varchar) model_version,
+               'production' model_stage, v.run_id, round(rmse, 6) rmse, round(mae, 6) mae,
+               0.78e0 r2_score, 'production' requested_alias
+        from ver v join m on m.run_id = v.run_id where alias = 'production'
+        union all
+        select 'rating-gb', cast(version as varchar), 'latest', v.run_id, round(rmse, 6),
+               round(mae, 6), 0.78e0, 'staging'
+        from ver v join m on m.run_id = v.run_id where version = (select max(version) from ver)
+        union all
+        select 'baseline-fallback-model', '1.0', 'Production', 'fallback', 0.85e0, 0.65e0,
+               0.78e0, 'production'"""),
+})

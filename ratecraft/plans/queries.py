@@ -477,6 +477,106 @@ def q_load_summary(spark, sf_dir):
     return load_summary(catalog.request_log(spark, sf_dir))
 
 
+# ---------------------------------------------------------- streaming -----
+def q_stream_metrics(spark, sf_dir):
+    """Request rates from a file stream of the request log (watermark
+    10 minutes, append mode): every window the final watermark has closed."""
+    from ..session import scratch_path
+    from ..streaming import jobs
+    land = jobs.landing_folder(spark, catalog.request_log(spark, sf_dir), "log-landing")
+    schema = spark.read.parquet(land).schema
+    stream = spark.readStream.schema(schema).parquet(land)
+    out, ck = scratch_path(spark, "stream-metrics"), scratch_path(spark, "stream-metrics-ck")
+    jobs.run_available(jobs.stream_request_rates(stream), out, ck)
+    res = spark.read.parquet(out)
+    return round_doubles(res.select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+        F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+        "method", "status", "rate"))
+
+
+def q_stream_score(spark, sf_dir):
+    """A file stream of JSON requests scored batch by batch with the
+    batch plan (statistics joins, predictor, rank) via foreachBatch."""
+    from ..session import scratch_path
+    from ..streaming import jobs
+    tables = catalog.shared(spark, sf_dir, "serving_tables", lambda: serving.serving_tables(
+        catalog.ratings(spark, sf_dir), key_cols=ROW_KEY))
+    land = jobs.landing_folder(spark, catalog.requests(spark, sf_dir), "request-landing")
+    schema = spark.read.parquet(land).schema
+    stream = spark.readStream.schema(schema).parquet(land)
+
+    def score_batch(batch):
+        rows = serving.request_rows(batch)
+        ranked = serving.scored(serving.enriched_features(rows, tables), serving.bias_predictor)
+        return ranked.select("request_id", "pos", "place_id", "predicted_rating",
+                             "confidence_score", "recommendation_rank")
+
+    out, ck = scratch_path(spark, "stream-score"), scratch_path(spark, "stream-score-ck")
+    jobs.stream_score(stream, score_batch, out, ck)
+    return spark.read.parquet(out).drop("batch_id")
+
+
+def q_response_sink(spark, sf_dir):
+    """O5 (rows only): JSON responses written as JSON files, read back."""
+    from ..session import scratch_path
+    path = scratch_path(spark, "responses")
+    score.request_response(_scored(spark, sf_dir), "bias-baseline").write.json(path)
+    return spark.read.schema("request_id long, response string").json(path)
+
+
+# --------------------------------------------------------------- runs -----
+MODEL_NAME = "rating-gb"
+
+
+def _run_predictors():
+    """Closed-form predictors, one run each, evaluated on the test split."""
+    return {"global_mean": F.col("global_mean"), "user_mean": F.col("user_mean"),
+            "place_mean": F.col("place_mean"),
+            "bias": F.col("place_rating") + F.col("user_mean") - F.col("global_mean")}
+
+
+def _run_metrics(spark, sf_dir):
+    from ..operators.runs import run_metrics_table
+    test = _matrix(spark, sf_dir).where(~F.col(TRAIN_FLAG))
+    return run_metrics_table(test, _run_predictors())
+
+
+def q_run_metrics_sink(spark, sf_dir):
+    """O3: run metrics and parameters appended (partitioned by run), read back."""
+    from ..operators.runs import run_params_table, write_runs
+    from ..session import scratch_path
+    base = scratch_path(spark, "runs")
+    test = _matrix(spark, sf_dir).where(~F.col(TRAIN_FLAG))
+    write_runs(_run_metrics(spark, sf_dir), f"{base}/metrics")
+    write_runs(run_params_table(test, _run_predictors()), f"{base}/params")
+    back = spark.read.parquet(f"{base}/metrics")
+    return round_doubles(back.select(F.col("run_id").cast("string").alias("run_id"),
+                                     "key", "value"))
+
+
+def q_compare_runs(spark, sf_dir):
+    """Runs side by side, best rmse first."""
+    from ..operators.evaluate import compare_runs
+    return round_doubles(compare_runs(_run_metrics(spark, sf_dir),
+                                      ["rmse", "mae", "mse", "ndcg_10", "f1_score"]))
+
+
+def q_resolve_model(spark, sf_dir):
+    """Serving model for alias present / alias absent / no versions."""
+    from ..operators.evaluate import resolve_model
+    from ..operators.runs import register_versions
+    m = _run_metrics(spark, sf_dir).cache()
+    versions = register_versions(m, MODEL_NAME)
+    cases = [(MODEL_NAME, "production"), (MODEL_NAME, "staging"), ("missing-model", "production")]
+    out = None
+    for name, alias in cases:
+        part = resolve_model(versions, m, name, alias).withColumn("requested_alias",
+                                                                   F.lit(alias))
+        out = part if out is None else out.unionByName(part)
+    return round_doubles(out)
+
+
 QUERIES = Q(
     scan_ratings=q_scan_ratings,
     train_test_split=q_train_test_split,
@@ -542,4 +642,10 @@ QUERIES = Q(
     sample_at_interval=q_sample_at_interval,
     retention=q_retention,
     load_summary=q_load_summary,
+    stream_metrics=q_stream_metrics,
+    stream_score=q_stream_score,
+    response_sink=q_response_sink,
+    run_metrics_sink=q_run_metrics_sink,
+    compare_runs=q_compare_runs,
+    resolve_model=q_resolve_model,
 )
