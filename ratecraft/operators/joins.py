@@ -29,6 +29,28 @@ def with_globals(rows: DataFrame, glob: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(glob))
 
 
+def _counts(count_from: dict | None, kind: str):
+    """Per-key row counts of the joined rows (``key_counts``), or None to use
+    the counts stored in the statistics table."""
+    return None if count_from is None else count_from[kind]
+
+
+def key_counts(rows: DataFrame) -> dict[str, DataFrame]:
+    """Rows per user, place, (user, category) and (user, city) of ``rows``
+    in ONE grouping-sets pass (partial aggregation before one shuffle);
+    used to find hot keys when ``rows`` is not the statistics' source."""
+    from .stats import GID_PLACE, GID_USER, GID_USER_CAT, GID_USER_CITY, KEYS
+    sets = [["user_id"], ["place_id"], ["user_id", "place_category"], ["user_id", "place_city"]]
+    g = (rows.groupingSets(sets, *KEYS)
+         .agg(F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("__rows"))
+         .cache())
+    pick = {"user": (GID_USER, ["user_id"]), "place": (GID_PLACE, ["place_id"]),
+            "user_category": (GID_USER_CAT, ["user_id", "place_category"]),
+            "user_city": (GID_USER_CITY, ["user_id", "place_city"])}
+    return {k: g.where(F.col("gid") == gid).select(*cols, "__rows")
+            for k, (gid, cols) in pick.items()}
+
+
 def _present(flag: str, value, default):
     return F.when(F.col(flag), value).otherwise(default)
 
@@ -49,8 +71,8 @@ def join_user_stats(rows: DataFrame, users: DataFrame, *, salt_cols=None, count_
     j = salted_join(rows, u.withColumnsRenamed({
         "user_mean": "_um", "user_std": "_us", "user_count": "_uc",
         "user_range": "_ur", "user_avg_price": "_uap"}), ["user_id"],
-        rows_col=None if count_from is not None else "u_rows",
-        counts_from=count_from,
+        rows_col="__rows" if count_from is not None else "u_rows",
+        counts=_counts(count_from, "user"),
         salt_cols=salt_cols, rows_per_task=rows_per_task, max_hot_keys=max_hot_keys)
     return _finish(j, {
         "u_present": F.coalesce(F.col("u_present"), F.lit(False)),
@@ -69,8 +91,8 @@ def join_place_stats(rows: DataFrame, places: DataFrame, *, salt_cols=None, coun
     p = places.select("place_id", "p_rows", "p_present",
                       F.col("place_mean").alias("_pm"), F.col("place_std").alias("_ps"),
                       F.col("place_count").alias("_pc"))
-    j = salted_join(rows, p, ["place_id"], rows_col=None if count_from is not None else "p_rows",
-                    counts_from=count_from,
+    j = salted_join(rows, p, ["place_id"], rows_col="__rows" if count_from is not None else "p_rows",
+                    counts=_counts(count_from, "place"),
                     salt_cols=salt_cols,
                     rows_per_task=rows_per_task, max_hot_keys=max_hot_keys)
     return _finish(j, {
@@ -108,12 +130,12 @@ def join_preferences(rows: DataFrame, user_cat: DataFrame, user_city: DataFrame,
     uy = user_city.select("user_id", "place_city", "ucy_rows", "ucy_present",
                           F.col("user_city_pref").alias("_uyp"))
     j = salted_join(rows, uc, ["user_id", "place_category"],
-                    rows_col=None if count_from is not None else "uc_rows",
-                    counts_from=count_from,
+                    rows_col="__rows" if count_from is not None else "uc_rows",
+                    counts=_counts(count_from, "user_category"),
                     salt_cols=salt_cols, rows_per_task=rows_per_task, max_hot_keys=max_hot_keys)
     j = salted_join(j, uy, ["user_id", "place_city"],
-                    rows_col=None if count_from is not None else "ucy_rows",
-                    counts_from=count_from,
+                    rows_col="__rows" if count_from is not None else "ucy_rows",
+                    counts=_counts(count_from, "user_city"),
                     salt_cols=salt_cols, rows_per_task=rows_per_task, max_hot_keys=max_hot_keys)
     return _finish(j, {
         "uc_present": F.coalesce(F.col("uc_present"), F.lit(False)),

@@ -46,7 +46,8 @@ def stat_tables(rows: DataFrame, checkpoint: bool = True) -> StatTables:
     ``checkpoint`` that one table (aggregates, far smaller than the
     ratings) is written to the shared checkpoint folder, so the joins that
     follow plan and recover from a short lineage."""
-    g = materialize(stats.grouped_statistics(rows), checkpoint, "statistics")
+    g = materialize(stats.grouped_statistics(rows), checkpoint, "statistics",
+                    partition_by=["gid"])
     t = stats.split_statistics(g)
     uc, uy = t["uc_pairs"], t["uy_pairs"]
     return StatTables(
@@ -69,7 +70,7 @@ def attach_stats(target: DataFrame, t: StatTables, *, salt_cols: list[str] | Non
     ``count_big`` makes the skew split count ``target`` rows per key (use it
     when ``target`` is not the table the statistics came from).
     """
-    kw = dict(salt_cols=salt_cols, count_from=target if count_big else None,
+    kw = dict(salt_cols=salt_cols, count_from=joins.key_counts(target) if count_big else None,
               rows_per_task=rows_per_task, max_hot_keys=max_hot_keys)
     x = joins.with_globals(target, t.glob)
     x = joins.join_category_city(x, t.categories, t.cities)

@@ -15,13 +15,18 @@ from pyspark.sql import DataFrame
 from ..session import scratch_path
 
 
-def materialize(df: DataFrame, enabled: bool = True, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, enabled: bool = True, name: str = "table",
+                partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to a fresh Parquet folder in the shared checkpoint
-    location and return a DataFrame reading it.  ``enabled=False`` keeps
-    the lineage."""
+    location and return a DataFrame reading it.  ``partition_by`` splits the
+    folder so that a filter on those columns reads (and is size-estimated
+    from) its own files only.  ``enabled=False`` keeps the lineage."""
     if not enabled:
         return df
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
     return spark.read.parquet(path)

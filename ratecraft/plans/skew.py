@@ -53,29 +53,26 @@ def hot_keys(small: DataFrame, on: list[str], rows_col: str, *,
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], *, rows_col: str | None,
                 salt_cols: list[str] | None = None, how: str = "left",
-                counts_from: DataFrame | None = None,
+                counts: DataFrame | None = None,
                 rows_per_task: int = ROWS_PER_TASK,
                 max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
     """Equi-join ``big`` with ``small`` (unique on ``on``), splitting hot keys.
 
-    ``rows_col`` names the column of ``small`` counting ``big`` rows per key;
-    with ``None`` the counts come from a partial aggregate of
-    ``counts_from`` (default ``big``) - pass the un-joined base rows when
-    ``big`` is the output of earlier joins, so the count does not re-plan
-    them.
+    ``rows_col`` names the column counting ``big`` rows per key - in
+    ``counts`` (keys + ``rows_col``) when given, else in ``small``.  With
+    ``rows_col=None`` the counts come from a partial aggregate of ``big``.
     ``salt_cols`` are deterministic columns of ``big`` that vary within a
     key (a row key); default all columns of ``big``.
     """
     if how not in ("left", "inner"):
         raise ValueError("salted_join supports left and inner joins")
     if rows_col is None:
-        base = counts_from if counts_from is not None else big
-        counts = base.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
-        hot = hot_keys(counts, on, "__rows", rows_per_task=rows_per_task,
+        counted = big.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
+        hot = hot_keys(counted, on, "__rows", rows_per_task=rows_per_task,
                        max_hot_keys=max_hot_keys)
     else:
-        hot = hot_keys(small, on, rows_col, rows_per_task=rows_per_task,
-                       max_hot_keys=max_hot_keys)
+        hot = hot_keys(counts if counts is not None else small, on, rows_col,
+                       rows_per_task=rows_per_task, max_hot_keys=max_hot_keys)
     # One bounded job: with no hot key the join stays a plain equi-join.
     if not hot.limit(1).collect():
         return big.join(small, on, how)
