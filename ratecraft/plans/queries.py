@@ -345,6 +345,14 @@ def q_model_metrics(spark, sf_dir):
                          .crossJoin(ndcg_at_k(p)))
 
 
+def q_model_rank_places(spark, sf_dir):
+    """O36 + O44-O47 (rows only): valid requests scored by the fitted
+    boosted-tree pipeline instead of the closed-form predictor."""
+    ranked = serving.scored(_enriched(spark, sf_dir), serving.model_predictor(_model(spark, sf_dir)))
+    return ranked.select("request_id", "pos", "place_id", "predicted_rating",
+                         "confidence_score", "recommendation_rank")
+
+
 def q_feature_importance(spark, sf_dir):
     """O40 (rows only)."""
     from ..operators.train import feature_importance
@@ -625,6 +633,7 @@ QUERIES = Q(
     train_gbt=q_train_gbt,
     predict_batch=q_predict_batch,
     model_metrics=q_model_metrics,
+    model_rank_places=q_model_rank_places,
     feature_importance=q_feature_importance,
     save_load_model=q_save_load_model,
     recommendations_total=q_recommendations_total,

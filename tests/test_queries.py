@@ -25,6 +25,7 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_an_oracle_or_is_rows_only():
     rows_only = {"request_response", "train_gbt", "predict_batch", "model_metrics",
+                 "model_rank_places",
                  "feature_importance", "save_load_model", "response_sink"}
     assert set(QUERIES) - set(ORACLES) == rows_only
 
