@@ -23,6 +23,9 @@ from ..constants import (CONFIDENCE_BUCKETS, EXCLUDED_HANDLERS, QUANTILE, RATE_W
                          RATE_WINDOW_SECONDS, SCRAPE_INTERVAL)
 
 
+DAY_US = 86_400 * 1_000_000
+
+
 def _le_label(b: float) -> str:
     return "+Inf" if b == float("inf") else repr(float(b))
 
@@ -93,13 +96,26 @@ def counter_increases(samples: DataFrame, series: list[str], ts: str = "ts",
                       value: str = "value") -> DataFrame:
     """Increase of a sampled counter since its previous sample; a drop is a
     reset, so the new value is the increase.  The first sample of a series
-    has no increase (unknown start)."""
-    w = Window.partitionBy(*series).orderBy(ts)
-    prev = F.lag(value).over(w)
+    has no increase (unknown start).
+
+    The previous sample is found inside (series, day) windows; the first
+    sample of a day takes the last value of the series' previous sampled
+    day from a window over one row per day, so no window partition holds
+    more than one day of samples (or one row per day)."""
+    day = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(DAY_US))
+    x = samples.withColumn("__day", day)
+    w = Window.partitionBy(*series, "__day").orderBy(ts)
+    x = x.withColumn("__prev", F.lag(value).over(w))
+    last = (x.groupBy(*series, "__day").agg(F.max_by(F.col(value), F.col(ts)).alias("__last")))
+    wd = Window.partitionBy(*series).orderBy("__day")
+    last = last.select(*series, "__day", F.lag("__last").over(wd).alias("__prev_day"))
+    x = (x.join(last, [*series, "__day"])
+         .withColumn("__prev", F.coalesce(F.col("__prev"), F.col("__prev_day"))))
+    prev = F.col("__prev")
     inc = (F.when(prev.isNull(), F.lit(None).cast("double"))
            .when(F.col(value) >= prev, F.col(value) - prev)
            .otherwise(F.col(value)))
-    return samples.withColumn("increase", inc)
+    return x.withColumn("increase", inc).drop("__day", "__prev", "__prev_day")
 
 
 def counter_rate(samples: DataFrame, series: list[str], width: str = RATE_WINDOW,
@@ -190,7 +206,8 @@ def in_progress(log: DataFrame, tick_seconds: int = 10, by: list[str] = ("handle
     Each request adds +1 at the first tick >= start and -1 at the first tick
     >= end; deltas are summed per tick (partial aggregation), then a running
     sum over the ticks of each group gives the gauge at every tick where it
-    changes."""
+    changes.  The running sum is taken per day and offset by the earlier
+    days' totals, so window partitions stay bounded by ticks per day."""
     ts_type = dict(log.dtypes)["ts"]
     start = F.unix_micros(F.col("ts").cast("timestamp"))
     end = start + (F.col("duration_s") * F.lit(1e6)).cast("long")
@@ -202,11 +219,22 @@ def in_progress(log: DataFrame, tick_seconds: int = 10, by: list[str] = ("handle
         F.struct(ceil_tick(start).alias("t"), F.lit(1).alias("d")),
         F.struct(ceil_tick(end).alias("t"), F.lit(-1).alias("d")))).alias("e"))
     per_tick = (deltas.groupBy(*by, F.col("e.t").alias("t"))
-                .agg(F.sum("e.d").alias("delta")))
-    w = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+                .agg(F.sum("e.d").alias("delta"))
+                .withColumn("day", F.floor(F.col("t") / F.lit(DAY_US))))
+    # two-level prefix sum: running sum inside each (group, day) plus the
+    # total of all earlier days, so no window holds more than one day of
+    # ticks (or one row per day).
+    day_tot = per_tick.groupBy(*by, "day").agg(F.sum("delta").alias("dsum"))
+    w_days = (Window.partitionBy(*by).orderBy("day")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = day_tot.select(*by, "day", F.coalesce(F.sum("dsum").over(w_days),
+                                                     F.lit(0)).alias("offset"))
+    w_ticks = (Window.partitionBy(*by, "day").orderBy("t")
+               .rowsBetween(Window.unboundedPreceding, 0))
     tick_ts = F.timestamp_micros("t").cast(ts_type)
-    return per_tick.select(*by, tick_ts.alias("tick"),
-                           F.sum("delta").over(w).alias("in_progress"))
+    return (per_tick.join(offsets, [*by, "day"])
+            .select(*by, tick_ts.alias("tick"),
+                    (F.col("offset") + F.sum("delta").over(w_ticks)).alias("in_progress")))
 
 
 def relabel(samples: DataFrame, rules: list[dict], labels: str = "labels") -> DataFrame:
