@@ -147,12 +147,12 @@ ORACLES = {
     "join_user_price": _pick(["user_avg_price"]),
     "cold_start_rows": _with(JOINED + ", tt as (select * from j where not is_train)", """
         select kind, n_rows from (
-          select 'user' kind, count_if(u_cold) n_rows from tt union all
-          select 'place', count_if(p_cold) from tt union all
-          select 'category', count_if(c_cold) from tt union all
-          select 'city', count_if(y_cold) from tt union all
-          select 'user_category', count_if(uc_cold) from tt union all
-          select 'user_city', count_if(uy_cold) from tt union all
+          select 'user' kind, cast(count_if(u_cold) as bigint) n_rows from tt union all
+          select 'place', cast(count_if(p_cold) as bigint) from tt union all
+          select 'category', cast(count_if(c_cold) as bigint) from tt union all
+          select 'city', cast(count_if(y_cold) as bigint) from tt union all
+          select 'user_category', cast(count_if(uc_cold) as bigint) from tt union all
+          select 'user_city', cast(count_if(uy_cold) as bigint) from tt union all
           select 'all_test', count(*) from tt)"""),
     "place_popularity": _pick(["place_popularity"]),
     "price_ratio": _pick(["price_ratio"]),
@@ -229,7 +229,7 @@ def _enriched_sql() -> str:
 
 ORACLES.update({
     "parse_requests": _with(REQ, """
-        select count(*) n_requests, count_if(cut_short) n_malformed,
+        select count(*) n_requests, cast(count_if(cut_short) as bigint) n_malformed,
                (select count(*) from rpv) n_places from rq"""),
     "validate_users": _with(REQ, """
         select request_id, user_age,
@@ -385,7 +385,7 @@ ORACLES.update({
         select handler, round(value, 6) last_value, ts last_ts from o where rn = 1""",
     "confidence_histogram": _with(SCORED + f""",
         hs as (select sum(confidence_raw) hist_sum, count(confidence_raw) hist_count from rk),
-        hb as (select le, count_if(confidence_raw <= bound) bucket_count
+        hb as (select le, cast(count_if(confidence_raw <= bound) as bigint) bucket_count
                from rk, {CONF_BUCKETS} group by le)""", """
         select 'bias-baseline' model_name, 'Production' model_stage, le, bucket_count,
                round(hist_sum, 6) hist_sum, hist_count from hb, hs"""),
@@ -452,8 +452,9 @@ ORACLES.update({
                from us),
         pt as (select handler, t, sum(d) delta from dl group by handler, t)
         select handler, make_timestamp(t) tick,
-               sum(delta) over (partition by handler order by t
-                                rows between unbounded preceding and current row) in_progress
+               cast(sum(delta) over (partition by handler order by t
+                                rows between unbounded preceding and current row) as bigint)
+                 in_progress
         from pt""",
     "relabel": """
         select event_id,
@@ -476,7 +477,7 @@ ORACLES.update({
         where ts >= m - interval 30 minute group by handler""",
     "load_summary": f"""
         with {LOG},
-        a as (select count(*) t, count_if(status = 200) s,
+        a as (select count(*) t, cast(count_if(status = 200) as bigint) s,
                      (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 el from lg)
         select t total_requests, s successful_requests, t - s failed_requests,
                case when t > 0 then ((s * 10000) // t) / 100.0e0 else 0.0e0 end success_rate,
