@@ -1,9 +1,11 @@
 """Rating statistics over the training rows.
 
-All statistics read the *whole* rating table once per grouping key and use
-conditional aggregates (``avg(when(is_train, rating))``), so one pass yields
-both the training statistics and the total row count per key
-(``*_rows``) that the skew-aware joins need.  Partial (map-side)
+Statistics read the *whole* rating table and use conditional aggregates
+(``avg(when(is_train, rating))``), so one pass yields both the training
+statistics and the total row count per key (``*_rows``) that the
+skew-aware joins need.  ``grouped_statistics`` computes every per-key table
+in a single grouping-sets pass (used by the feature matrix); the per-key
+functions below give the same tables one key at a time.  Partial (map-side)
 aggregation runs before every shuffle, so a key holding a third of the rows
 costs one partial row per task, not a third of the data in one task.
 

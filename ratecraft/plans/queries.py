@@ -341,6 +341,7 @@ def q_model_metrics(spark, sf_dir):
     from ..operators.train import predict_batch
     test = _matrix(spark, sf_dir).where(~F.col(TRAIN_FLAG))
     p = predict_batch(_model(spark, sf_dir), test, ROW_KEY + ["label"]).cache()
+    # three one-row aggregates side by side
     return round_doubles(regression_metrics(p).crossJoin(binary_metrics(p))
                          .crossJoin(ndcg_at_k(p)))
 
