@@ -35,10 +35,11 @@ def _counts(count_from: dict | None, kind: str):
     return None if count_from is None else count_from[kind]
 
 
-def key_counts(rows: DataFrame) -> dict[str, DataFrame]:
+def key_counts(rows: DataFrame) -> tuple[dict[str, DataFrame], dict[int, tuple[int, int]]]:
     """Rows per user, place, (user, category) and (user, city) of ``rows``
     in ONE grouping-sets pass (partial aggregation before one shuffle);
-    used to find hot keys when ``rows`` is not the statistics' source."""
+    used to find hot keys when ``rows`` is not the statistics' source.
+    Also returns per-set (keys, rows of the largest key) from one small job."""
     from .stats import GID_PLACE, GID_USER, GID_USER_CAT, GID_USER_CITY, KEYS
     sets = [["user_id"], ["place_id"], ["user_id", "place_category"], ["user_id", "place_city"]]
     g = (rows.groupingSets(sets, *KEYS)
@@ -47,8 +48,11 @@ def key_counts(rows: DataFrame) -> dict[str, DataFrame]:
     pick = {"user": (GID_USER, ["user_id"]), "place": (GID_PLACE, ["place_id"]),
             "user_category": (GID_USER_CAT, ["user_id", "place_category"]),
             "user_city": (GID_USER_CITY, ["user_id", "place_city"])}
-    return {k: g.where(F.col("gid") == gid).select(*cols, "__rows")
-            for k, (gid, cols) in pick.items()}
+    facts = {int(r["gid"]): (int(r["n"]), int(r["mx"] or 0)) for r in
+             g.groupBy("gid").agg(F.count(F.lit(1)).alias("n"),
+                                  F.max("__rows").alias("mx")).collect()}
+    return ({k: g.where(F.col("gid") == gid).select(*cols, "__rows")
+             for k, (gid, cols) in pick.items()}, facts)
 
 
 def _present(flag: str, value, default):
@@ -62,6 +66,7 @@ def _finish(j: DataFrame, new: dict, drop: list[str]) -> DataFrame:
 
 
 def join_user_stats(rows: DataFrame, users: DataFrame, *, salt_cols=None, count_from=None,
+                    has_hot: bool | None = None,
                     rows_per_task: int = ROWS_PER_TASK,
                     max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
     """O21 + O25: user_mean/std (default global), count/range (default 0),
@@ -72,7 +77,7 @@ def join_user_stats(rows: DataFrame, users: DataFrame, *, salt_cols=None, count_
         "user_mean": "_um", "user_std": "_us", "user_count": "_uc",
         "user_range": "_ur", "user_avg_price": "_uap"}), ["user_id"],
         rows_col="__rows" if count_from is not None else "u_rows",
-        counts=_counts(count_from, "user"),
+        counts=_counts(count_from, "user"), has_hot=has_hot,
         salt_cols=salt_cols, rows_per_task=rows_per_task, max_hot_keys=max_hot_keys)
     return _finish(j, {
         "u_present": F.coalesce(F.col("u_present"), F.lit(False)),
@@ -85,6 +90,7 @@ def join_user_stats(rows: DataFrame, users: DataFrame, *, salt_cols=None, count_
 
 
 def join_place_stats(rows: DataFrame, places: DataFrame, *, salt_cols=None, count_from=None,
+                     has_hot: bool | None = None,
                      rows_per_task: int = ROWS_PER_TASK,
                      max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
     """place_mean/std (default global), place_count (default 0)."""
@@ -92,7 +98,7 @@ def join_place_stats(rows: DataFrame, places: DataFrame, *, salt_cols=None, coun
                       F.col("place_mean").alias("_pm"), F.col("place_std").alias("_ps"),
                       F.col("place_count").alias("_pc"))
     j = salted_join(rows, p, ["place_id"], rows_col="__rows" if count_from is not None else "p_rows",
-                    counts=_counts(count_from, "place"),
+                    counts=_counts(count_from, "place"), has_hot=has_hot,
                     salt_cols=salt_cols,
                     rows_per_task=rows_per_task, max_hot_keys=max_hot_keys)
     return _finish(j, {
@@ -103,15 +109,17 @@ def join_place_stats(rows: DataFrame, places: DataFrame, *, salt_cols=None, coun
     }, ["_pm", "_ps", "_pc", "p_rows"])
 
 
-def join_category_city(rows: DataFrame, categories: DataFrame, cities: DataFrame) -> DataFrame:
+def join_category_city(rows: DataFrame, categories: DataFrame, cities: DataFrame,
+                       known_rows: tuple[int, int] | None = None) -> DataFrame:
     """category_mean / city_mean, default global mean.  Both tables are
     broadcast only after a row-count check (``bounded_broadcast``)."""
     c = categories.select("place_category", F.col("uc_present").alias("c_present"),
                           F.col("category_mean").alias("_cm"))
     y = cities.select("place_city", F.col("ucy_present").alias("y_present"),
                       F.col("city_mean").alias("_ym"))
-    j = (rows.join(bounded_broadcast(c), "place_category", "left")
-         .join(bounded_broadcast(y), "place_city", "left"))
+    kc, ky = known_rows if known_rows is not None else (None, None)
+    j = (rows.join(bounded_broadcast(c, known_rows=kc), "place_category", "left")
+         .join(bounded_broadcast(y, known_rows=ky), "place_city", "left"))
     return _finish(j, {
         "c_present": F.coalesce(F.col("c_present"), F.lit(False)),
         "y_present": F.coalesce(F.col("y_present"), F.lit(False)),
@@ -121,7 +129,8 @@ def join_category_city(rows: DataFrame, categories: DataFrame, cities: DataFrame
 
 
 def join_preferences(rows: DataFrame, user_cat: DataFrame, user_city: DataFrame, *,
-                     salt_cols=None, count_from=None, rows_per_task: int = ROWS_PER_TASK,
+                     salt_cols=None, count_from=None, has_hot: tuple | None = None,
+                     rows_per_task: int = ROWS_PER_TASK,
                      max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
     """User-category and user-city preference; an absent pair takes
     the global mean, a present pair with only null ratings stays null."""
@@ -132,10 +141,12 @@ def join_preferences(rows: DataFrame, user_cat: DataFrame, user_city: DataFrame,
     j = salted_join(rows, uc, ["user_id", "place_category"],
                     rows_col="__rows" if count_from is not None else "uc_rows",
                     counts=_counts(count_from, "user_category"),
+                    has_hot=None if has_hot is None else has_hot[0],
                     salt_cols=salt_cols, rows_per_task=rows_per_task, max_hot_keys=max_hot_keys)
     j = salted_join(j, uy, ["user_id", "place_city"],
                     rows_col="__rows" if count_from is not None else "ucy_rows",
                     counts=_counts(count_from, "user_city"),
+                    has_hot=None if has_hot is None else has_hot[1],
                     salt_cols=salt_cols, rows_per_task=rows_per_task, max_hot_keys=max_hot_keys)
     return _finish(j, {
         "uc_present": F.coalesce(F.col("uc_present"), F.lit(False)),

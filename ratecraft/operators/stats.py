@@ -127,17 +127,18 @@ def global_table(rows: DataFrame) -> DataFrame:
 KEYS = ["user_id", "place_id", "place_category", "place_city"]
 # grouping_id bits follow KEYS: a 1 bit means the key is rolled up.
 GID_USER, GID_PLACE, GID_USER_CAT, GID_USER_CITY, GID_ALL = 0b0111, 0b1011, 0b0101, 0b0110, 0b1111
+GID_CAT, GID_CITY = 0b1101, 0b1110
 
 
 def grouped_statistics(rows: DataFrame) -> DataFrame:
     """Every per-key statistic in ONE pass: ``GROUPING SETS`` over (user),
-    (place), (user, category), (user, city) and () with the union of the
-    aggregates.  Spark expands each row once per set inside the task and
-    aggregates partially before the single shuffle, so the ratings are
-    scanned once instead of five times."""
+    (place), (user, category), (user, city), (category), (city) and () with
+    the union of the aggregates.  Spark expands each row once per set inside
+    the task and aggregates partially before the single shuffle, so the
+    ratings are scanned once instead of seven times."""
     r, p = _train(RATING), _train(PRICE)
     sets = [["user_id"], ["place_id"], ["user_id", "place_category"],
-            ["user_id", "place_city"], []]
+            ["user_id", "place_city"], ["place_category"], ["place_city"], []]
     return (rows.groupingSets(sets, *KEYS)
             .agg(F.grouping_id().alias("gid"),
                  F.count(F.lit(1)).alias("n_rows"),
@@ -170,11 +171,28 @@ def split_statistics(g: DataFrame) -> dict[str, DataFrame]:
             F.col("c").alias(f"{prefix}_cnt"))
     glob = g.where(gid == GID_ALL).select(F.col("m").alias("global_mean"),
                                           F.col("s").alias("global_std"))
+
+    def level(g_id, key, prefix, mean_out, count_out):
+        return g.where((gid == g_id) & F.col(key).isNotNull()).select(
+            key, (F.col("n_train") > 0).alias(f"{prefix}_present"),
+            _z(F.col("m")).alias(mean_out), F.col("c").cast("double").alias(count_out))
     return {"users": users, "places": places,
+            "categories": level(GID_CAT, "place_category", "uc", "category_mean",
+                                "category_count"),
+            "cities": level(GID_CITY, "place_city", "ucy", "city_mean", "city_count"),
             "uc_pairs": pairs(GID_USER_CAT, "place_category", "uc"),
             "uy_pairs": pairs(GID_USER_CITY, "place_city", "ucy"), "glob": glob}
 
 
+def set_facts(g: DataFrame) -> dict[int, tuple[int, int]]:
+    """Per grouping set: (number of keys, rows of the largest key).  One
+    small job; at most one row per set reaches the driver.  The join plan
+    takes every skew and broadcast decision from these numbers."""
+    rows = (g.groupBy("gid").agg(F.count(F.lit(1)).alias("n_keys"),
+                                 F.max("n_rows").alias("max_rows")).collect())
+    return {int(r["gid"]): (int(r["n_keys"]), int(r["max_rows"] or 0)) for r in rows}
+
+
 # -------------------------------------------------------- query forms -----
 def user_stats(rows: DataFrame) -> DataFrame:
     """O12 user_stats (present users only)."""

@@ -37,6 +37,7 @@ class StatTables(NamedTuple):
     user_cat: DataFrame
     user_city: DataFrame
     glob: DataFrame
+    facts: dict | None = None      # grouping id -> (keys, rows of largest key)
 
 
 def stat_tables(rows: DataFrame, checkpoint: bool = True) -> StatTables:
@@ -53,12 +54,12 @@ def stat_tables(rows: DataFrame, checkpoint: bool = True) -> StatTables:
     return StatTables(
         users=t["users"],
         places=t["places"],
-        categories=stats.rollup_table(uc, "place_category", "uc", "category_mean",
-                                      "category_count"),
-        cities=stats.rollup_table(uy, "place_city", "ucy", "city_mean", "city_count"),
+        categories=t["categories"],
+        cities=t["cities"],
         user_cat=stats.preference_table(uc, "place_category", "uc", "user_category_pref"),
         user_city=stats.preference_table(uy, "place_city", "ucy", "user_city_pref"),
         glob=t["glob"],
+        facts=stats.set_facts(g),
     )
 
 
@@ -68,15 +69,36 @@ def attach_stats(target: DataFrame, t: StatTables, *, salt_cols: list[str] | Non
     """O21-O25 + O27-O30 on any rows with the rating columns.
 
     ``count_big`` makes the skew split count ``target`` rows per key (use it
-    when ``target`` is not the table the statistics came from).
+    when ``target`` is not the table the statistics came from).  Whether a
+    join needs salting and whether category / city tables are broadcast is
+    decided from per-set key counts measured once (``facts``), not by a job
+    per join.
     """
-    kw = dict(salt_cols=salt_cols, count_from=joins.key_counts(target) if count_big else None,
-              rows_per_task=rows_per_task, max_hot_keys=max_hot_keys)
+    facts = t.facts or {}
+    counts = None
+    if count_big:
+        counts, facts_big = joins.key_counts(target)
+        hot_facts = facts_big
+    else:
+        hot_facts = facts
+
+    def hot(gid):
+        f = hot_facts.get(gid)
+        return None if f is None else f[1] > rows_per_task
+
+    def keys(gid):
+        f = facts.get(gid)
+        return None if f is None else f[0]
+
+    kw = dict(salt_cols=salt_cols, count_from=counts, rows_per_task=rows_per_task,
+              max_hot_keys=max_hot_keys)
     x = joins.with_globals(target, t.glob)
-    x = joins.join_category_city(x, t.categories, t.cities)
-    x = joins.join_user_stats(x, t.users, **kw)
-    x = joins.join_place_stats(x, t.places, **kw)
-    x = joins.join_preferences(x, t.user_cat, t.user_city, **kw)
+    x = joins.join_category_city(x, t.categories, t.cities,
+                                 known_rows=(keys(stats.GID_CAT), keys(stats.GID_CITY)))
+    x = joins.join_user_stats(x, t.users, has_hot=hot(stats.GID_USER), **kw)
+    x = joins.join_place_stats(x, t.places, has_hot=hot(stats.GID_PLACE), **kw)
+    x = joins.join_preferences(x, t.user_cat, t.user_city,
+                               has_hot=(hot(stats.GID_USER_CAT), hot(stats.GID_USER_CITY)), **kw)
     return features.add_scalar_features(x)
 
 

@@ -53,7 +53,7 @@ def hot_keys(small: DataFrame, on: list[str], rows_col: str, *,
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], *, rows_col: str | None,
                 salt_cols: list[str] | None = None, how: str = "left",
-                counts: DataFrame | None = None,
+                counts: DataFrame | None = None, has_hot: bool | None = None,
                 rows_per_task: int = ROWS_PER_TASK,
                 max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
     """Equi-join ``big`` with ``small`` (unique on ``on``), splitting hot keys.
@@ -62,7 +62,9 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], *, rows_col: st
     ``counts`` (keys + ``rows_col``) when given, else in ``small``.  With
     ``rows_col=None`` the counts come from a partial aggregate of ``big``.
     ``salt_cols`` are deterministic columns of ``big`` that vary within a
-    key (a row key); default all columns of ``big``.
+    key (a row key); default all columns of ``big``.  ``has_hot`` passes a
+    known answer to "is any key hot?" (from row counts already at hand);
+    ``None`` asks Spark with one bounded job.
     """
     if how not in ("left", "inner"):
         raise ValueError("salted_join supports left and inner joins")
@@ -73,8 +75,8 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], *, rows_col: st
     else:
         hot = hot_keys(counts if counts is not None else small, on, rows_col,
                        rows_per_task=rows_per_task, max_hot_keys=max_hot_keys)
-    # One bounded job: with no hot key the join stays a plain equi-join.
-    if not hot.limit(1).collect():
+    # With no hot key the join stays a plain equi-join.
+    if has_hot is False or (has_hot is None and not hot.limit(1).collect()):
         return big.join(small, on, how)
     hot = F.broadcast(hot.cache())
     salt_cols = salt_cols or big.columns
@@ -86,12 +88,16 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], *, rows_col: st
     return big_s.join(small_s, on + [_SALT], how).drop(_SALT)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+                      known_rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` if it has at most ``max_rows`` rows, else return it as is.
 
-    The check runs one bounded job (``limit(max_rows + 1).count()``); the
-    checked table is cached so the join does not recompute it.
+    ``known_rows`` is a row count already measured (an upper bound); without
+    it the check runs one bounded job (``limit(max_rows + 1).count()``) and
+    the checked table is cached so the join does not recompute it.
     """
+    if known_rows is not None:
+        return F.broadcast(df) if known_rows <= max_rows else df
     df = df.cache()
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
