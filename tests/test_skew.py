@@ -52,9 +52,29 @@ def test_feature_matrix_with_hot_keys_matches_default(spark):
     b = feature_matrix(r, key_cols=ROW_KEY, rows_per_task=3)   # most keys hot
     assert a.count() == b.count() == r.count()
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert "__salt" in b._jdf.queryExecution().analyzed().toString()
 
 
 def test_bounded_broadcast(spark):
     df = spark.range(10)
     assert skew.bounded_broadcast(df, max_rows=20).count() == 10
     assert skew.bounded_broadcast(df, max_rows=5).count() == 10
+
+
+def test_serving_join_with_hot_request_keys_matches_default(spark):
+    """Serving path: hot keys counted on the request rows (key_counts)."""
+    from ratecraft.plans import serving
+    from ratecraft.plans.feature_matrix import attach_stats
+    from ratecraft.sources.fixtures import ROW_KEY, tpch_ratings, tpch_requests
+    sf = "/root/testdata/sf0.001"
+    tables = serving.serving_tables(tpch_ratings(spark, sf), key_cols=ROW_KEY)
+    rows = serving.request_rows(tpch_requests(spark, sf)).cache()
+    cols = ["request_id", "pos", "user_mean", "place_mean", "category_mean",
+            "user_category_pref", "user_city_pref", "user_avg_price"]
+    a = attach_stats(rows, tables, salt_cols=["request_id", "pos"], count_big=True).select(*cols)
+    b = attach_stats(rows, tables, salt_cols=["request_id", "pos"], count_big=True,
+                     rows_per_task=2).select(*cols)
+    assert a.count() == b.count() == rows.count() > 0
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert "__salt" in b._jdf.queryExecution().analyzed().toString()      # salted
+    assert "__salt" not in a._jdf.queryExecution().analyzed().toString()  # plain
