@@ -125,3 +125,34 @@ def test_binary_and_regression_metrics(spark):
     none = spark.createDataFrame([(1.0, 1.0)], "label double, prediction double")
     z = evaluate.binary_metrics(none).first()
     assert z["precision"] == 0.0 and z["recall"] == 0.0 and z["f1_score"] == 0.0
+
+
+def test_serving_features_defaults_and_stats_struct(spark):
+    """Fixed defaults; a stats struct overrides field by field, a missing
+    place_mean falls back to the place's rating and place_std to 0.5."""
+    from ratecraft.operators.features import feature_columns, serving_features
+    from ratecraft.schema import SERVING_STATS
+    rows = spark.createDataFrame(
+        [(1, 30, 100.0, 4.2, 60, {"global_mean": 3.0, "user_mean": 4.0}),
+         (2, 40, 0.0, 3.0, 45, None)],
+        "request_id long, user_age int, place_price double, place_average_rating double, "
+        f"place_visit_duration_minutes int, stats {SERVING_STATS.simpleString()}")
+    d = {r["request_id"]: r for r in
+         serving_features(rows).select("request_id", *feature_columns()).collect()}
+    assert d[1]["user_mean"] == 3.5 and d[1]["place_count"] == 50.0
+    assert math.isclose(d[1]["price_ratio"], 100.0 / (100.0 * 1.1))
+    assert d[2]["rating_price_ratio"] == 3.0 and d[2]["price_ratio"] == 1.0
+    s = {r["request_id"]: r for r in
+         serving_features(rows, "stats").select("request_id", *feature_columns()).collect()}
+    assert s[1]["user_mean"] == 4.0 and s[1]["global_mean"] == 3.0
+    assert s[1]["place_mean"] == 4.2 and s[1]["place_std"] == 0.5
+    assert math.isclose(s[1]["user_place_deviation"], abs(4.0 - 4.2))
+    assert s[2]["place_mean"] == 3.0 and s[2]["user_mean"] == 3.5   # null struct -> fallbacks
+
+
+def test_parse_flags_malformed_and_counts(spark):
+    from ratecraft.sources.requests import parse_summary
+    df = spark.createDataFrame([(1, req()), (2, '{"user": '), (3, '{"x": 1}'), (4, "[1, 2]")],
+                               "request_id long, body string")
+    s = parse_summary(parse_requests(df)).first()
+    assert s["n_requests"] == 4 and s["n_malformed"] == 2 and s["n_places"] == 1
