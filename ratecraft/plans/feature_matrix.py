@@ -2,14 +2,18 @@
 
 Plan shape (see ``explain``):
 
-* one grouped pass per key over the rating rows - user (O12+O19), place
-  (O13), (user, category) and (user, city) pairs (O17/O18); category and
-  city statistics (O14/O15) are rolled up from the pair tables instead of
-  scanning the ratings again; the global row (O16) is a keyless aggregate.
-  Each pass partially aggregates before its shuffle.
+* ONE grouping-sets pass over the rating rows computes every statistic:
+  user (O12+O19), place (O13), category (O14), city (O15), global (O16),
+  (user, category) and (user, city) pairs (O17/O18), partially aggregated
+  before its single shuffle.  The result is written once as Parquet in the
+  shared checkpoint folder, partitioned by grouping set.
+* one small job reads per set the number of keys and the rows of the
+  largest key; these decide salting (hot keys) and broadcasting (small
+  category / city tables) for the joins below, with no job per join.
 * the rating rows then meet each per-key table once (O21-O25): salted
-  shuffle joins for users, places and pairs, checked broadcasts for
-  category / city, a one-row broadcast for the globals.
+  shuffle joins for users, places and pairs when a key is hot (plain joins
+  otherwise, Spark's size checks may broadcast them), checked broadcasts
+  for category / city, a one-row broadcast for the globals.
 * scalar features (O27-O30) are plain column expressions in the same
   whole-stage-codegen stage as the last join.
 """

@@ -10,8 +10,9 @@ per salt value.  Every large-side row still meets exactly one copy, so the
 result is the plain join's result.
 
 Only the hot-key list ``(key, n_salt)`` is broadcast; it holds at most
-``max_hot_keys`` rows (a top-k by row count), a fixed bound.  When the list
-is empty (one bounded ``limit(1)`` job finds out) the join is planned as a
+``max_hot_keys`` rows (a top-k by row count), a fixed bound.  When no key
+is hot - known from row counts the caller already measured (``has_hot``),
+or found out by one bounded ``limit(1)`` job - the join is planned as a
 plain equi-join, so balanced data pays nothing for the skew handling.
 
 ``bounded_broadcast`` broadcasts a table only after checking its row count;
