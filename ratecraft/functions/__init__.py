@@ -1,6 +1,5 @@
 """Column-expression helpers (JVM-side, codegen friendly)."""
 
-from .numeric import (half_even, round_doubles, round6, safe_ratio, log1p,
-                      sq)
+from .numeric import half_even, round_doubles, safe_ratio
 
-__all__ = ["half_even", "round_doubles", "round6", "safe_ratio", "log1p", "sq"]
+__all__ = ["half_even", "round_doubles", "safe_ratio"]

@@ -7,11 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 
-def round6(c: Column | str) -> Column:
-    """Round a double to 6 digits (comparison precision of the oracles)."""
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
-
-
 def half_even(c: Column, digits: int) -> Column:
     """NumPy-style rounding: ``rint(x * 10^d) / 10^d`` (ties to even).
 
@@ -28,14 +23,6 @@ def safe_ratio(num: Column, den: Column, otherwise: Column | float) -> Column:
     return F.when(den > 0, num / den).otherwise(other)
 
 
-def log1p(c: Column) -> Column:
-    return F.log1p(c)
-
-
-def sq(c: Column) -> Column:
-    return c * c
-
-
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column to ``digits`` (keeps names and order)."""
     cols = []
