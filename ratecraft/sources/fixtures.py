@@ -123,6 +123,10 @@ def tpch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(20) + F.col("p_size") * 5).cast("int").alias("place_visit_duration_minutes"),
         F.col("p_name").alias("place_description"),
     )
+    # A request carries its whole place list, so the order's line items are
+    # gathered into one array per order: bounded by the line items of an
+    # order (at most 13 in the test tables), and requests over the API's
+    # 50-place limit are rejected by validation before any scoring work.
     lines = (
         li.join(p, F.col("l_partkey") == pk)
         .join(n, F.col("n_nationkey") == pk % 25)
