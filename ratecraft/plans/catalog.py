@@ -23,6 +23,7 @@ def _key(spark: SparkSession, sf_dir: str, name: str):
 
 
 _INPUTS: dict[tuple[str, str, str], DataFrame] = {}
+_INPUT_PATHS: dict[tuple[str, str, str], str] = {}
 
 
 def cached(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
@@ -41,12 +42,19 @@ def input_table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame
     k = _key(spark, sf_dir, name)
     df = _INPUTS.get(k)
     if df is None:
-        from .materialize import materialize
-        df = materialize(build(spark, sf_dir), True, f"input-{name}")
-        _INPUTS[k] = df
+        from ..session import scratch_path
+        path = scratch_path(spark, f"input-{name}")
+        build(spark, sf_dir).write.parquet(path)
+        df = spark.read.parquet(path)
+        _INPUTS[k], _INPUT_PATHS[k] = df, path
     return df
 
 
+def input_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Folder of an input table written by ``input_table``."""
+    return _INPUT_PATHS[_key(spark, sf_dir, name)]
+
+
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return input_table(spark, sf_dir, "ratings", fixtures.tpch_ratings)
 
@@ -88,6 +96,7 @@ def clear(inputs: bool = False) -> None:
     ``inputs=True`` forgets the input tables too."""
     if inputs:
         _INPUTS.clear()
+        _INPUT_PATHS.clear()
     for df in _CACHE.values():
         try:
             df.unpersist()

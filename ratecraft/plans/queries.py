@@ -14,7 +14,6 @@ from ..functions import round_doubles
 from ..operators import joins, stats
 from ..operators.split import TRAIN_FLAG, with_split
 from ..sources.fixtures import ROW_KEY
-from ..sources.ratings import conform_ratings
 from . import catalog
 from ..operators import score, validate
 from ..sources.requests import parse_requests, parse_summary
@@ -31,8 +30,12 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ----------------------------------------------------- sources / split ----
 def q_scan_ratings(spark, sf_dir):
-    """O1: rating table with declared columns and types."""
-    return round_doubles(conform_ratings(catalog.ratings(spark, sf_dir), keep=ROW_KEY))
+    """O1: the rating table read from its folder by the rating reader
+    (declared columns and types, row key kept)."""
+    from ..sources.ratings import read_ratings
+    catalog.ratings(spark, sf_dir)                      # written once per session
+    path = catalog.input_path(spark, sf_dir, "ratings")
+    return round_doubles(read_ratings(spark, path, fmt="parquet", keep=tuple(ROW_KEY)))
 
 
 def q_train_test_split(spark, sf_dir):
