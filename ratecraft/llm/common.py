@@ -1,12 +1,11 @@
-"""Helpers that several operators share: tables in the shared folder, row
-keys, running totals over a global order, and files next to those tables."""
+"""Helpers that several operators share: tables in the shared folder, running totals over a global order, and files next to those tables."""
 
 from __future__ import annotations
 
 import time
 
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
@@ -27,11 +26,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def row_key(*cols: str) -> list[Column]:
-    """Two never-null hashes that identify a row by content; equal rows have
-    equal keys, and two different texts under one id share a key with a
-    probability of 2**-96."""
-    return [F.xxhash64(*cols).alias("k1"), F.hash(*cols).alias("k2")]
+def sheltered(docs: DataFrame, *used: str):
+    """``docs`` with all columns but the ``used`` ones renamed out of the way
+    of an operator's own names, and a function that takes any result with
+    these columns back to exactly the columns of ``docs``."""
+    names = [c if c in used else f"_column_{k}" for k, c in enumerate(docs.columns)]
+    back = list(zip(names, docs.columns, strict=True))
+    return docs.toDF(*names), lambda df: df.select(*[F.col(n).alias(c) for n, c in back])
 
 
 def running_totals(df: DataFrame, order_by: list[str], values: list[str], name: str) -> DataFrame:

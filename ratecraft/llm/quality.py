@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import table
+from .common import sheltered, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -241,4 +241,5 @@ TYPES = [*[LongType()] * 5, BooleanType(), BooleanType(), DoubleType(), DoubleTy
 
 def good_documents(docs: DataFrame, **rules) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns unchanged."""
-    return judge(docs, keep=docs.columns, **rules).where("kept").select(*docs.columns)
+    rows, back = sheltered(docs, "doc_id", "text", "lang")
+    return back(judge(rows, keep=rows.columns, **rules).where("kept"))
