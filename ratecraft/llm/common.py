@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import time
+from pathlib import Path
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,7 +26,22 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name=name)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application,
+    unless their PYTHONPATH has it already."""
+    root, app = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
+    if app in _SHIPPED or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    name = Path(__file__).resolve().parents[1].name
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{name}", "zip", root, name))
+    _SHIPPED.add(app)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

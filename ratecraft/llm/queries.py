@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import quality, secret_scan, simhash
 from .common import read
 
 
@@ -16,6 +16,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credential spans of every document: base patterns and linked parts."""
+    found = secret_scan.scan(read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, secret_scan.BASE_KINDS),
+                        F.sha2(secret_scan.span_list(F.col("base")), 256).alias("base_sha256"),
+                        secret_scan.span_list(F.col("spans")).alias("spans"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of near copies of every document."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -24,6 +33,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_quality_rules": op5_quality_rules,
+    "op8_secret_scan": op8_secret_scan,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
