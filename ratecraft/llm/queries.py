@@ -7,10 +7,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secret_scan, simhash
+from . import mixing, quality, secret_scan, simhash
 from .common import read
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    taken = mixing.mix(read(spark, sf_dir, "documents")).taken()
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distribution divergence of every document from its language."""
     return quality.judge(read(spark, sf_dir, "documents"))
@@ -32,9 +38,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_mix_sources": op3_mix_sources,
     "op5_quality_rules": op5_quality_rules,
     "op8_secret_scan": op8_secret_scan,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_mix_sources": mixing.ORACLE,
+}
