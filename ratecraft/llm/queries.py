@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, secret_scan, simhash
+from . import binary, mixing, packing, quality, secret_scan, simhash
 from .common import read
 
 
@@ -22,6 +22,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op7_pack_along_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of 4096 tokens."""
+    return packing.pack(read(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Credential spans of every document: base patterns and linked parts."""
     found = secret_scan.scan(read(spark, sf_dir, "documents"))
@@ -31,6 +36,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secret_scan.span_list(F.col("spans")).alias("spans"))
 
 
+def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written as framed records and read back."""
+    return binary.read_back(binary.write(read(spark, sf_dir, "documents")))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of near copies of every document."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -40,7 +50,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op5_quality_rules": op5_quality_rules,
+    "op7_pack_along_curve": op7_pack_along_curve,
     "op8_secret_scan": op8_secret_scan,
+    "op9_binary_records": op9_binary_records,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
