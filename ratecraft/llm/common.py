@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-import time
 from pathlib import Path
 
 from pyarrow import fs as pafs
@@ -91,11 +90,3 @@ def new_folder(spark: SparkSession, name: str) -> str:
     fs.create_dir(path, recursive=True)
     return uri
 
-
-def publish(fs: pafs.FileSystem, path: str, write) -> None:
-    """Write a file under a name of this attempt, then move it into place, so
-    that a task that is run again replaces a whole file by an equal one."""
-    own = f"{path}.{time.time_ns()}"
-    with fs.open_output_stream(own) as out:
-        write(out)
-    fs.move(own, path)

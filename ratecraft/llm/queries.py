@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, mixing, packing, quality, secret_scan, simhash
+from . import binary, mixing, packing, quality, secret_scan, simhash, warc
 from .common import read
 
 
@@ -17,6 +17,15 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back, from the merged
+    index.  The pages have no capture time, so page n is taken as captured n
+    seconds after a fixed day."""
+    pages = read(spark, sf_dir, "pages").withColumn("captured", F.timestamp_seconds(F.col("page_id") + 1_700_000_000))
+    found = warc.merged_index(warc.capture_runs(warc.write(pages)))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distribution divergence of every document from its language."""
     return quality.judge(read(spark, sf_dir, "documents"))
@@ -49,6 +58,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
+    "op4_warc_index": op4_warc_index,
     "op5_quality_rules": op5_quality_rules,
     "op7_pack_along_curve": op7_pack_along_curve,
     "op8_secret_scan": op8_secret_scan,
@@ -58,4 +68,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_mix_sources": mixing.ORACLE,
+    "op4_warc_index": warc.ORACLE,
 }
