@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratecraft.llm import quality
+from ratecraft.llm import mixing, packing, quality, secret_scan, simhash
 from ratecraft.llm.common import read, table
 
 
@@ -24,8 +24,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.good_documents(docs)
 
 
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, unchanged."""
+    return simhash.one_of_each_group(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the credentials in their texts masked."""
+    return secret_scan.masked(docs)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes: documents once, twice, or cut at a source's quota."""
+    return mixing.mixed_documents(docs)
+
+
+def packing_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in token sequences, with their ids."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("simhash near-dedup", simhash_near_dedup),
+    ("secret scans", secret_scans),
+    ("mixing sources", mixing_sources),
+    ("packing", packing_sequences),
 ]
 
 # No SQL: masking and packing need positions of matches and a tokenizer, and
