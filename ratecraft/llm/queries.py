@@ -7,10 +7,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, mixing, packing, quality, secret_scan, simhash, warc
+from . import binary, mixing, packing, quality, secret_scan, simhash, url_filter, warc
 from .common import read
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url.  Pages have no labels of their own, so the
+    quality label of the document with a page's number is taken as the page's."""
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("label"))
+    return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url").join(labels, "page_id", "left"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     taken = mixing.mix(read(spark, sf_dir, "documents")).taken()
@@ -57,6 +64,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_url_filter": op2_url_filter,
     "op3_mix_sources": op3_mix_sources,
     "op4_warc_index": op4_warc_index,
     "op5_quality_rules": op5_quality_rules,
