@@ -7,10 +7,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, mixing, packing, quality, secret_scan, simhash, url_filter, warc
+from . import binary, embed_dedup, mixing, packing, quality, secret_scan, simhash, url_filter, warc
 from .common import read
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and group of every embedding, whatever its label."""
+    found = embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url.  Pages have no labels of their own, so the
     quality label of the document with a page's number is taken as the page's."""
@@ -64,6 +70,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_mix_sources": op3_mix_sources,
     "op4_warc_index": op4_warc_index,
@@ -75,6 +82,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_embedding_near_dedup": embed_dedup.ORACLE,
     "op3_mix_sources": mixing.ORACLE,
     "op4_warc_index": warc.ORACLE,
 }
