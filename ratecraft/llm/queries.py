@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, embed_dedup, mixing, packing, quality, secret_scan, simhash, url_filter, warc
+from . import binary, embed_dedup, mixing, packing, pseudo_lm, quality, secret_scan, simhash, url_filter, warc
 from .common import read
 
 
@@ -44,6 +44,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op6_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-likelihood of every document under a network trained on all."""
+    return pseudo_lm.pseudo_likelihood(read(spark, sf_dir, "documents"))
+
+
 def op7_pack_along_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of 4096 tokens."""
     return packing.pack(read(spark, sf_dir, "documents"), with_ids=False)
@@ -75,6 +80,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_warc_index": op4_warc_index,
     "op5_quality_rules": op5_quality_rules,
+    "op6_masked_pseudo_likelihood": op6_masked_pseudo_likelihood,
     "op7_pack_along_curve": op7_pack_along_curve,
     "op8_secret_scan": op8_secret_scan,
     "op9_binary_records": op9_binary_records,
