@@ -70,13 +70,24 @@ def histogram(df: DataFrame, value: str, by: list[str],
 
 
 # ------------------------------------------------------------------ rates --
+def per_step(df: DataFrame, ts: str, slide: str, by, *aggs: Column) -> DataFrame:
+    """Aggregates per ``slide``-long step (``step`` is its start).  Windows that
+    start on steps and last whole steps add these up, so the copies that
+    sliding windows make are copies of these few rows, not of the raw ones."""
+    return (df.groupBy(F.window(ts, slide).alias("w"), *by).agg(*aggs)
+            .withColumn("step", F.col("w.start")).drop("w"))
+
+
 def request_rate(log: DataFrame, by: list[str] = ("method", "status"),
                  width: str = RATE_WINDOW, slide: str = "1 minute",
                  seconds: int = RATE_WINDOW_SECONDS) -> DataFrame:
     """O56 requests per second in sliding windows, per ``by`` group."""
-    w = F.window("ts", width, slide)
-    return (log.groupBy(w.alias("w"), *by)
-            .agg((F.count(F.lit(1)) / F.lit(float(seconds))).alias("rate"))
+    if log.isStreaming:                  # one stateful aggregation
+        counted, w = log.withColumn("n", F.lit(1)), F.window("ts", width, slide)
+    else:
+        counted, w = per_step(log, "ts", slide, by, F.count(F.lit(1)).alias("n")), F.window("step", width, slide)
+    return (counted.groupBy(w.alias("w"), *by)
+            .agg((F.sum("n") / F.lit(float(seconds))).alias("rate"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     *by, "rate"))
 
@@ -128,11 +139,13 @@ def counter_rate(samples: DataFrame, series: list[str], width: str = RATE_WINDOW
 def bucket_rates(df: DataFrame, value: str, buckets: list[float], ts: str = "ts",
                  by: list[str] = (), width: str = RATE_WINDOW, slide: str = "1 minute",
                  seconds: int = RATE_WINDOW_SECONDS) -> DataFrame:
-    """O59 per-second rate of each cumulative bucket ``le`` per window."""
-    w = F.window(ts, width, slide).alias("w")
-    h = histogram(df.withColumn("w", w), value, ["w", *by], buckets)
-    return h.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                    *by, "le", (F.col("bucket_count") / F.lit(float(seconds))).alias("rate"))
+    """O59 per-second rate of each cumulative bucket ``le`` per window: bucket
+    counts per step, added up per window."""
+    steps = histogram(df.withColumn("step", F.window(ts, slide)["start"]), value, ["step", *by], buckets)
+    return (steps.groupBy(F.window("step", width, slide).alias("w"), *by, "le")
+            .agg((F.sum("bucket_count") / F.lit(float(seconds))).alias("rate"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                    *by, "le", "rate"))
 
 
 def bucket_quantile(cum: Column, bounds: list[float], q: float) -> Column:
@@ -161,27 +174,24 @@ def latency_quantile(log: DataFrame, bounds: list[float], q: float = QUANTILE,
                      slide: str = "1 minute") -> DataFrame:
     """O60 ``histogram_quantile(q, sum(rate(bucket[5m])) by (le))`` per
     group and window.  Rates share the 1/seconds factor, so the quantile is
-    computed from counts; one aggregate yields all cumulative counts."""
+    computed from counts; one aggregate per step yields all cumulative counts,
+    a second adds them up per window."""
     all_b = [float(b) for b in bounds] + [float("inf")]
-    aggs = [F.count_if(F.col("duration_s") <= F.lit(b)) if b != float("inf")
-            else F.count(F.lit(1)) for b in all_b]
-    g = (log.groupBy(F.window("ts", width, slide).alias("w"), *by)
-         .agg(F.array(*aggs).alias("cum")))
+    aggs = [(F.count_if(F.col("duration_s") <= F.lit(b)) if b != float("inf")
+             else F.count(F.lit(1))).alias(f"b{i}") for i, b in enumerate(all_b)]
+    g = (per_step(log, "ts", slide, by, *aggs).groupBy(F.window("step", width, slide).alias("w"), *by)
+         .agg(F.array(*[F.sum(f"b{i}") for i in range(len(all_b))]).alias("cum")))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     *by, bucket_quantile(F.col("cum"), bounds, q).alias(f"p{int(q * 100)}"))
 
 
 # --------------------------------------------------------- status / misc --
-def threshold_status(value: Column, bands: list[tuple[float | None, str]],
-                     digits: int = 9) -> Column:
+def threshold_status(value: Column, bands: list[tuple[float | None, str]]) -> Column:
     """O61 dashboard colour: the last band whose start the value reaches
-    (the first band has no start).  The value is compared at ``digits``
-    decimals so that a value meant to sit on a band edge (0.3 from ratings
-    with 2 decimals) is not pushed either way by floating-point noise."""
-    v = F.round(value, digits)
+    (the first band has no start).  The exact value is compared."""
     out = F.lit(bands[0][1])
     for start, colour in bands[1:]:
-        out = F.when(v >= F.lit(start), F.lit(colour)).otherwise(out)
+        out = F.when(value >= F.lit(start), F.lit(colour)).otherwise(out)
     return F.when(value.isNull(), F.lit(None)).otherwise(out)
 
 
@@ -290,12 +300,25 @@ def sample_at_interval(samples: DataFrame, series: list[str], interval: str = SC
 def retention(samples: DataFrame, keep: str) -> DataFrame:
     """O66 rows no older than ``keep`` before the newest timestamp (the
     newest timestamp is a one-row aggregate, broadcast)."""
-    newest = samples.agg(F.max("ts").alias("__newest"))
-    return (samples.crossJoin(F.broadcast(newest))
-            .where(F.col("ts") >= F.col("__newest") - F.expr(f"INTERVAL {keep}"))
+    return (with_newest(samples).where(F.col("ts") >= F.col("__newest") - F.expr(f"INTERVAL {keep}"))
             .drop("__newest"))
 
 
+def with_newest(samples: DataFrame) -> DataFrame:
+    return samples.crossJoin(F.broadcast(samples.agg(F.max("ts").alias("__newest"))))   # one row
+
+
+def retained_counts(samples: DataFrame, horizons: dict[str, str], by: list[str]) -> DataFrame:
+    """O66 how many samples of each group every horizon keeps, from one pass
+    with a conditional count per horizon (groups without any are left out)."""
+    wide = with_newest(samples).groupBy(*by).agg(*[
+        F.count_if(F.col("ts") >= F.col("__newest") - F.expr(f"INTERVAL {keep}")).alias(name)
+        for name, keep in horizons.items()])
+    stack = "stack({n}, {pairs}) as (scope, n_samples)".format(
+        n=len(horizons), pairs=", ".join(f"'{k}', `{k}`" for k in horizons))
+    return wide.selectExpr(*by, stack).where("n_samples > 0")
+
+
 def load_summary(log: DataFrame) -> DataFrame:
     """O67 load-test summary: totals, success % truncated to 2 decimals (0
     when there were no requests) and integer requests per second over the

@@ -22,14 +22,15 @@ def split_bucket(key_cols: list[str], seed: int = SPLIT_SEED):
 def with_split(df: DataFrame, *, bucket_col: str = "split_bucket",
                key_cols: list[str] | None = None,
                train_percent: int = TRAIN_PERCENT) -> DataFrame:
-    """Add boolean ``is_train`` (bucket < train_percent)."""
+    """Add boolean ``is_train`` (bucket < train_percent; a null bucket is test)."""
     if bucket_col in df.columns:
         bucket = F.col(bucket_col)
     else:
         if not key_cols:
             raise ValueError("need key_cols to hash when no bucket column exists")
         bucket = split_bucket(key_cols)
-    return df.withColumn(TRAIN_FLAG, bucket < F.lit(train_percent))
+    # a row without a bucket is in the test set: it must not feed the statistics
+    return df.withColumn(TRAIN_FLAG, F.coalesce(bucket < F.lit(train_percent), F.lit(False)))
 
 
 def train_test_split(df: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:

@@ -79,8 +79,7 @@ def place_table(rows: DataFrame) -> DataFrame:
 
 def pair_table(rows: DataFrame, other: str, prefix: str) -> DataFrame:
     """Per (user_id, ``other``) incl. null keys: rows, training rows, rating
-    sum and count.  Source for the preference lookups and, rolled up, for the
-    category / city statistics (one pass over the ratings serves both)."""
+    sum and count: the source of the preference lookups."""
     r = _train(RATING)
     return (rows.groupBy("user_id", other)
             .agg(F.count(F.lit(1)).alias(f"{prefix}_rows"),
@@ -100,18 +99,19 @@ def preference_table(pairs: DataFrame, other: str, prefix: str, out: str) -> Dat
                     F.when(cnt > 0, F.col(f"{prefix}_sum") / cnt).alias(out)))
 
 
-def rollup_table(pairs: DataFrame, key: str, prefix: str, mean_out: str,
-                 count_out: str) -> DataFrame:
-    """Per category (or city) mean and count, rolled up from the
-    (user, key) pair sums.  Absent and all-null keys follow pandas."""
-    cnt_col, sum_col = F.col(f"{prefix}_cnt"), F.col(f"{prefix}_sum")
-    agg = (pairs.where(F.col(key).isNotNull())
+def level_table(rows: DataFrame, key: str, prefix: str, mean_out: str,
+                count_out: str) -> DataFrame:
+    """Per category (or city) mean and count, grouped directly: one
+    partial row per key and task is all that is shuffled.  Absent and
+    all-null keys follow pandas."""
+    r = _train(RATING)
+    agg = (rows.where(F.col(key).isNotNull())
            .groupBy(key)
-           .agg(F.sum(f"{prefix}_train").alias("t"), F.sum(sum_col).alias("s"),
-                F.sum(cnt_col).alias("c")))
+           .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(TRAIN_FLAG)).alias("t"),
+                F.sum(r).alias("s"), F.count(r).alias("c")))
     present = F.col("t") > 0
     return agg.select(
-        key, present.alias(f"{prefix}_present"),
+        key, F.col("n").alias(f"{prefix}_all"), present.alias(f"{prefix}_present"),
         _z(F.when(F.col("c") > 0, F.col("s") / F.col("c"))).alias(mean_out),
         F.col("c").cast("double").alias(count_out))
 
@@ -174,7 +174,8 @@ def split_statistics(g: DataFrame) -> dict[str, DataFrame]:
 
     def level(g_id, key, prefix, mean_out, count_out):
         return g.where((gid == g_id) & F.col(key).isNotNull()).select(
-            key, (F.col("n_train") > 0).alias(f"{prefix}_present"),
+            key, F.col("n_rows").alias(f"{prefix}_all"),
+            (F.col("n_train") > 0).alias(f"{prefix}_present"),
             _z(F.col("m")).alias(mean_out), F.col("c").cast("double").alias(count_out))
     return {"users": users, "places": places,
             "categories": level(GID_CAT, "place_category", "uc", "category_mean",
@@ -208,16 +209,14 @@ def place_stats(rows: DataFrame) -> DataFrame:
 
 def category_stats(rows: DataFrame) -> DataFrame:
     """O14 category_stats."""
-    t = rollup_table(pair_table(rows, "place_category", "uc"), "place_category", "uc",
-                     "category_mean", "category_count")
-    return t.where("uc_present").drop("uc_present")
+    t = level_table(rows, "place_category", "uc", "category_mean", "category_count")
+    return t.where("uc_present").drop("uc_present", "uc_all")
 
 
 def city_stats(rows: DataFrame) -> DataFrame:
     """O15 city_stats."""
-    t = rollup_table(pair_table(rows, "place_city", "ucy"), "place_city", "ucy",
-                     "city_mean", "city_count")
-    return t.where("ucy_present").drop("ucy_present")
+    t = level_table(rows, "place_city", "ucy", "city_mean", "city_count")
+    return t.where("ucy_present").drop("ucy_present", "ucy_all")
 
 
 def user_category_pref(rows: DataFrame) -> DataFrame:
@@ -240,22 +239,14 @@ def user_price_stats(rows: DataFrame) -> DataFrame:
             .select("user_id", "user_avg_price", "user_price_std"))
 
 
-def preference_pivot(rows: DataFrame, categories: list[str] | None = None,
-                     max_values: int = 10_000) -> DataFrame:
-    """O20 wide user x category matrix; absent pairs take the global mean,
-    a present pair whose ratings are all null stays null.
-
-    ``categories`` fixes the pivot columns; when omitted the distinct
-    training categories are fetched behind a size check (at most
-    ``max_values``, Spark's pivot limit), which is the only driver pull.
+def preference_pivot(rows: DataFrame, categories: list[str]) -> DataFrame:
+    """O20 wide user x category matrix with a column for each of the caller's
+    ``categories``; absent pairs take the global mean, a present pair whose
+    ratings are all null stays null.  (The long form of the same matrix, for
+    any number of categories, is ``user_category_pref``.)
     """
     pairs = preference_table(pair_table(rows, "place_category", "uc"),
                              "place_category", "uc", "pref").where("uc_present")
-    if categories is None:
-        distinct = pairs.select("place_category").distinct().limit(max_values + 1)
-        categories = sorted(r[0] for r in distinct.collect())
-        if len(categories) > max_values:
-            raise ValueError(f"more than {max_values} categories: pivot not allowed")
     # marker keeps "present but null" apart from "absent"
     wide = (pairs.groupBy("user_id").pivot("place_category", categories)
             .agg(F.first(F.struct(F.col("pref").alias("v")), ignorenulls=False)))

@@ -72,10 +72,10 @@ def fill_defaults(parsed: DataFrame) -> DataFrame:
 def explode_places(parsed: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row per (request, place) with its list position ``pos``.
 
-    Flattens the user age and the place fields next to ``keep`` columns.
+    Flattens the user age and the place fields next to ``keep`` columns
+    (default: all others, with the ``user`` struct, which responses echo).
     """
-    keep = keep if keep is not None else [c for c in parsed.columns
-                                          if c not in ("user", "places")]
+    keep = keep if keep is not None else [c for c in parsed.columns if c != "places"]
     x = parsed.select(*keep, F.col("user.user_age").alias("user_age"),
                       F.posexplode("places").alias("pos", "place"))
     return x.select(*keep, "user_age", "pos", "place.*")

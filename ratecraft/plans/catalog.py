@@ -9,13 +9,13 @@ re-running the adaptor joins for each reference.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import remove, scratch_path
 from ..sources import fixtures
 
-_CACHE: dict[tuple[str, str, str], DataFrame] = {}
-_MODELS: dict[tuple[str, str, str], object] = {}
+_TABLES: dict[tuple[str, str, str], tuple[DataFrame, str]] = {}
+_MODELS: dict[tuple[str, str, str], str] = {}
 
 
 def _key(spark: SparkSession, sf_dir: str, name: str):
@@ -26,14 +26,14 @@ _INPUTS: dict[tuple[str, str, str], DataFrame] = {}
 _INPUT_PATHS: dict[tuple[str, str, str], str] = {}
 
 
-def cached(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A derived DataFrame persisted once per session (cleared by ``clear``)."""
+def derived(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived table, written once per session (deleted by ``clear``)."""
     k = _key(spark, sf_dir, name)
-    df = _CACHE.get(k)
-    if df is None:
-        df = build(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-        _CACHE[k] = df
-    return df
+    if k not in _TABLES:
+        path = scratch_path(spark, name)
+        build(spark, sf_dir).write.parquet(path)
+        _TABLES[k] = spark.read.parquet(path), path
+    return _TABLES[k][0]
 
 
 def input_table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
@@ -42,7 +42,6 @@ def input_table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame
     k = _key(spark, sf_dir, name)
     df = _INPUTS.get(k)
     if df is None:
-        from ..session import scratch_path
         path = scratch_path(spark, f"input-{name}")
         build(spark, sf_dir).write.parquet(path)
         df = spark.read.parquet(path)
@@ -97,22 +96,21 @@ def clear(inputs: bool = False) -> None:
     if inputs:
         _INPUTS.clear()
         _INPUT_PATHS.clear()
-    for df in _CACHE.values():
-        try:
-            df.unpersist()
-        except Exception:  # session already gone
-            pass
-    _CACHE.clear()
+    for _, path in _TABLES.values():
+        remove(path)
+    _TABLES.clear()
     _OBJECTS.clear()
     _MODELS.clear()
 
 
-
-def model(spark: SparkSession, sf_dir: str, name: str, fit):
-    """A fitted model per (application, folder, name); fitted once."""
+def model_path(spark: SparkSession, sf_dir: str, name: str, fit) -> str:
+    """Folder of a fitted and saved model; fitted once per session."""
     k = _key(spark, sf_dir, name)
-    m = _MODELS.get(k)
-    if m is None:
-        m = fit()
-        _MODELS[k] = m
-    return m
+    if k not in _MODELS:
+        _MODELS[k] = fit()
+    return _MODELS[k]
+
+
+def set_model_path(spark: SparkSession, sf_dir: str, name: str, path: str) -> None:
+    """Let the queries use a model that is saved already."""
+    _MODELS[_key(spark, sf_dir, name)] = path

@@ -10,10 +10,11 @@ Plan shape (see ``explain``):
 * one small job reads per set the number of keys and the rows of the
   largest key; these decide salting (hot keys) and broadcasting (small
   category / city tables) for the joins below, with no job per join.
-* the rating rows then meet each per-key table once (O21-O25): salted
-  shuffle joins for users, places and pairs when a key is hot (plain joins
-  otherwise, Spark's size checks may broadcast them), checked broadcasts
-  for category / city, a one-row broadcast for the globals.
+* the rating rows then meet the users once and the places once (O21-O25):
+  a user's row carries the statistics and two maps with the category and
+  city preferences.  Both are shuffle joins with salted hot and null keys;
+  category / city are checked broadcasts (salted joins beyond the bound),
+  the globals a one-row broadcast.
 * scalar features (O27-O30) are plain column expressions in the same
   whole-stage-codegen stage as the last join.
 """
@@ -29,7 +30,7 @@ from ..constants import FEATURE_NAMES
 from ..functions import round_doubles
 from ..operators import features, joins, stats
 from ..operators.split import TRAIN_FLAG, with_split
-from ..plans.skew import MAX_HOT_KEYS, ROWS_PER_TASK
+from ..plans.skew import ROWS_PER_TASK
 from .materialize import materialize
 
 
@@ -68,8 +69,7 @@ def stat_tables(rows: DataFrame, checkpoint: bool = True) -> StatTables:
 
 
 def attach_stats(target: DataFrame, t: StatTables, *, salt_cols: list[str] | None,
-                 count_big: bool = False, rows_per_task: int = ROWS_PER_TASK,
-                 max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
+                 count_big: bool = False, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """O21-O25 + O27-O30 on any rows with the rating columns.
 
     ``count_big`` makes the skew split count ``target`` rows per key (use it
@@ -94,39 +94,35 @@ def attach_stats(target: DataFrame, t: StatTables, *, salt_cols: list[str] | Non
         f = facts.get(gid)
         return None if f is None else f[0]
 
-    kw = dict(salt_cols=salt_cols, count_from=counts, rows_per_task=rows_per_task,
-              max_hot_keys=max_hot_keys)
+    kw = dict(salt_cols=salt_cols, count_from=counts, rows_per_task=rows_per_task)
+    profiles = joins.user_profiles(t.users, t.user_cat, t.user_city)
     x = joins.with_globals(target, t.glob)
     x = joins.join_category_city(x, t.categories, t.cities,
-                                 known_rows=(keys(stats.GID_CAT), keys(stats.GID_CITY)))
-    x = joins.join_user_stats(x, t.users, has_hot=hot(stats.GID_USER), **kw)
+                                 known_rows=(keys(stats.GID_CAT), keys(stats.GID_CITY)), **kw)
+    x = joins.join_user_profiles(x, profiles, has_hot=hot(stats.GID_USER), **kw)
     x = joins.join_place_stats(x, t.places, has_hot=hot(stats.GID_PLACE), **kw)
-    x = joins.join_preferences(x, t.user_cat, t.user_city,
-                               has_hot=(hot(stats.GID_USER_CAT), hot(stats.GID_USER_CITY)), **kw)
     return features.add_scalar_features(x)
 
 
 def joined_rows(ratings: DataFrame, *, key_cols: list[str], bucket_col: str = "split_bucket",
-                rows_per_task: int = ROWS_PER_TASK,
-                max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
+                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Rating rows with every statistic joined (defaults applied), plus the
     ``*_present`` flags that tell which lookups fell back."""
     rows = with_split(ratings, bucket_col=bucket_col, key_cols=key_cols)
     return attach_stats(rows, stat_tables(rows), salt_cols=key_cols,
-                        rows_per_task=rows_per_task, max_hot_keys=max_hot_keys)
+                        rows_per_task=rows_per_task)
 
 
 def feature_matrix(ratings: DataFrame, *, key_cols: list[str], label: str = "user_rating",
                    bucket_col: str = "split_bucket", digits: int | None = 6,
-                   rows_per_task: int = ROWS_PER_TASK,
-                   max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
+                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Row key, ``is_train``, the 22 features in model order, and the label.
 
     ``digits`` rounds doubles for comparison with other engines; pass
     ``None`` to keep full precision (training does).
     """
     x = joined_rows(ratings, key_cols=key_cols, bucket_col=bucket_col,
-                    rows_per_task=rows_per_task, max_hot_keys=max_hot_keys)
+                    rows_per_task=rows_per_task)
     out = x.select(*key_cols, F.col(TRAIN_FLAG), *features.feature_columns(),
                    F.col(label).cast("double").alias("label"))
     return round_doubles(out, digits) if digits is not None else out

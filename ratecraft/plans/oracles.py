@@ -214,7 +214,33 @@ s3 as (select *, cast(round_even(clipped * 100.0e0, 0) as double) / 100.0e0 pred
               cast(round_even(confidence_raw * 1000.0e0, 0) as double) / 1000.0e0
                 confidence_score from s2),
 rk as (select *, cast(row_number() over (partition by request_id
-                 order by predicted_rating desc, pos) as integer) recommendation_rank from s3)
+                 order by predicted_rating desc, pos) as integer) recommendation_rank from s3),
+-- mean of the top 5, rounded to hundredths by the double's exact value, half to even
+sm0 as (select request_id, count(*) total_places_evaluated,
+          list_reduce(list(predicted_rating order by recommendation_rank)
+                      filter (where recommendation_rank <= 5), lambda a, b: a + b)
+          / count(*) filter (where recommendation_rank <= 5) av
+        from rk group by request_id),
+sm1 as (select *, cast(av * 4503599627370496.0e0 as bigint) * 100 w from sm0),
+sm as (select request_id, total_places_evaluated,
+         ((w // 4503599627370496) + case
+            when w % 4503599627370496 > 2251799813685248 then 1
+            when w % 4503599627370496 = 2251799813685248 and (w // 4503599627370496) % 2 = 1 then 1
+            else 0 end) / 100.0e0 average_predicted_rating
+       from sm1),
+-- population std of hundredths, in whole numbers
+dv0 as (select request_id, count(*) n, cast(sum(cast(round(predicted_rating * 100) as bigint)) as bigint) s,
+          cast(sum(cast(round(predicted_rating * 100) as bigint) * cast(round(predicted_rating * 100) as bigint)) as bigint) q
+        from rk group by request_id),
+dv as (select request_id, case when n > 1 then least(1.0e0, sqrt(cast(n * q - s * s as double)) / (n * 200.0e0))
+                               else 0.5e0 end d from dv0),
+tx as (select request_id, string_agg(recommendation_rank || ':' || place_id || ':'
+                || cast(round(predicted_rating * 100) as bigint), ',' order by recommendation_rank) places,
+              string_agg(recommendation_rank || ':' || place_id || ':'
+                || cast(round(predicted_rating * 100) as bigint), ',' order by recommendation_rank)
+                filter (where recommendation_rank <= 5) top_places,
+              arg_min(place_id, recommendation_rank) top_place_id, cast(count(*) as integer) n
+       from rk group by request_id)
 """
 
 
@@ -269,38 +295,31 @@ ORACLES.update({
         select request_id, recommendation_rank, place_id, predicted_rating
         from rk where recommendation_rank <= 5"""),
     "recommend_summary": _with(SCORED, """
-        select request_id, count(*) total_places_evaluated, 5 top_k_requested,
-          coalesce(cast(round_even(
-            list_reduce(list(predicted_rating order by recommendation_rank)
-                        filter (where recommendation_rank <= 5), lambda a, b: a + b)
-            / count(*) filter (where recommendation_rank <= 5) * 100.0e0, 0) as double)
-            / 100.0e0, 0.0e0) average_predicted_rating
-        from rk group by request_id"""),
-    "diversity": _with(SCORED, """
-        select request_id,
-          round(case when count(*) > 1 then least(1.0e0, stddev_pop(predicted_rating) / 2.0e0)
-                else 0.5e0 end, 6) diversity
-        from rk group by request_id"""),
+        select request_id, total_places_evaluated, 5 top_k_requested, average_predicted_rating
+        from sm"""),
+    "diversity": _with(SCORED, "select request_id, round(d, 6) diversity from dv"),
+    "request_response": _with(SCORED, """
+        select request_id, 'bias-baseline' model_used, n total_places_evaluated, top_place_id,
+               true has_timestamp, places from tx"""),
+    "recommend_response": _with(SCORED, """
+        select sm.request_id, user_age, preferred_category, cast(null as varchar) preferred_city,
+               budget_range, 'bias-baseline' model_used, total_places_evaluated, 5 top_k_requested,
+               average_predicted_rating, true has_timestamp, top_places places
+        from sm join rq on rq.request_id = sm.request_id join tx on tx.request_id = sm.request_id"""),
 })
+ORACLES["response_sink"] = ORACLES["request_response"]
 
-# Pivot of present (user, category) pairs; absent cells take the global
-# mean, a present pair whose ratings are all null stays null (NaN marker).
-# DuckDB discovers pivot columns with a pre-query that cannot see CTEs, so
-# the sources are inlined.
-_TRAIN = f"(select * from ({RATINGS_SQL}) where split_bucket < 80)"
-ORACLES["preference_pivot"] = f"""
-select user_id,
-  round(case when columns(* exclude (user_id)) is null
-             then (select avg(user_rating) from {_TRAIN})
-             when isnan(columns(* exclude (user_id))) then null
-             else columns(* exclude (user_id)) end, 6)
-from (pivot (select user_id, place_category,
-                    coalesce(avg(user_rating), cast('NaN' as double)) v
-             from {_TRAIN}
-             where user_id is not null and place_category is not null
-             group by user_id, place_category)
-      on place_category using first(v) group by user_id)
-"""
+# One column per category; an absent pair takes the global mean, a
+# present pair whose ratings are all null stays null.
+_CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+ORACLES["preference_pivot"] = _with(STATS, "select user_id, " + ", ".join(
+    f"""round(case when count_if(place_category = '{c}') > 0
+               then avg(case when place_category = '{c}' then user_rating end)
+               else (select global_mean from g) end, 6) as "{c}\""""
+    for c in _CATEGORIES) + """
+  from t where user_id is not null and exists (
+    select 1 from t t2 where t2.user_id = t.user_id and t2.place_category is not null)
+  group by user_id""")
 
 
 # ------------------------------------------------------ train / evaluate ---
@@ -407,7 +426,7 @@ ORACLES.update({
         with {LOG}, {SLIDE.format(src='lg')}
         select ws window_start, ws + interval 5 minute window_end, handler,
                round(count(*) / 300.0e0, 6) rate
-        from sw group by ws, handler""",
+        from sw where handler in ('/predict', '/recommend', '/health') group by ws, handler""",
     "bucket_rates": _with(SCORED + ", " + SLIDE.format(src="rk"), f"""
         select ws window_start, ws + interval 5 minute window_end, le,
                round(count_if(confidence_raw <= bound) / 300.0e0, 6) rate
@@ -430,18 +449,18 @@ ORACLES.update({
                when c6 >= rk then 400.0e0 + (500.0e0 - 400.0e0) * ((rk - c5) / (c6 - c5))
                else 500.0e0 end, 6) p95
         from cc""",
-    "threshold_status": _with(SCORED + """,
-        dv as (select request_id, case when count(*) > 1
-                 then least(1.0e0, stddev_pop(predicted_rating) / 2.0e0) else 0.5e0 end d
-               from rk group by request_id)""", """
+    "threshold_status": _with(SCORED, """
         select request_id, round(d, 6) diversity,
-               case when round(d, 9) >= 0.7 then 'green' when round(d, 9) >= 0.3 then 'yellow'
-                    else 'red' end status
+               case when d >= 0.7e0 then 'green' when d >= 0.3e0 then 'yellow' else 'red' end status
         from dv"""),
+    "model_gauge_last": _with(SCORED, """
+        select 'bias-baseline' model_name, 'Production' model_stage, round(d, 6) last_value, ts last_ts
+        from dv join rq on rq.request_id = dv.request_id
+        order by ts desc, dv.request_id desc limit 1"""),
     "excluded_handlers": f"""
         with {LOG}
         select handler, status, count(*) n_requests from lg
-        where handler <> '/metrics' group by handler, status""",
+        where handler in ('/predict', '/recommend', '/health') group by handler, status""",
     "in_progress": f"""
         with {LOG},
         us as (select handler, epoch_us(ts) s_us,
@@ -488,13 +507,10 @@ ORACLES.update({
 
 # ------------------------------------------------------------ streaming ---
 ORACLES.update({
-    # every window closed by the final watermark (newest event - 10 minutes)
-    "stream_metrics": f"""
-        with {LOG}, {SLIDE.format(src='lg')}
-        select ws window_start, ws + interval 5 minute window_end, method, status,
-               round(count(*) / 300.0e0, 6) rate
-        from sw group by ws, method, status
-        having ws + interval 5 minute <= (select max(ts) from lg) - interval 10 minute""",
+    # the streams must equal the batch results
+    "stream_metrics": ORACLES["request_rate"],
+    "stream_recommendations_total": ORACLES["recommendations_total"],
+    "stream_confidence_histogram": ORACLES["confidence_histogram"],
     # streamed scoring must equal the batch ranking
     "stream_score": ORACLES["rank_places"],
 })
@@ -541,7 +557,15 @@ ver as (select run_id, cast(row_number() over (order by run_id) as integer) vers
 """
 
 ORACLES.update({
-    "run_metrics_sink": _with(RUNS, "select run_id, key, round(value, 6) value from lm"),
+    "run_metrics_sink": _with(RUNS, """
+        select run_id, 'metric' kind, key, round(value, 6) value, cast(null as varchar) "text" from lm
+        union all
+        select run_id, 'param', 'n_test_rows', cast(null as double), cast(count(*) as varchar) from pr group by run_id
+        union all
+        select run_id, 'param', 'predictor', cast(null as double),
+               case run_id when 'bias' then 'place_rating + user_mean - global_mean' else run_id end
+        from m"""),
+    "save_load_model": _with(BASE, "select count(*) n_rows, cast(0 as bigint) n_different from x where not is_train"),
     "compare_runs": _with(RUNS, """
         select run_id, round(rmse, 6) rmse, round(mae, 6) mae, round(mse, 6) mse,
                round(ndcg_10, 6) ndcg_10, round(f1_score, 6) f1_score,
@@ -551,13 +575,13 @@ ORACLES.update({
     "resolve_model": _with(RUNS, """
         select 'rating-gb' model_name, cast(version as varchar) model_version,
                'production' model_stage, v.run_id, round(rmse, 6) rmse, round(mae, 6) mae,
-               0.78e0 r2_score, 'production' requested_alias
+               0.78e0 r2_score, 22 feature_count, 'production' requested_alias
         from ver v join m on m.run_id = v.run_id where alias = 'production'
         union all
         select 'rating-gb', cast(version as varchar), 'latest', v.run_id, round(rmse, 6),
-               round(mae, 6), 0.78e0, 'staging'
+               round(mae, 6), 0.78e0, 22, 'staging'
         from ver v join m on m.run_id = v.run_id where version = (select max(version) from ver)
         union all
         select 'baseline-fallback-model', '1.0', 'Production', 'fallback', 0.85e0, 0.65e0,
-               0.78e0, 'production'"""),
+               0.78e0, 22, 'production'"""),
 })

@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import round_doubles
-from ..operators import joins, stats
+from ..operators import features, joins, stats
 from ..operators.split import TRAIN_FLAG, with_split
 from ..sources.fixtures import ROW_KEY
 from . import catalog
 from ..operators import score, validate
 from ..sources.requests import parse_requests, parse_summary
+from ..schema import PREDICT_RESPONSE, RECOMMEND_RESPONSE
+from ..session import scratch_path
+from ..streaming import jobs
 from . import serving
 from .feature_matrix import feature_matrix, joined_rows
+from .materialize import materialize
 
 Q = dict
 
@@ -79,57 +83,92 @@ def q_user_price_stats(spark, sf_dir):
 
 
 def q_preference_pivot(spark, sf_dir):
-    return round_doubles(stats.preference_pivot(_rows(spark, sf_dir)))
+    return round_doubles(stats.preference_pivot(_rows(spark, sf_dir), PIVOT_CATEGORIES))
+
+
+# The matrix has a column for each of these categories.
+PIVOT_CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
 # ------------------------------------------------------------- joins ------
-def _joined(spark, sf_dir):
-    return joined_rows(catalog.ratings(spark, sf_dir), key_cols=ROW_KEY)
+def _globals(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Rating rows alone, and with the one-row global statistics."""
+    rows = _rows(spark, sf_dir)
+    return rows, joins.with_globals(rows, stats.global_table(rows))
+
+
+def _with_users(spark, sf_dir) -> DataFrame:
+    rows, x = _globals(spark, sf_dir)
+    return joins.join_user_stats(x, stats.user_table(rows), salt_cols=ROW_KEY)
+
 
+def _with_places(spark, sf_dir) -> DataFrame:
+    rows, x = _globals(spark, sf_dir)
+    return joins.join_place_stats(x, stats.place_table(rows), salt_cols=ROW_KEY)
 
-def _pick(df: DataFrame, cols: list[str]) -> DataFrame:
+
+def _pick(df: DataFrame, *cols) -> DataFrame:
     return round_doubles(df.select(*ROW_KEY, *cols))
 
 
 def q_join_user_stats(spark, sf_dir):
-    return _pick(_joined(spark, sf_dir), ["user_mean", "user_std", "user_count", "user_range"])
+    return _pick(_with_users(spark, sf_dir), "user_mean", "user_std", "user_count", "user_range")
 
 
 def q_join_place_stats(spark, sf_dir):
-    return _pick(_joined(spark, sf_dir), ["place_mean", "place_std", "place_count"])
+    return _pick(_with_places(spark, sf_dir), "place_mean", "place_std", "place_count")
 
 
 def q_join_category_city(spark, sf_dir):
-    return _pick(_joined(spark, sf_dir), ["category_mean", "city_mean"])
+    rows, x = _globals(spark, sf_dir)
+    x = joins.join_category_city(
+        x, stats.level_table(rows, "place_category", "uc", "category_mean", "category_count"),
+        stats.level_table(rows, "place_city", "ucy", "city_mean", "city_count"), salt_cols=ROW_KEY)
+    return _pick(x, "category_mean", "city_mean")
 
 
 def q_join_preferences(spark, sf_dir):
-    return _pick(_joined(spark, sf_dir), ["user_category_pref", "user_city_pref"])
+    rows, x = _globals(spark, sf_dir)
+    profiles = joins.user_profiles(
+        stats.user_table(rows),
+        stats.preference_table(stats.pair_table(rows, "place_category", "uc"), "place_category", "uc",
+                               "user_category_pref"),
+        stats.preference_table(stats.pair_table(rows, "place_city", "ucy"), "place_city", "ucy",
+                               "user_city_pref"))
+    x = joins.join_preferences(x, profiles, salt_cols=ROW_KEY)
+    return _pick(x, "user_category_pref", "user_city_pref")
 
 
 def q_join_user_price(spark, sf_dir):
-    return _pick(_joined(spark, sf_dir), ["user_avg_price"])
+    return _pick(_with_users(spark, sf_dir), "user_avg_price")
 
 
 def q_cold_start_rows(spark, sf_dir):
-    return joins.cold_start_rows(_joined(spark, sf_dir))
+    return joins.cold_start_rows(joined_rows(catalog.ratings(spark, sf_dir), key_cols=ROW_KEY))
 
 
 # ------------------------------------------------------------ scalars -----
 def q_place_popularity(spark, sf_dir):
-    return _pick(_joined(spark, sf_dir), ["place_popularity"])
+    x = _with_places(spark, sf_dir)
+    return _pick(x, features.place_popularity(F.col("place_count")).alias("place_popularity"))
 
 
 def q_price_ratio(spark, sf_dir):
-    return _pick(_joined(spark, sf_dir), ["price_ratio"])
+    x = _with_users(spark, sf_dir)
+    return _pick(x, features.price_ratio(F.col("place_price"), F.col("user_avg_price")).alias("price_ratio"))
 
 
 def q_user_place_deviation(spark, sf_dir):
-    return _pick(_joined(spark, sf_dir), ["user_place_deviation"])
+    rows, x = _globals(spark, sf_dir)
+    x = joins.join_user_stats(x, stats.user_table(rows), salt_cols=ROW_KEY)
+    x = joins.join_place_stats(x, stats.place_table(rows), salt_cols=ROW_KEY)
+    return _pick(x, features.user_place_deviation(F.col("user_mean"), F.col("place_mean"))
+                 .alias("user_place_deviation"))
 
 
 def q_rating_price_ratio(spark, sf_dir):
-    return _pick(_joined(spark, sf_dir), ["rating_price_ratio"])
+    return _pick(catalog.ratings(spark, sf_dir), features.rating_price_ratio(
+        F.col("place_average_rating"), F.col("place_price")).alias("rating_price_ratio"))
 
 
 def q_feature_matrix(spark, sf_dir):
@@ -261,21 +300,42 @@ def q_diversity(spark, sf_dir):
     return round_doubles(score.diversity(_scored(spark, sf_dir)))
 
 
+def _places_text(predictions) -> F.Column:
+    """``rank:place:hundredths`` of a response's predictions, in their order."""
+    return F.array_join(F.transform(predictions, lambda p: F.concat_ws(
+        ":", p["recommendation_rank"].cast("string"), p["place_id"],
+        F.rint(p["predicted_rating"] * 100).cast("long").cast("string"))), ",")
+
+
+def _flat_response(responses: DataFrame) -> DataFrame:
+    """The fields of O51's JSON texts, parsed back."""
+    r = responses.select("request_id", F.from_json("response", PREDICT_RESPONSE).alias("r"))
+    return r.select("request_id", "r.model_used", "r.total_places_evaluated",
+                    F.col("r.top_recommendation.place_id").alias("top_place_id"),
+                    F.col("r.prediction_timestamp").isNotNull().alias("has_timestamp"),
+                    _places_text(F.col("r.predictions")).alias("places"))
+
+
 def q_request_response(spark, sf_dir):
-    """O51 (rows only): one JSON response per valid request."""
-    return score.request_response(_scored(spark, sf_dir), "bias-baseline")
+    """One JSON response per valid request, its fields parsed back."""
+    return _flat_response(score.request_response(_scored(spark, sf_dir), "bias-baseline"))
 
 
-# --------------------------------------------------- train / evaluate -----
-# Trees fitted by the registered training checks.  The operator default is
-# the original's 200 trees; the checks fit 20 (same depth, rate, subsample,
-# seed) so that one check stays within minutes at sf0.01.
-CHECK_TREES = 20
+def q_recommend_response(spark, sf_dir):
+    """The top-k response with the user's preferences and the summary (O49,
+    O50) as JSON, its fields parsed back."""
+    texts = score.recommend_response(_scored(spark, sf_dir), "bias-baseline")
+    r = texts.select("request_id", F.from_json("response", RECOMMEND_RESPONSE).alias("r"))
+    return r.select("request_id", "r.user_preferences.user_age", "r.user_preferences.preferred_category",
+                    "r.user_preferences.preferred_city", "r.user_preferences.budget_range", "r.model_used",
+                    "r.recommendation_summary.*", F.col("r.timestamp").isNotNull().alias("has_timestamp"),
+                    _places_text(F.col("r.top_recommendations")).alias("places"))
 
 
+# --------------------------------------------------- train / evaluate -----
 def _matrix(spark, sf_dir):
     """Unrounded feature matrix (training input)."""
-    return catalog.cached(spark, sf_dir, "matrix", lambda s, d: feature_matrix(
+    return catalog.derived(spark, sf_dir, "matrix", lambda s, d: feature_matrix(
         catalog.ratings(s, d), key_cols=ROW_KEY, digits=None))
 
 
@@ -317,10 +377,16 @@ def q_baseline_predict(spark, sf_dir):
     return round_doubles(baseline_predict(m.where(~F.col(TRAIN_FLAG)).select(*ROW_KEY), g))
 
 
+def _model_path(spark, sf_dir) -> str:
+    """The model with the original's parameters, fitted once and saved."""
+    from ..operators.train import save_model, train_gbt
+    return catalog.model_path(spark, sf_dir, "gbt", lambda: save_model(
+        train_gbt(_matrix(spark, sf_dir).where(F.col(TRAIN_FLAG))), scratch_path(spark, "model")))
+
+
 def _model(spark, sf_dir):
-    from ..operators.train import train_gbt
-    return catalog.model(spark, sf_dir, "gbt", lambda: train_gbt(
-        _matrix(spark, sf_dir).where(F.col(TRAIN_FLAG)), n_trees=CHECK_TREES))
+    from ..operators.train import load_model
+    return load_model(_model_path(spark, sf_dir))
 
 
 def q_train_gbt(spark, sf_dir):
@@ -343,7 +409,7 @@ def q_model_metrics(spark, sf_dir):
     from ..operators.evaluate import binary_metrics, ndcg_at_k, regression_metrics
     from ..operators.train import predict_batch
     test = _matrix(spark, sf_dir).where(~F.col(TRAIN_FLAG))
-    p = predict_batch(_model(spark, sf_dir), test, ROW_KEY + ["label"]).cache()
+    p = materialize(predict_batch(_model(spark, sf_dir), test, ROW_KEY + ["label"]), name="predictions")
     # three one-row aggregates side by side
     return round_doubles(regression_metrics(p).crossJoin(binary_metrics(p))
                          .crossJoin(ndcg_at_k(p)))
@@ -364,13 +430,16 @@ def q_feature_importance(spark, sf_dir):
 
 
 def q_save_load_model(spark, sf_dir):
-    """O4 (rows only): save the pipeline to the shared folder, load it back
-    and score the test rows with the loaded copy."""
+    """The model saved to the shared folder and loaded back; test rows on
+    which the copy differs from the original."""
     from ..operators.train import load_model, predict_batch, save_model
-    from ..session import scratch_path
-    path = save_model(_model(spark, sf_dir), scratch_path(spark, "model"))
+    model = _model(spark, sf_dir)
+    copy = load_model(save_model(model, scratch_path(spark, "model-copy")))
     test = _matrix(spark, sf_dir).where(~F.col(TRAIN_FLAG))
-    return round_doubles(predict_batch(load_model(path), test, ROW_KEY))
+    own = predict_batch(model, test, [*test.columns]).withColumnRenamed("prediction", "original")
+    both = copy.transform(own)
+    return both.agg(F.count(F.lit(1)).alias("n_rows"),
+                    F.count_if(~F.col("prediction").eqNullSafe(F.col("original"))).alias("n_different"))
 
 
 # ------------------------------------------------------------ metrics -----
@@ -390,6 +459,17 @@ def q_gauge_last(spark, sf_dir):
                                     order=["ts", "seq"]))
 
 
+def q_model_gauge_last(spark, sf_dir):
+    """O54 on the diversity gauge per model and stage: every request sets it,
+    the last request's value stays."""
+    from ..operators.metrics import gauge_last
+    scored = _scored(spark, sf_dir)
+    sets = score.diversity(scored).join(scored.where("recommendation_rank = 1").select("request_id", "ts"), "request_id")
+    samples = sets.select(*[F.lit(v).alias(k) for k, v in MODEL_LABELS.items()], "ts", "request_id",
+                          F.col("diversity").alias("value"))
+    return round_doubles(gauge_last(samples, list(MODEL_LABELS), order=["ts", "request_id"]))
+
+
 def q_confidence_histogram(spark, sf_dir):
     """O55 cumulative confidence buckets, sum and count per model labels."""
     from ..operators.metrics import histogram
@@ -407,13 +487,15 @@ def q_request_rate(spark, sf_dir):
 def q_counter_rate(spark, sf_dir):
     """O57 reset-aware rate of the sampled request counter per handler."""
     from ..operators.metrics import counter_rate
-    return round_doubles(counter_rate(catalog.counter_samples(spark, sf_dir), ["handler"]))
+    samples = catalog.derived(spark, sf_dir, "counter-samples", catalog.counter_samples)
+    return round_doubles(counter_rate(samples, ["handler"]))
 
 
 def q_endpoint_rates(spark, sf_dir):
-    """O58 requests/s per handler."""
+    """O58 requests/s of each dashboard endpoint."""
+    from ..constants import DASHBOARD_HANDLERS
     from ..operators.metrics import endpoint_rates
-    return round_doubles(endpoint_rates(catalog.request_log(spark, sf_dir)))
+    return round_doubles(endpoint_rates(catalog.request_log(spark, sf_dir), DASHBOARD_HANDLERS))
 
 
 def q_bucket_rates(spark, sf_dir):
@@ -441,9 +523,11 @@ def q_threshold_status(spark, sf_dir):
 
 
 def q_excluded_handlers(spark, sf_dir):
-    """O62 requests per (handler, status) after the exclusion rules."""
+    """O62 requests per (handler, status) after the exclusion rules: neither
+    the scraped path itself nor paths that are no route."""
+    from ..constants import DASHBOARD_HANDLERS, EXCLUDED_HANDLERS
     from ..operators.metrics import excluded_handlers
-    log = excluded_handlers(catalog.request_log(spark, sf_dir))
+    log = excluded_handlers(catalog.request_log(spark, sf_dir), routes=DASHBOARD_HANDLERS + EXCLUDED_HANDLERS)
     return log.groupBy("handler", "status").agg(F.count(F.lit(1)).alias("n_requests"))
 
 
@@ -472,15 +556,9 @@ def q_retention(spark, sf_dir):
     """O66 samples kept per handler by the 200 h retention and the 30 min
     dashboard range."""
     from ..constants import DASHBOARD_RANGE, RETENTION
-    from ..operators.metrics import retention
-    log = catalog.gauge_samples(spark, sf_dir)
-    out = None
-    for name, keep in (("retention", RETENTION), ("dashboard", DASHBOARD_RANGE)):
-        part = (retention(log, keep).groupBy("handler")
-                .agg(F.count(F.lit(1)).alias("n_samples"))
-                .withColumn("scope", F.lit(name)))
-        out = part if out is None else out.unionByName(part)
-    return out
+    from ..operators.metrics import retained_counts
+    return retained_counts(catalog.gauge_samples(spark, sf_dir),
+                           {"retention": RETENTION, "dashboard": DASHBOARD_RANGE}, ["handler"])
 
 
 def q_load_summary(spark, sf_dir):
@@ -492,14 +570,12 @@ def q_load_summary(spark, sf_dir):
 # ---------------------------------------------------------- streaming -----
 def q_stream_metrics(spark, sf_dir):
     """Request rates from a file stream of the request log (watermark
-    10 minutes, append mode): every window the final watermark has closed."""
-    from ..session import scratch_path
-    from ..streaming import jobs
-    land = jobs.landing_folder(spark, catalog.request_log(spark, sf_dir), "log-landing")
-    schema = spark.read.parquet(land).schema
-    stream = spark.readStream.schema(schema).parquet(land)
+    10 minutes, append mode).  The log is closed by an end mark, so every
+    window is written, as in the batch form."""
+    land = jobs.landing_folder(catalog.request_log(spark, sf_dir), "log-landing")
+    jobs.end_log(spark, land)
     out, ck = scratch_path(spark, "stream-metrics"), scratch_path(spark, "stream-metrics-ck")
-    jobs.run_available(jobs.stream_request_rates(stream), out, ck)
+    jobs.run_available(jobs.stream_request_rates(jobs.file_stream(spark, land)), out, ck)
     res = spark.read.parquet(out)
     return round_doubles(res.select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"),
@@ -507,34 +583,64 @@ def q_stream_metrics(spark, sf_dir):
         "method", "status", "rate"))
 
 
-def q_stream_score(spark, sf_dir):
-    """A file stream of JSON requests scored batch by batch with the
-    batch plan (statistics joins, predictor, rank) via foreachBatch."""
-    from ..session import scratch_path
-    from ..streaming import jobs
+def _scored_stream(spark, sf_dir) -> DataFrame:
+    """File stream of scored rows with the model's labels."""
+    rows = _scored(spark, sf_dir).select(*[F.lit(v).alias(k) for k, v in MODEL_LABELS.items()], "confidence_raw")
+    return jobs.file_stream(spark, jobs.landing_folder(rows, "scored-landing"))
+
+
+def q_stream_recommendations_total(spark, sf_dir):
+    """O53 as running totals over a stream of scored rows."""
+    out, ck = scratch_path(spark, "stream-totals"), scratch_path(spark, "stream-totals-ck")
+    jobs.stream_totals(_scored_stream(spark, sf_dir).groupBy(*MODEL_LABELS).agg(
+        F.count(F.lit(1)).alias("recommendations_total")), out, ck)
+    return spark.read.parquet(out)
+
+
+def q_stream_confidence_histogram(spark, sf_dir):
+    """O55 as running buckets over a stream of scored rows."""
+    from ..operators.metrics import histogram
+    out, ck = scratch_path(spark, "stream-buckets"), scratch_path(spark, "stream-buckets-ck")
+    jobs.stream_totals(histogram(_scored_stream(spark, sf_dir), "confidence_raw", list(MODEL_LABELS)), out, ck)
+    return round_doubles(spark.read.parquet(out))
+
+
+def _stream_scored(spark, sf_dir, predictor) -> DataFrame:
+    """O68 over a file stream of the requests; ``predictor()`` is asked for
+    the predictor at the start of each micro-batch."""
     tables = catalog.shared(spark, sf_dir, "serving_tables", lambda: serving.serving_tables(
         catalog.ratings(spark, sf_dir), key_cols=ROW_KEY))
-    land = jobs.landing_folder(spark, catalog.requests(spark, sf_dir), "request-landing")
-    schema = spark.read.parquet(land).schema
-    stream = spark.readStream.schema(schema).parquet(land)
+    land = jobs.landing_folder(catalog.requests(spark, sf_dir), "request-landing")
 
     def score_batch(batch):
-        rows = serving.request_rows(batch)
-        ranked = serving.scored(serving.enriched_features(rows, tables), serving.bias_predictor)
+        rows = serving.request_rows(batch, checkpoint=True)
+        ranked = serving.scored(serving.enriched_features(rows, tables), predictor())
         return ranked.select("request_id", "pos", "place_id", "predicted_rating",
                              "confidence_score", "recommendation_rank")
 
     out, ck = scratch_path(spark, "stream-score"), scratch_path(spark, "stream-score-ck")
-    jobs.stream_score(stream, score_batch, out, ck)
+    jobs.stream_score(jobs.file_stream(spark, land), score_batch, out, ck)
     return spark.read.parquet(out).drop("batch_id")
 
 
+def q_stream_score(spark, sf_dir):
+    """A file stream of JSON requests scored batch by batch with the
+    batch plan (statistics joins, closed-form predictor, rank)."""
+    return _stream_scored(spark, sf_dir, lambda: serving.bias_predictor)
+
+
+def q_stream_model_score(spark, sf_dir):
+    """O68 (rows only): each micro-batch scored by the newest registered model."""
+    registry = scratch_path(spark, "registry")
+    jobs.register_model(spark, registry, 1, _model_path(spark, sf_dir))
+    return _stream_scored(spark, sf_dir, lambda: serving.model_predictor(jobs.newest_model(spark, registry)))
+
+
 def q_response_sink(spark, sf_dir):
-    """O5 (rows only): JSON responses written as JSON files, read back."""
-    from ..session import scratch_path
+    """JSON responses written as JSON files, read back and parsed."""
     path = scratch_path(spark, "responses")
     score.request_response(_scored(spark, sf_dir), "bias-baseline").write.json(path)
-    return spark.read.schema("request_id long, response string").json(path)
+    return _flat_response(spark.read.schema("request_id long, response string").json(path))
 
 
 # --------------------------------------------------------------- runs -----
@@ -543,9 +649,8 @@ MODEL_NAME = "rating-gb"
 
 def _run_predictors():
     """Closed-form predictors, one run each, evaluated on the test split."""
-    return {"global_mean": F.col("global_mean"), "user_mean": F.col("user_mean"),
-            "place_mean": F.col("place_mean"),
-            "bias": F.col("place_rating") + F.col("user_mean") - F.col("global_mean")}
+    return {"global_mean": "global_mean", "user_mean": "user_mean", "place_mean": "place_mean",
+            "bias": "place_rating + user_mean - global_mean"}
 
 
 def _run_metrics(spark, sf_dir):
@@ -557,14 +662,30 @@ def _run_metrics(spark, sf_dir):
 def q_run_metrics_sink(spark, sf_dir):
     """O3: run metrics and parameters appended (partitioned by run), read back."""
     from ..operators.runs import run_params_table, write_runs
-    from ..session import scratch_path
     base = scratch_path(spark, "runs")
     test = _matrix(spark, sf_dir).where(~F.col(TRAIN_FLAG))
     write_runs(_run_metrics(spark, sf_dir), f"{base}/metrics")
     write_runs(run_params_table(test, _run_predictors()), f"{base}/params")
-    back = spark.read.parquet(f"{base}/metrics")
-    return round_doubles(back.select(F.col("run_id").cast("string").alias("run_id"),
-                                     "key", "value"))
+    metrics = round_doubles(spark.read.parquet(f"{base}/metrics")).select(
+        F.col("run_id").cast("string").alias("run_id"), F.lit("metric").alias("kind"), "key", "value",
+        F.lit(None).cast("string").alias("text"))
+    params = spark.read.parquet(f"{base}/params").select(
+        F.col("run_id").cast("string").alias("run_id"), F.lit("param").alias("kind"), "key",
+        F.lit(None).cast("double").alias("value"), F.col("value").alias("text"))
+    return metrics.unionByName(params)
+
+
+def q_training_run(spark, sf_dir):
+    """O3 (rows only): the fitted model's run - parameters, test metrics,
+    importances and tags - appended to the run tables and read back."""
+    from ..operators.runs import training_run, write_runs
+    from ..operators.train import feature_importance, predict_batch
+    model = _model(spark, sf_dir)
+    test = _matrix(spark, sf_dir).where(~F.col(TRAIN_FLAG))
+    scored = materialize(predict_batch(model, test, ["label"]), name="predictions")
+    path = scratch_path(spark, "training-run")
+    write_runs(training_run(scored, feature_importance(spark, model), "gbt", tags={"model_type": "gbt"}), path)
+    return round_doubles(spark.read.parquet(path).withColumn("run_id", F.col("run_id").cast("string")))
 
 
 def q_compare_runs(spark, sf_dir):
@@ -578,7 +699,7 @@ def q_resolve_model(spark, sf_dir):
     """Serving model for alias present / alias absent / no versions."""
     from ..operators.evaluate import resolve_model
     from ..operators.runs import register_versions
-    m = _run_metrics(spark, sf_dir).cache()
+    m = materialize(_run_metrics(spark, sf_dir), name="run-metrics")
     versions = register_versions(m, MODEL_NAME)
     cases = [(MODEL_NAME, "production"), (MODEL_NAME, "staging"), ("missing-model", "production")]
     out = None
@@ -629,6 +750,7 @@ QUERIES = Q(
     recommend_summary=q_recommend_summary,
     diversity=q_diversity,
     request_response=q_request_response,
+    recommend_response=q_recommend_response,
     standard_scale=q_standard_scale,
     regression_metrics=q_regression_metrics,
     binary_metrics=q_binary_metrics,
@@ -642,6 +764,7 @@ QUERIES = Q(
     save_load_model=q_save_load_model,
     recommendations_total=q_recommendations_total,
     gauge_last=q_gauge_last,
+    model_gauge_last=q_model_gauge_last,
     confidence_histogram=q_confidence_histogram,
     request_rate=q_request_rate,
     counter_rate=q_counter_rate,
@@ -656,9 +779,13 @@ QUERIES = Q(
     retention=q_retention,
     load_summary=q_load_summary,
     stream_metrics=q_stream_metrics,
+    stream_recommendations_total=q_stream_recommendations_total,
+    stream_confidence_histogram=q_stream_confidence_histogram,
     stream_score=q_stream_score,
+    stream_model_score=q_stream_model_score,
     response_sink=q_response_sink,
     run_metrics_sink=q_run_metrics_sink,
+    training_run=q_training_run,
     compare_runs=q_compare_runs,
     resolve_model=q_resolve_model,
 )

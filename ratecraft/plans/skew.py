@@ -9,14 +9,17 @@ a re-run task computes the same salt), and the per-key row is replicated once
 per salt value.  Every large-side row still meets exactly one copy, so the
 result is the plain join's result.
 
-Only the hot-key list ``(key, n_salt)`` is broadcast; it holds at most
-``max_hot_keys`` rows (a top-k by row count), a fixed bound.  When no key
-is hot - known from row counts the caller already measured (``has_hot``),
-or found out by one bounded ``limit(1)`` job - the join is planned as a
-plain equi-join, so balanced data pays nothing for the skew handling.
-
-``bounded_broadcast`` broadcasts a table only after checking its row count;
-beyond the bound the caller's plan keeps a shuffle join.
+Rows with a null key match nothing, so their salt is free: it is a hash of
+the row over ``NULL_SALTS`` values, which deals them over all tasks.
+
+The hot-key list ``(key, n_salt)`` has at most (rows / threshold) entries.
+It is written once, counted, and broadcast only up to ``MAX_BROADCAST_ROWS``;
+a longer list is joined by shuffle.  When no key is hot - known from row
+counts the caller already measured (``has_hot``), or found out by one
+``limit(1)`` job - only the null keys are salted.
+
+``bounded_broadcast`` gives a broadcast hint to a table of a checked row
+count, and ``None`` beyond the bound: the caller then takes ``salted_join``.
 """
 
 from __future__ import annotations
@@ -24,39 +27,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .materialize import materialize
+
 # Rows one task should handle per key before a key counts as hot.
 ROWS_PER_TASK = 1_000_000
-# Upper bound on the broadcast hot-key list.
-MAX_HOT_KEYS = 100_000
-# Row bound for broadcasting small dimension-like statistics.
+# Row bound for broadcasting hot-key lists and small statistics tables.
 MAX_BROADCAST_ROWS = 200_000
+# Values over which rows with a null key are dealt.
+NULL_SALTS = 1 << 20
 
 _SALT = "__salt"
 _NSALT = "__nsalt"
 
 
 def hot_keys(small: DataFrame, on: list[str], rows_col: str, *,
-             rows_per_task: int = ROWS_PER_TASK,
-             max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
-    """``(key..., __nsalt)`` for the keys with more than ``rows_per_task`` rows.
-
-    At most ``max_hot_keys`` keys - the largest ones - are listed
-    (``orderBy(desc).limit``: a per-partition top-k, merged in one task), so
-    the broadcast list has a fixed size bound whatever the data volume.  A
-    key left off the list holds fewer rows than each listed key, so fewer
-    than ``total / max_hot_keys``; AQE's skew-join split covers those.
-    """
+             rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``(key..., __nsalt)`` for every key with more than ``rows_per_task``
+    rows; there are at most (all rows / ``rows_per_task``) of them."""
     return (small.where(F.col(rows_col) > F.lit(rows_per_task))
-            .orderBy(F.col(rows_col).desc())
-            .limit(max_hot_keys)
             .select(*on, F.ceil(F.col(rows_col) / F.lit(rows_per_task)).cast("int").alias(_NSALT)))
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], *, rows_col: str | None,
                 salt_cols: list[str] | None = None, how: str = "left",
                 counts: DataFrame | None = None, has_hot: bool | None = None,
-                rows_per_task: int = ROWS_PER_TASK,
-                max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
+                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Equi-join ``big`` with ``small`` (unique on ``on``), splitting hot keys.
 
     ``rows_col`` names the column counting ``big`` rows per key - in
@@ -69,20 +64,30 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], *, rows_col: st
     """
     if how not in ("left", "inner"):
         raise ValueError("salted_join supports left and inner joins")
+    if how == "inner":
+        for c in on:
+            big = big.where(F.col(c).isNotNull())
     if rows_col is None:
         counted = big.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
-        hot = hot_keys(counted, on, "__rows", rows_per_task=rows_per_task,
-                       max_hot_keys=max_hot_keys)
+        hot = hot_keys(counted, on, "__rows", rows_per_task=rows_per_task)
     else:
         hot = hot_keys(counts if counts is not None else small, on, rows_col,
-                       rows_per_task=rows_per_task, max_hot_keys=max_hot_keys)
-    # With no hot key the join stays a plain equi-join.
+                       rows_per_task=rows_per_task)
+    for c in on:
+        hot = hot.where(F.col(c).isNotNull())
+    row_hash = F.xxhash64(*(salt_cols or big.columns))
+    no_key = F.lit(False)
+    for c in on:
+        no_key = no_key | F.col(c).isNull()
+    null_salt = F.pmod(row_hash, F.lit(NULL_SALTS)).cast("int")
     if has_hot is False or (has_hot is None and not hot.limit(1).collect()):
-        return big.join(small, on, how)
-    hot = F.broadcast(hot.cache())
-    salt_cols = salt_cols or big.columns
-    salt = (F.when(F.col(_NSALT).isNull(), F.lit(0))
-            .otherwise(F.pmod(F.xxhash64(*salt_cols), F.col(_NSALT)).cast("int")))
+        big_s = big.withColumn(_SALT, F.when(no_key, null_salt).otherwise(F.lit(0)))
+        return big_s.join(small.withColumn(_SALT, F.lit(0)), on + [_SALT], how).drop(_SALT)
+    hot = materialize(hot, name="hot-keys")
+    if hot.count() <= MAX_BROADCAST_ROWS:
+        hot = F.broadcast(hot)
+    salt = (F.when(no_key, null_salt).when(F.col(_NSALT).isNull(), F.lit(0))
+            .otherwise(F.pmod(row_hash, F.col(_NSALT)).cast("int")))
     big_s = big.join(hot, on, "left").select(*big.columns, salt.alias(_SALT))
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_NSALT), F.lit(1)) - 1))
     small_s = small.join(hot, on, "left").select(*small.columns, copies.alias(_SALT))
@@ -90,15 +95,9 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], *, rows_col: st
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
-                      known_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``max_rows`` rows, else return it as is.
-
-    ``known_rows`` is a row count already measured (an upper bound); without
-    it the check runs one bounded job (``limit(max_rows + 1).count()``) and
-    the checked table is cached so the join does not recompute it.
-    """
-    if known_rows is not None:
-        return F.broadcast(df) if known_rows <= max_rows else df
-    df = df.cache()
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+                      known_rows: int | None = None) -> DataFrame | None:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else
+    ``None``.  ``known_rows`` is a row count already measured (an upper
+    bound); without it the check runs one bounded job."""
+    n = df.limit(max_rows + 1).count() if known_rows is None else known_rows
+    return F.broadcast(df) if n <= max_rows else None

@@ -83,3 +83,14 @@ MODEL_VERSIONS = T.StructType([
 ])
 
 FEATURES = T.StructType([T.StructField(n, T.DoubleType()) for n in FEATURE_NAMES])
+
+# Responses as they are read back from their JSON texts.
+PREDICTION = ("struct<place_id string, predicted_rating double, confidence_score double, "
+              "recommendation_rank int>")
+PREDICT_RESPONSE = (f"predictions array<{PREDICTION}>, model_used string, prediction_timestamp timestamp, "
+                    f"total_places_evaluated int, top_recommendation {PREDICTION}")
+RECOMMEND_RESPONSE = (
+    "user_preferences struct<user_age int, preferred_category string, preferred_city string, "
+    f"budget_range string>, top_recommendations array<{PREDICTION}>, model_used string, timestamp timestamp, "
+    "recommendation_summary struct<total_places_evaluated bigint, top_k_requested int, "
+    "average_predicted_rating double>")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 
 # Settings every job relies on: UTC timestamps, AQE (runtime coalescing and
@@ -39,8 +41,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     Reads ``spark.checkpoint.dir`` (or an already set checkpoint dir) from the
-    session.  Only when neither is set - local tests - a fresh temporary
-    folder is taken.
+    session.  When neither is set, a fresh temporary folder is taken on a
+    local master; on a cluster, whose machines would not see it, that is an
+    error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {sc.master} share")
         configured = tempfile.mkdtemp(prefix="ratecraft-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -56,4 +61,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/ratecraft/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/ratecraft/{name}-{uuid.uuid4().hex[:12]}"
+    for scope in _SCOPES:
+        scope.append(path)
+    return path
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope():
+    """Delete the scratch tables made inside the block when it ends."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            remove(path)
+
+
+def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path behind a folder of the shared store (``file:``,
+    ``hdfs:``, ``s3:``, ``gs:`` or a plain path)."""
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    if "://" not in uri:
+        return pafs.LocalFileSystem(), uri
+    return pafs.FileSystem.from_uri(uri)
+
+
+def remove(uri: str) -> None:
+    """Delete a scratch folder, if it is there."""
+    fs, path = open_store(uri)
+    if fs.get_file_info(path).type == pafs.FileType.Directory:
+        fs.delete_dir(path)

@@ -31,7 +31,7 @@ select l_orderkey, l_partkey, l_suppkey, l_linenumber,
        cast(30 + p_size*5 as integer) place_visit_duration_minutes,
        cast(18 + o_custkey % 83 as integer) user_age,
        1.0e0 + (o_custkey*7 + p_partkey*3 + cast(l_quantity as bigint)) % 5 user_rating,
-       (l_orderkey*2654435761 + l_linenumber*40503) % 100 split_bucket
+       ((l_orderkey % 100)*61 + l_linenumber*3) % 100 split_bucket
 from lineitem join orders on l_orderkey = o_orderkey
               join part   on l_partkey = p_partkey
               join nation on n_nationkey = p_partkey % 25
@@ -68,7 +68,7 @@ def tpch_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.lit(18) + ck % 83).cast("int").alias("user_age"),
             (F.lit(1.0) + (ck * 7 + pk * 3 + F.col("l_quantity").cast("bigint")) % 5)
             .cast("double").alias("user_rating"),
-            ((F.col("l_orderkey") * F.lit(2654435761) + F.col("l_linenumber") * 40503) % 100)
+            ((F.col("l_orderkey") % 100 * 61 + F.col("l_linenumber") * 3) % 100)
             .alias("split_bucket"),
         )
     )
@@ -89,7 +89,7 @@ select o_orderkey request_id, o_custkey user_id, o_orderdate ts,
        p_retailprice - 905.0e0 place_price,
        0.6e0 + (p_partkey % 48)/10.0e0 place_average_rating,
        cast(20 + p_size*5 as integer) place_visit_duration_minutes,
-       p_name place_description
+       case when p_partkey % 7 = 0 then null else p_name end place_description
 from orders join lineitem on l_orderkey = o_orderkey
             join part     on l_partkey = p_partkey
             join nation   on n_nationkey = p_partkey % 25
@@ -99,6 +99,7 @@ from orders join lineitem on l_orderkey = o_orderkey
 REQUEST_HEADERS_SQL = """
 select o_orderkey request_id, o_custkey user_id, o_orderdate ts,
        cast(16 + o_custkey % 87 as integer) user_age,
+       o_orderstatus preferred_category, o_orderpriority budget_range,
        (o_orderstatus = 'P' and o_orderpriority = '1-URGENT') cut_short
 from orders
 """
@@ -121,12 +122,12 @@ def tpch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_retailprice") - F.lit(905.0)).alias("place_price"),
         (F.lit(0.6) + (pk % 48) / F.lit(10.0)).alias("place_average_rating"),
         (F.lit(20) + F.col("p_size") * 5).cast("int").alias("place_visit_duration_minutes"),
-        F.col("p_name").alias("place_description"),
+        F.when(pk % 7 != 0, F.col("p_name")).alias("place_description"),
     )
     # A request carries its whole place list, so the order's line items are
-    # gathered into one array per order: bounded by the line items of an
-    # order (at most 13 in the test tables), and requests over the API's
-    # 50-place limit are rejected by validation before any scoring work.
+    # gathered into one array per order: the length of one request text.
+    # Requests over the API's 50-place limit are rejected by validation
+    # before any scoring work.
     lines = (
         li.join(p, F.col("l_partkey") == pk)
         .join(n, F.col("n_nationkey") == pk % 25)
@@ -136,7 +137,9 @@ def tpch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("l_orderkey", F.transform("lines", lambda x: x["place"]).alias("places"))
     )
     req = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    user = F.struct((F.lit(16) + F.col("o_custkey") % 87).cast("int").alias("user_age"))
+    user = F.struct((F.lit(16) + F.col("o_custkey") % 87).cast("int").alias("user_age"),
+                    F.col("o_orderstatus").alias("preferred_category"),
+                    F.col("o_orderpriority").alias("budget_range"))
     cut = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")
     body = F.when(F.col("_cut"), F.expr("substring(body_full, 1, length(body_full) - 1)")) \
         .otherwise(F.col("body_full"))
@@ -151,8 +154,14 @@ def tpch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ request log --
-REQUEST_LOG_SQL = """
-select event_id, ts, 'POST' method, event_type handler,
+# Event types stand for paths: the three routes, the excluded one and one that
+# is no route.
+EVENT_PATHS = {"view": "/predict", "click": "/recommend", "purchase": "/health",
+               "signup": "/metrics", "error": "/wp-login.php"}
+_PATH_CASE = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in EVENT_PATHS.items()) + " end"
+
+REQUEST_LOG_SQL = f"""
+select event_id, ts, 'POST' method, {_PATH_CASE} handler,
        case when event_type = 'error' then 500 else 200 end status,
        value duration_s
 from events
@@ -165,7 +174,7 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         "event_id", "ts",
         F.lit("POST").alias("method"),
-        F.col("event_type").alias("handler"),
+        F.expr(_PATH_CASE).alias("handler"),
         F.when(F.col("event_type") == "error", 500).otherwise(200).cast("int").alias("status"),
         F.col("value").alias("duration_s"),
     )

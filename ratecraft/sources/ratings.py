@@ -23,18 +23,26 @@ def conform_ratings(df: DataFrame, keep: list[str] | tuple[str, ...] = ()) -> Da
     return df.select(*cols)
 
 
+JDBC_SPLIT = ["partitionColumn", "lowerBound", "upperBound", "numPartitions"]
+
+
 def read_ratings(spark: SparkSession, source: str | None, *, fmt: str = "parquet",
                  options: dict | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Load the rating table from ``source``; fail if it is not configured.
 
-    ``fmt="jdbc"`` reads a database table through Spark's JDBC source; pass
-    ``partitionColumn``/``lowerBound``/``upperBound``/``numPartitions`` in
-    ``options`` so the read is split over executors instead of one task.
+    ``fmt="jdbc"`` reads a database table through Spark's JDBC source; its
+    ``options`` must hold ``partitionColumn``/``lowerBound``/``upperBound``/
+    ``numPartitions``, which split the read over executors.
     Column pruning and filters are pushed to the source by Catalyst.
     """
     if not source:
         raise ValueError("missing rating source configuration")
-    reader = spark.read.format(fmt).options(**(options or {}))
+    options = options or {}
+    if fmt == "jdbc":
+        missing = [k for k in JDBC_SPLIT if k not in options]
+        if missing:
+            raise ValueError(f"a JDBC read needs {missing}: without them one task reads the table")
+    reader = spark.read.format(fmt).options(**options)
     if fmt == "jdbc":
         df = reader.option("dbtable", source).load()
     else:
