@@ -27,6 +27,11 @@ def large_settings(spark):
         spark.conf.set(k, v)
 
 
+def salted_shuffles(plan: str) -> int:
+    """Exchanges of the rows' joins: each has the rows on one side."""
+    return len(re.findall(r"Exchange hashpartitioning\([^)]*__salt", plan))
+
+
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -52,8 +57,10 @@ def test_feature_matrix_join_plan(large_settings):
     rows = with_split(spark.read.parquet(path))
     t = stat_tables(rows)
     p = _plan(attach_stats(rows, t, salt_cols=ROW_KEY))
-    # four per-key tables joined by sort-merge join (no size-based broadcast)
+    # the rows meet users and places once each; the two other sort-merge joins
+    # put a user's maps into the user's row
     assert p.count("SortMergeJoin") == 4
+    assert salted_shuffles(p) == 2 * 2
     # category and city: checked broadcast; globals: one-row broadcast
     assert p.count("BroadcastHashJoin") == 2
     assert p.count("BroadcastNestedLoopJoin") == 1
@@ -66,3 +73,30 @@ def test_feature_matrix_join_plan(large_settings):
         assert "place_description" not in r and "l_quantity" not in r
     # every statistics scan reads one grouping set only (partition pruning)
     assert p.count("PartitionFilters: [isnotnull(gid") >= 4
+
+
+def test_own_join_plans_are_small(large_settings):
+    from ratecraft.plans.queries import QUERIES
+    sf = "/root/testdata/sf0.001"
+    assert "Join" not in _plan(QUERIES["rating_price_ratio"](large_settings, sf))
+    assert _plan(QUERIES["join_user_stats"](large_settings, sf)).count("SortMergeJoin") == 1
+    assert _plan(QUERIES["join_category_city"](large_settings, sf)).count("SortMergeJoin") == 0
+
+
+def test_category_statistics_shuffle_keys_only(large_settings):
+    rows = with_split(large_settings.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+                      .selectExpr("l_orderkey as user_id", "l_returnflag as place_category",
+                                  "l_quantity as user_rating", "l_linenumber as split_bucket"))
+    p = _plan(stats.category_stats(rows))
+    assert len(re.findall(r"Exchange hashpartitioning\(place_category", p)) == p.count("Exchange") == 1
+    assert "l_orderkey" not in p
+
+
+def test_sliding_windows_expand_steps_not_rows(large_settings):
+    from ratecraft.constants import LATENCY_BUCKETS
+    from ratecraft.operators import metrics
+    from ratecraft.sources.fixtures import request_log
+    log = request_log(large_settings, "/root/testdata/sf0.001")
+    for df in (metrics.request_rate(log), metrics.latency_quantile(log, LATENCY_BUCKETS)):
+        p = _plan(df)
+        assert p.count("Expand") == 1 and p.index("Expand") < p.rindex("Exchange")   # a shuffle below it

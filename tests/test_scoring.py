@@ -66,7 +66,7 @@ def test_topk_summary_and_diversity(spark):
     r = _ranked(spark, [4.31, 4.32, 2.0])
     s = score.recommend_summary(r, 2).first()
     assert s["total_places_evaluated"] == 3 and s["top_k_requested"] == 2
-    assert s["average_predicted_rating"] == float(np.round((4.32 + 4.31) / 2, 2))
+    assert s["average_predicted_rating"] == round((4.32 + 4.31) / 2, 2)
     assert score.recommend_summary(r, 0).first()["average_predicted_rating"] == 0.0
     assert score.recommend_top_k(r, 0).count() == 0
     with pytest.raises(ValueError):
@@ -77,6 +77,33 @@ def test_topk_summary_and_diversity(spark):
     assert math.isclose(d, min(1.0, np.std([4.31, 4.32, 2.0]) / 2))
 
 
+def test_average_is_rounded_by_its_exact_value(spark):
+    """Python's round, for means of two to five hundredths (ties included)."""
+    rnd = random.Random(4)
+    means = [sum(rnd.randint(100, 500) / 100 for _ in range(n)) / n for n in (2, 3, 4, 5) for _ in range(800)]
+    means += [1.005, 1.115, 2.675, 4.315, 1.0, 5.0, 0.0, 2.5, 1.125, 1.375]
+    df = spark.createDataFrame([(m,) for m in means], "x double").select("x", score.exact_round(F.col("x")).alias("y"))
+    for r in df.collect():
+        assert r["y"] == round(r["x"], 2), r
+
+
+def test_recommend_response_echoes_the_user(spark):
+    r = _ranked(spark, [4.0, 3.0]).withColumn("user", F.expr(
+        "named_struct('user_age', 30, 'preferred_category', 'C', 'preferred_city', null, 'budget_range', 'low')"))
+    body = json.loads(score.recommend_response(r, "m", 1).first()["response"])
+    assert body["user_preferences"] == {"user_age": 30, "preferred_category": "C", "budget_range": "low"}
+    assert [p["place_id"] for p in body["top_recommendations"]] == ["p0"] and body["model_used"] == "m"
+    assert body["recommendation_summary"] == {"total_places_evaluated": 2, "top_k_requested": 1, "average_predicted_rating": 4.0}
+    none = json.loads(score.recommend_response(r, "m", 0).first()["response"])
+    assert none["top_recommendations"] == []
+
+
+def test_ndcg_of_equal_scores(spark):
+    """All rows in one tie group: every position has the average gain."""
+    df = spark.range(1000).select(F.when(F.col("id") % 4 == 0, 5.0).otherwise(1.0).alias("label"), F.lit(2.0).alias("prediction"))
+    assert math.isclose(evaluate.ndcg_at_k(df).first()[0], 0.25)
+
+
 def _ndcg_numpy(y, s, k=10):
     """Tie-averaged NDCG@k of one ranking (independent NumPy version)."""
     g = (np.asarray(y) >= 4.0).astype(float)

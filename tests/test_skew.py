@@ -11,11 +11,40 @@ def _big(spark):
     return spark.createDataFrame(rows, "rid long, k long")
 
 
-def test_hot_keys_bounded(spark):
+def test_every_hot_key_is_listed(spark):
     big = _big(spark)
     counts = big.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    hot = skew.hot_keys(counts, ["k"], "n", rows_per_task=5, max_hot_keys=1).collect()
-    assert len(hot) == 1 and hot[0]["k"] == 1 and hot[0]["__nsalt"] == 12
+    hot = skew.hot_keys(counts, ["k"], "n", rows_per_task=2).collect()
+    assert {r["k"]: r["__nsalt"] for r in hot} == {1: 30, 2: 2, 3: 2, 4: 2, 5: 2}
+
+
+def test_hot_list_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MAX_BROADCAST_ROWS", 0)
+    big = _big(spark)
+    small = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    got = skew.salted_join(big, small, ["k"], rows_col=None, salt_cols=["rid"], rows_per_task=5)
+    want = big.join(small, "k", "left")
+    assert sorted(map(str, got.select("rid", "k", "v").collect())) == sorted(
+        map(str, want.select("rid", "k", "v").collect()))
+
+
+def test_null_keys_are_dealt_to_all_tasks(spark):
+    """80 % null keys, adaptive execution off: no partition above twice the mean."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = spark.range(20_000).select(F.col("id").alias("rid"), F.when(F.col("id") % 5 == 0, F.col("id")).alias("k"))
+        small = spark.range(0, 20_000, 10).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+        joined = skew.salted_join(big, small, ["k"], rows_col=None, salt_cols=["rid"])
+        joined = joined.withColumn("part", F.spark_partition_id())
+        sizes = [r["count"] for r in joined.groupBy("part").count().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) <= 2 * 20_000 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+        plain = big.join(small, "k", "left").select("rid", "k", "v")
+        assert joined.select("rid", "k", "v").exceptAll(plain).count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def test_salted_join_equals_plain_join(spark):
@@ -52,13 +81,29 @@ def test_feature_matrix_with_hot_keys_matches_default(spark):
     b = feature_matrix(r, key_cols=ROW_KEY, rows_per_task=3)   # most keys hot
     assert a.count() == b.count() == r.count()
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    assert "__salt" in b._jdf.queryExecution().analyzed().toString()
+    assert "__nsalt" in b._jdf.queryExecution().analyzed().toString()
 
 
 def test_bounded_broadcast(spark):
     df = spark.range(10)
     assert skew.bounded_broadcast(df, max_rows=20).count() == 10
-    assert skew.bounded_broadcast(df, max_rows=5).count() == 10
+    assert skew.bounded_broadcast(df, max_rows=5) is None
+
+
+def test_category_join_beyond_the_bound_is_salted(spark):
+    from ratecraft.operators import joins, stats
+    from ratecraft.operators.split import with_split
+    from ratecraft.sources.fixtures import ROW_KEY, tpch_ratings
+    rows = with_split(tpch_ratings(spark, "/root/testdata/sf0.001"))
+    x = joins.with_globals(rows, stats.global_table(rows))
+    tables = (stats.level_table(rows, "place_category", "uc", "category_mean", "category_count"),
+              stats.level_table(rows, "place_city", "ucy", "city_mean", "city_count"))
+    cols = [*ROW_KEY, "category_mean", "city_mean"]
+    small = joins.join_category_city(x, *tables, salt_cols=ROW_KEY).select(*cols)
+    large = joins.join_category_city(x, *tables, known_rows=(10**9, 10**9), salt_cols=ROW_KEY,
+                                     rows_per_task=100).select(*cols)
+    assert "__salt" in large._jdf.queryExecution().analyzed().toString()
+    assert small.exceptAll(large).count() == large.exceptAll(small).count() == 0
 
 
 def test_serving_join_with_hot_request_keys_matches_default(spark):
@@ -76,5 +121,5 @@ def test_serving_join_with_hot_request_keys_matches_default(spark):
                      rows_per_task=2).select(*cols)
     assert a.count() == b.count() == rows.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    assert "__salt" in b._jdf.queryExecution().analyzed().toString()      # salted
-    assert "__salt" not in a._jdf.queryExecution().analyzed().toString()  # plain
+    assert "__nsalt" in b._jdf.queryExecution().analyzed().toString()      # hot keys split
+    assert "__nsalt" not in a._jdf.queryExecution().analyzed().toString()  # only null keys dealt
