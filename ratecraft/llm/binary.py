@@ -28,13 +28,14 @@ import time
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import new_folder, open_store, running_totals, table
+from ..session import open_store
+from .common import new_folder, running_totals, table
 
 # Fixed values of the format.
 CRC32C_POLYNOMIAL = 0x82F63B78
@@ -112,9 +113,8 @@ def frames(payloads: list[bytes]) -> list[bytes]:
     return [b"".join((n, h.tobytes(), p, b.tobytes())) for n, h, p, b in zip(lengths, heads, payloads, bodies, strict=True)]
 
 
-def payload(doc_id, ids: np.ndarray) -> bytes:
-    known = doc_id is not None and doc_id == doc_id
-    return struct.pack("<Bq", known, int(doc_id) if known else 0) + ids.tobytes()
+def payload(doc_id: int | None, ids: np.ndarray) -> bytes:
+    return struct.pack("<Bq", doc_id is not None, doc_id or 0) + ids.tobytes()
 
 
 MANIFEST = "shard long, path string, index_path string, records long, ids long, bytes long, width long"
@@ -133,10 +133,11 @@ def write(docs: DataFrame, folder: str | None = None, *, path: str = tokens.BYTE
         name, own = f"{base}/shard-{number:06d}", f".{time.time_ns()}"
         at, records, n_ids, index = 0, 0, 0, []
         with fs.open_output_stream(f"{name}.rec{own}") as out:
-            for pdf in batches:
-                for part in tokens.in_parts(pdf["text"]):
-                    arrays = encoder.encode(list(pdf["text"].iloc[part]))
-                    payloads = [payload(i, a) for i, a in zip(pdf["doc_id"].iloc[part], arrays, strict=True)]
+            for b in batches:
+                doc_ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+                for part in tokens.in_parts(texts):
+                    arrays = encoder.encode(texts[part])
+                    payloads = [payload(i, a) for i, a in zip(doc_ids[part], arrays, strict=True)]
                     for frame, p, a in zip(frames(payloads), payloads, arrays, strict=True):
                         out.write(frame)
                         index.append(struct.pack(INDEX_ENTRY, at, len(p), len(a)))
@@ -150,12 +151,12 @@ def write(docs: DataFrame, folder: str | None = None, *, path: str = tokens.BYTE
             out.write(b"".join(index))
         for kind in ("rec", "idx"):
             fs.move(f"{name}.{kind}{own}", f"{name}.{kind}")
-        yield pd.DataFrame([(number, f"{folder}/shard-{number:06d}.rec", f"{folder}/shard-{number:06d}.idx", records, n_ids, at,
-                             encoder.dtype.itemsize)], columns=[c.split()[0] for c in MANIFEST.split(", ")])
+        made = (number, f"{folder}/shard-{number:06d}.rec", f"{folder}/shard-{number:06d}.idx", records, n_ids, at, encoder.dtype.itemsize)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in made], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    return table(ordered.mapInPandas(shard, MANIFEST), "shards")
+    return table(ordered.mapInArrow(shard, MANIFEST), "shards")
 
 
 def parse(raw: bytes, count: int, where: str) -> list[bytes]:
@@ -193,24 +194,26 @@ def records(fs, path: str, index_path: str, chosen=None, at_once: int = 4 << 20)
             k = stop
 
 
+RESULT = ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
 def read_back(manifest: DataFrame) -> DataFrame:
     """Per record, from the files: ``doc_id, start, n_tokens, ids_crc32``."""
     placed = running_totals(manifest, ["shard"], ["ids"], "shard-places")
 
     def rows(batches):
-        for pdf in batches:
-            for shard in pdf.itertuples():
-                fs, path = open_store(shard.path)
-                start = shard.before_ids
-                for payloads in records(fs, path, open_store(shard.index_path)[1]):
-                    out = []
-                    for p in payloads:
-                        known, doc_id = struct.unpack_from("<Bq", p)
-                        ids = np.frombuffer(p, f"<u{shard.width}", offset=9).astype("<u4")
-                        out.append((doc_id if known else None, start, len(ids), zlib.crc32(ids.tobytes())))
-                        start += len(ids)
-                    yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+        for shard in (x for b in batches for x in b.to_pylist()):
+            fs, path = open_store(shard["path"])
+            start = shard["before_ids"]
+            for payloads in records(fs, path, open_store(shard["index_path"])[1]):
+                out = []
+                for p in payloads:
+                    known, doc_id = struct.unpack_from("<Bq", p)
+                    ids = np.frombuffer(p, f"<u{shard['width']}", offset=9).astype("<u4")
+                    out.append((doc_id if known else None, start, len(ids), zlib.crc32(ids.tobytes())))
+                    start += len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=RESULT)
 
     # one row a shard: deal them out so that each task reads about one
     dealt = placed.repartition(max(1, manifest.count()))
-    return dealt.mapInPandas(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return dealt.mapInArrow(rows, ", ".join(f"{c} long" for c in RESULT))

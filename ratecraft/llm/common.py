@@ -7,12 +7,14 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyarrow import fs as pafs
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..plans.materialize import materialize
-from ..session import scratch_path
+from ..session import open_store, scratch_path
 
 # A word is a run of characters other than these six (space, \t \n \v \f \r);
 # bytes.split() without arguments cuts UTF-8 at exactly them.
@@ -53,6 +55,23 @@ def sheltered(docs: DataFrame, *used: str):
     return docs.toDF(*names), lambda df: df.select(*[F.col(n).alias(c) for n, c in back])
 
 
+def beside(docs: DataFrame, keep: list[str], inputs: list[str], fields: str, compute) -> DataFrame:
+    """The columns in ``keep``, untouched, beside new ones: ``compute`` gets the
+    ``inputs`` of a batch as lists (null: None) and gives the ``fields``."""
+    new = StructType.fromDDL(fields)
+    schema = StructType([*docs.select(*keep).schema.fields, *new.fields])
+    types = [to_arrow_type(f.dataType) for f in new.fields]
+    names = [*keep, *new.names]
+
+    def rows(batches):
+        for b in batches:
+            made = compute(*[b.column(c).to_pylist() for c in inputs])
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(c) for c in keep], *[pa.array(x, t) for x, t in zip(made, types, strict=True)]], names=names)
+
+    return docs.select(*keep, *[c for c in inputs if c not in keep]).mapInArrow(rows, schema)
+
+
 def running_totals(df: DataFrame, order_by: list[str], values: list[str], name: str) -> DataFrame:
     """Add ``before_<v>``: the sum of ``v`` over all rows that precede this one
     in the order of ``order_by`` (nulls first), over the whole table.
@@ -73,16 +92,6 @@ def running_totals(df: DataFrame, order_by: list[str], values: list[str], name:
         *[(F.col(f"_from_{v}") + F.coalesce(F.sum(v).over(own), F.lit(0))).alias(f"before_{v}") for v in values])
 
 
-def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path behind a folder of the shared store (``file:``,
-    ``hdfs:``, ``s3:``, ``gs:`` or a plain path)."""
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    if "://" not in uri:
-        return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(uri)
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """An empty folder of the shared store for files that tasks write."""
     uri = scratch_path(spark, name)

@@ -15,15 +15,17 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import tokens
-from .common import running_totals, table
+from .common import beside, running_totals, table
 
 CAPACITY = 4096
 BUCKETS = 256
@@ -85,22 +87,28 @@ class Projector:
         return hilbert_key(np.clip((flat + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64))
 
 
+@functools.cache
+def projector(vocabulary: int) -> Projector:
+    return Projector(vocabulary)
+
+
 def tokenized(docs: DataFrame, path: str = tokens.WORD_BPE, keeps_space: bool = False) -> DataFrame:
     """``row, doc_id, n, place, ids``: number of ids, place on the curve, and
     the ids, little-endian in the vocabulary's width."""
 
-    def rows(batches):
+    def encode(texts):
         encoder = tokens.encoder(path, keeps_space)
-        project = Projector(encoder.tokenizer.get_vocab_size())
-        for pdf in batches:
-            for part in tokens.in_parts(pdf["text"]):
-                arrays = encoder.encode(list(pdf["text"].iloc[part]))
-                yield pdf[["row", "doc_id"]].iloc[part].assign(
-                    n=[len(a) for a in arrays], place=project.keys(arrays), ids=[a.tobytes() for a in arrays])
+        project = projector(encoder.tokenizer.get_vocab_size())
+        n, place, ids = [], [], []
+        for part in tokens.in_parts(texts):
+            arrays = encoder.encode(texts[part])
+            n += map(len, arrays)
+            place += project.keys(arrays).tolist()
+            ids += [a.tobytes() for a in arrays]
+        return n, place, ids
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInPandas(
-        rows, f"row long, doc_id {kind}, n long, place long, ids binary")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return beside(numbered, ["row", "doc_id"], ["text"], "n long, place long, ids binary", encode)
 
 
 def pack(docs: DataFrame, *, capacity: int = CAPACITY, path: str = tokens.WORD_BPE, keeps_space: bool = False,
@@ -114,25 +122,27 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, path: str = tokens.WORD_B
     width = tokens.encoder(path, keeps_space).dtype
 
     def pieces(batches):
-        for pdf in batches:
-            out = []
-            for doc_id, n, at, raw in zip(pdf["doc_id"], pdf["n"], pdf["at"], pdf["ids"], strict=True):
+        for b in batches:
+            out, of = [], []
+            for k, (n, at, raw) in enumerate(zip(*[b.column(c).to_pylist() for c in ("n", "at", "ids")], strict=True)):
                 ids = np.frombuffer(raw, width).astype("<u4")
                 start = 0
                 while start < n:
                     length = min(n - start, capacity - (at + start) % capacity)
                     own = ids[start:start + length].tobytes()
-                    out.append((doc_id, start, length, zlib.crc32(own), n, (at + start) // capacity,
-                                (at + start) % capacity, *([own] if with_ids else [])))
+                    out.append((start, length, zlib.crc32(own), n, *divmod(at + start, capacity), *([own] if with_ids else [])))
+                    of.append(k)
                     start += length
-            done = pd.DataFrame(out, columns=names)
-            yield done.astype({"doc_id": pdf["doc_id"].dtype}) if len(done) else done
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = (f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-              + ", ids binary" * with_ids)
-    names = [c.split()[0] for c in schema.split(", ")]
-    return cut.select("row", "doc_id", "n", "ids").join(line, "row").mapInPandas(pieces, schema)
+            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(of, pa.int64())),
+                                              *[pa.array(x, t) for x, t in zip(columns, kinds, strict=True)]], names=names)
+
+    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL(PIECE + ", ids binary" * with_ids).fields])
+    names, kinds = schema.names, [pa.int64()] * 6 + [pa.binary()] * with_ids
+    return cut.select("row", "doc_id", "n", "ids").join(line, "row").mapInArrow(pieces, schema)
+
+
+PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def sequences(pieces: DataFrame, *, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:

@@ -23,9 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import sheltered, table
+from .common import beside, sheltered, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -201,42 +200,34 @@ def judge(docs: DataFrame, references: dict | None = None, *, min_words: int = M
     """One row per document: the columns in ``keep`` (default ``doc_id``), the
     fixed counts, ``base_failed``, both distances (null without a verdict) and
     ``kept``.  ``references`` default to those of ``docs`` itself."""
-    spark, keep = docs.sparkSession, keep or ["doc_id"]
     references = language_references(docs) if references is None else references
-    shared = spark.sparkContext.broadcast(references)
-    cols = [*keep, *[c for c in ("text", "lang") if c not in keep]]
-    fields = [f for f in docs.select(*keep).schema.fields]
-
-    def rows(batches):
-        known = shared.value
-        for pdf in batches:
-            out = []
-            for text, lang in zip(pdf["text"], pdf["lang"], strict=True):
-                counts, words, raw = base_counts(text)
-                n = counts["n_words"]
-                failed = n < min_words or 100 * counts["n_repeat_words"] > max_repeat_percent * n
-                by_class = by_word = None
-                if n >= min_words and lang in known:
-                    number, hist, classes = known[lang]
-                    by_class = js_distance(class_histogram(raw).astype(float), classes)
-                    own = np.zeros(len(hist))
-                    for w, k in words.items():
-                        own[number.get(w.lower(), -1)] += k
-                    by_word = js_distance(own, hist)
-                far = by_class is not None and (
-                    by_class > max_class_distance or by_word > max_word_distance
-                    or (by_class > max_both[0] and by_word > max_both[1]))
-                out.append((*counts.values(), failed, not (failed or far), by_class, by_word))
-            yield pd.concat([pdf[keep].reset_index(drop=True), pd.DataFrame(out, columns=NAMES).astype(
-                {"class_distance": float, "word_distance": float})], axis=1)
-
-    schema = StructType(fields + [StructField(n, t) for n, t in zip(NAMES, TYPES, strict=True)])
-    return docs.select(*cols).mapInPandas(rows, schema)
-
-
-NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-         "class_distance", "word_distance"]
-TYPES = [*[LongType()] * 5, BooleanType(), BooleanType(), DoubleType(), DoubleType()]
+    shared = docs.sparkSession.sparkContext.broadcast(references)
+
+    def verdicts(texts, langs):
+        known, out = shared.value, []
+        for text, lang in zip(texts, langs, strict=True):
+            counts, words, raw = base_counts(text)
+            n = counts["n_words"]
+            failed = n < min_words or 100 * counts["n_repeat_words"] > max_repeat_percent * n
+            by_class = by_word = None
+            if n >= min_words and lang in known:
+                number, hist, classes = known[lang]
+                by_class = js_distance(class_histogram(raw).astype(float), classes)
+                own = np.zeros(len(hist))
+                for w, k in words.items():
+                    own[number.get(w.lower(), -1)] += k
+                by_word = js_distance(own, hist)
+            far = by_class is not None and (
+                by_class > max_class_distance or by_word > max_word_distance
+                or (by_class > max_both[0] and by_word > max_both[1]))
+            out.append((*counts.values(), failed, not (failed or far), by_class, by_word))
+        return list(zip(*out, strict=True)) if out else [[]] * 9
+
+    return beside(docs, keep or ["doc_id"], ["text", "lang"], VERDICT, verdicts)
+
+
+VERDICT = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
+           "kept boolean, class_distance double, word_distance double")
 
 
 def good_documents(docs: DataFrame, **rules) -> DataFrame:

@@ -30,9 +30,8 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import sheltered
+from .common import beside, sheltered
 
 # Fixed patterns and least lengths of the base kinds; of an assignment, its second
 # group is measured.
@@ -137,17 +136,13 @@ def find(text: str | None, scope: int = SCOPE) -> tuple[list, list]:
 def scan(docs: DataFrame, *, scope: int = SCOPE, keep: list[str] | None = None) -> DataFrame:
     """The columns in ``keep`` (default ``doc_id``), ``base`` and ``spans``:
     arrays of ``start, stop, kind`` in code points, ``stop`` exclusive."""
-    keep = keep or ["doc_id"]
 
-    def rows(batches):
-        for pdf in batches:
-            found = [find(t, scope) for t in pdf["text"]]
-            yield pdf[keep].assign(**{name: [[{"start": s, "stop": e, "kind": k} for s, e, k in f[i]] for f in found]
-                                      for i, name in enumerate(("base", "spans"))})
+    def spans(texts):
+        found = [find(t, scope) for t in texts]
+        return [[[{"start": s, "stop": e, "kind": k} for s, e, k in f[i]] for f in found] for i in range(2)]
 
-    span = StructType([StructField("start", LongType()), StructField("stop", LongType()), StructField("kind", StringType())])
-    schema = StructType([*docs.select(*keep).schema.fields, *[StructField(n, ArrayType(span)) for n in ("base", "spans")]])
-    return docs.select(*keep, *[c for c in ["text"] if c not in keep]).mapInPandas(rows, schema)
+    span = "array<struct<start: long, stop: long, kind: string>>"
+    return beside(docs, keep or ["doc_id"], ["text"], f"base {span}, spans {span}", spans)
 
 
 def span_list(spans: Column) -> Column:
@@ -171,16 +166,15 @@ def masked(docs: DataFrame, *, scope: int = SCOPE) -> DataFrame:
     a column ``n_chars``, the new length of such texts in it.  Texts without a
     span and all other columns stay as they are."""
     rows, back = sheltered(docs, "text", "n_chars")
-
-    def replace(batches):
-        for pdf in batches:
-            found = [find(t, scope)[1] for t in pdf["text"]]
-            hit = [k for k, spans in enumerate(found) if spans]
-            texts = [mask(pdf["text"].iloc[k], found[k]) for k in hit]
-            out = pdf.copy()
-            out.iloc[hit, out.columns.get_loc("text")] = texts
-            if "n_chars" in out.columns:
-                out.iloc[hit, out.columns.get_loc("n_chars")] = [len(t) for t in texts]
-            yield out
-
-    return back(rows.mapInPandas(replace, rows.schema))
+    counted = "n_chars" in docs.columns
+
+    def replace(texts):
+        found = [find(t, scope)[1] for t in texts]
+        new = [mask(t, spans) if spans else t for t, spans in zip(texts, found, strict=True)]
+        return new, [len(t) if spans else None for t, spans in zip(new, found, strict=True)]
+
+    rows = rows.withColumnRenamed("text", "_text")
+    done = beside(rows, [c for c in rows.columns if c != "_text"], ["_text"], "text string, _length long", replace)
+    if counted:
+        done = done.withColumn("n_chars", F.coalesce(F.col("_length").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return back(done)

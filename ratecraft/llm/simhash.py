@@ -28,9 +28,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import sheltered, table
+from .common import beside, sheltered, table
 from .graph import components, follow
 
 SHINGLE = 4
@@ -63,15 +62,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
     """The columns in ``keep`` (default ``doc_id``) and ``fp``, the fingerprint
     as a signed long."""
-    keep = keep or ["doc_id"]
 
-    def rows(batches):
-        for pdf in batches:
-            fp = np.fromiter((fingerprint(t, shingle) for t in pdf["text"]), np.uint64, len(pdf))
-            yield pdf[keep].assign(fp=fp.view(np.int64))
+    def prints(texts):
+        return [np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64)]
 
-    schema = StructType([*docs.select(*keep).schema.fields, StructField("fp", LongType())])
-    return docs.select(*keep, *[c for c in ["text"] if c not in keep]).mapInPandas(rows, schema)
+    return beside(docs, keep or ["doc_id"], ["text"], "fp long", prints)
 
 
 class BKTree:

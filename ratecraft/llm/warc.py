@@ -28,12 +28,15 @@ import uuid
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from .common import new_folder, open_store, table
+from ..session import open_store
+from .common import new_folder, table
 
 MIN_BYTES = 0
 GZIP_LEVEL = 4
@@ -98,24 +101,23 @@ def write(pages: DataFrame, folder: str | None = None, *, min_bytes: int = MIN_B
         name = f"{base}/part-{number:06d}.warc.gz"
         own, n, size = f"{name}.{time.time_ns()}", 0, 0
         with fs.open_output_stream(own, compression=None) as out:
-            for pdf in batches:
-                for r in pdf.itertuples():
-                    page, origin = (None if x is None or x != x else int(x) for x in (r.page_id, r.origin))
-                    digest = base64.b32encode(bytes.fromhex(r.sha1)).decode()
-                    member = gzip_member(record(page, r.url, r.captured, r.payload.encode(), digest, origin,
-                                                r.copies > 1 and page != origin))
-                    out.write(member)
-                    n, size = n + 1, size + len(member)
+            for r in (x for b in batches for x in b.to_pylist()):
+                digest = base64.b32encode(bytes.fromhex(r["sha1"])).decode()
+                member = gzip_member(record(r["page_id"], r["url"], r["captured"], r["payload"].encode(), digest, r["origin"],
+                                            r["copies"] > 1 and r["page_id"] != r["origin"]))
+                out.write(member)
+                n, size = n + 1, size + len(member)
         if not n:
             fs.delete_file(own)
             return
         fs.move(own, name)
-        yield pd.DataFrame([(number, f"{folder}/part-{number:06d}.warc.gz", n, size)], columns=["run", "path", "records", "bytes"])
+        made = {"run": number, "path": f"{folder}/part-{number:06d}.warc.gz", "records": n, "bytes": size}
+        yield pa.RecordBatch.from_pylist([made])
 
     rows = with_origins(pages, min_bytes).select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.date_format("captured", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured"),
         "payload", "sha1", F.coalesce("copies", F.lit(1)).alias("copies"), F.col("origin").cast("long").alias("origin"))
-    return table(rows.mapInPandas(archive, "run long, path string, records long, bytes long"), "archives")
+    return table(rows.mapInArrow(archive, "run long, path string, records long, bytes long"), "archives")
 
 
 def gzip_member(raw: bytes) -> bytes:
@@ -154,26 +156,27 @@ def parse(raw: bytes) -> dict:
             "record_type": field["WARC-Type"], "payload_bytes": size, "payload_digest": digest, "refers_to": refers}
 
 
-def order_key(r) -> tuple:
+KEY = ["urlkey", "captured", "page_id", "offset"]
+
+
+def order_key(r: dict) -> tuple:
     return r["urlkey"], r["captured"], r["page_id"] is not None, r["page_id"] or 0, r["offset"]
 
 
 def capture_runs(archives: DataFrame) -> DataFrame:
     """One sorted run of captures per archive of ``run, path``."""
-    names = [c.split()[0] for c in CAPTURES.split(", ")]
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(CAPTURES).fields])
 
     def index(batches):
-        for pdf in batches:
-            for run, path in zip(pdf["run"], pdf["path"], strict=True):
-                fs, place = open_store(path)
-                with fs.open_input_stream(place, compression=None) as f:
-                    found = [parse(raw) | {"path": path, "offset": at, "length": n, "run": run} for at, n, raw in members(f)]
-                found.sort(key=order_key)
-                yield pd.DataFrame([[*r.values(), k] for k, r in enumerate(found)], columns=names).astype(
-                    {"page_id": "Int64", "refers_to": "Int64"})
+        for archive in (x for b in batches for x in b.to_pylist()):
+            fs, place = open_store(archive["path"])
+            with fs.open_input_stream(place, compression=None) as f:
+                found = [parse(raw) | archive | {"offset": at, "length": n} for at, n, raw in members(f)]
+            found.sort(key=order_key)
+            yield pa.RecordBatch.from_pylist([r | {"pos": k} for k, r in enumerate(found)], schema=schema)
 
     dealt = archives.select("run", "path").repartition(max(1, archives.count()))
-    return table(dealt.mapInPandas(index, CAPTURES), "capture-runs")
+    return table(dealt.mapInArrow(index, CAPTURES), "capture-runs")
 
 
 class LoserTree:
@@ -221,28 +224,21 @@ def merged_index(runs: DataFrame) -> DataFrame:
     """All captures of the runs, with ``part`` and ``seq``: their global order."""
 
     def merge(batches):
-        slices: dict[int, list[pd.DataFrame]] = {}
-        for pdf in batches:
-            for run, own in pdf.groupby("run", sort=False):
-                slices.setdefault(run, []).append(own)
-        if not slices:
+        every = pa.Table.from_batches(batches, schema) if (batches := list(batches)) else None
+        if every is None or not every.num_rows:
             return
-        every = pd.concat([x for own in slices.values() for x in own], ignore_index=True)
-        lists, first, at = [], [], 0
-        for own in slices.values():
-            n = sum(map(len, own))
-            part = every.iloc[at:at + n]
-            none = part["page_id"].isna()
-            lists.append(list(zip(part["urlkey"], part["captured"], ~none, part["page_id"].fillna(0).astype("int64"), part["offset"], strict=True)))
-            first.append(at)
-            at += n
-        order = [first[w] + k for w, k in LoserTree(lists)]
-        out = every.iloc[order].assign(part=TaskContext.get().partitionId(), seq=np.arange(len(every)))
-        yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
-
+        keys = list(map(order_key, every.select(KEY).to_pylist()))
+        run = every.column("run").to_numpy()
+        cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
+        tree = LoserTree([keys[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        out = every.take(pa.array([cuts[w] + k for w, k in tree], pa.int64()))
+        part = np.full(len(run), TaskContext.get().partitionId())
+        yield from out.append_column("part", pa.array(part)).append_column("seq", pa.array(np.arange(len(run)))).to_batches()
+
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(CAPTURES).fields])
     # a range's slice of a run comes in the run's own order
     cut = runs.repartitionByRange("urlkey", "captured", "page_id", "offset").sortWithinPartitions("run", "pos")
-    return cut.mapInPandas(merge, CAPTURES + ", part long, seq long")
+    return cut.mapInArrow(merge, CAPTURES + ", part long, seq long")
 
 
 ORACLE = """
