@@ -435,7 +435,7 @@ def test_network_beats_word_frequencies_on_held_out_texts(spark):
 
     docs = spark.createDataFrame([(k, text(400)) for k in range(120)], "doc_id long, text string").repartition(3)
     words = pseudo_lm.vocabulary(docs)
-    weights = pseudo_lm.fit(pseudo_lm.encoded(docs, words), rounds=4, rate=0.3, masked=2)
+    weights = pseudo_lm.fit(pseudo_lm.encoded(docs, words), rounds=4, rate=0.3, masked=2, step=256)
     held = spark.createDataFrame([(0, text(500)), (1, " ".join(draw.sample(text(500).split(), 1000)))], "doc_id long, text string")
     mean = {r.doc_id: r.mean_log_probability for r in pseudo_lm.score(pseudo_lm.encoded(held, words), weights).collect()}
     assert mean[0] > math.log(1 / 80) + 0.5  # 80 equally frequent words: their frequency alone gives log 1/80
