@@ -4,7 +4,8 @@ Both tokenizer kinds split a text before they merge, and no piece goes from a
 character into white space that follows it.  So a text cut before each run of
 white space has the ids of its segments one after another, and as segments
 repeat, most are found in a cache.  Texts with white space beyond ASCII's are
-encoded whole: there the tokenizers and Python disagree on what it is.
+encoded whole: there the tokenizers and Python disagree on what it is.  Marks at
+the end of a word are a piece of their own, and so are looked up apart.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ import public_tokenizers
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 END_ID = 2
-# Bounds of a worker's cache, which has two generations of so many entries of
-# about 200 bytes.
-CACHED_SEGMENTS = 300_000
+# Bounds of a worker's cache, whose entries take about 200 bytes.  It keeps what
+# comes first, so the frequent segments are in it; later ones are encoded anew.
+CACHED_SEGMENTS = 500_000
 CACHED_LENGTH = 48
+# A tail of these after a letter is a piece of its own for both tokenizers.
+TAIL = ".,;:!?"
 
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SEGMENTS = re.compile(r"\s*\S+|\s+")
@@ -40,25 +43,35 @@ class Encoder:
         self.cut = _SEGMENTS.findall if keeps_space else str.split
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.end = np.array([END_ID], self.dtype).tobytes()
 
     def _bytes(self, segments: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(segments, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
+    def _learn(self, new: set[str]) -> None:
+        """Put the segments into the cache, which may grow beyond its bound."""
+        cores = {s: c for s in new if (c := s.rstrip(TAIL)) != s and c and c[-1].isalpha()}
+        plain = (new - cores.keys()) | set(cores.values()) | {s[len(c):] for s, c in cores.items()}
+        plain = list(plain - self.cache.keys())
+        self.cache.update(zip(plain, self._bytes(plain), strict=True))
+        self.cache.update((s, self.cache[c] + self.cache[s[len(c):]]) for s, c in cores.items())
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text (null: none), with the end id."""
         cuts = [[t] if t and _ODD_SPACE.search(t) else self.cut(t) if t else [] for t in texts]
-        wanted = {s for c in cuts for s in c}
-        known = {s: b for s in wanted if (b := self.cache.get(s) or self.older.get(s)) is not None}
-        new = [s for s in wanted if s not in known]
+        cache, before = self.cache, len(self.cache)
+        new = set().union(*cuts) - cache.keys()
         if new:
-            known.update(zip(new, self._bytes(new), strict=True))
-        if len(self.cache) + len(known) > CACHED_SEGMENTS:  # what isn't used until the next time is forgotten
-            self.older, self.cache = self.cache, {}
-        self.cache.update((s, b) for s, b in known.items() if len(s) <= CACHED_LENGTH)
-        return [np.frombuffer(b"".join([*map(known.__getitem__, c), self.end]), self.dtype) for c in cuts]
+            self._learn(new)
+        get = cache.__getitem__
+        out = [np.frombuffer(b"".join([*map(get, c), self.end]), self.dtype) for c in cuts]
+        if new:  # only what is short and within the bound stays
+            late = list(cache)[before:]
+            for k, s in enumerate(late):
+                if before + k >= CACHED_SEGMENTS or len(s) > CACHED_LENGTH:
+                    del cache[s]
+        return out
 
 
 @functools.cache
