@@ -1,6 +1,6 @@
 """Quality rules: divergence of a document's histograms from its language.
 
-For each language two reference histograms come from all its documents: eight
+For each language two reference histograms come from all its documents: seven
 character classes, each with its median share over the documents (so that a
 few long junk texts don't move it), and the language's ``common_words`` most
 frequent words (plus one bin for all others).  A document whose own histograms lie
@@ -35,20 +35,22 @@ MIN_SHARE = 0.001
 # Far from the reference in one histogram, or in both at once.
 MAX_CLASS_DISTANCE = 0.35
 MAX_WORD_DISTANCE = 0.75
-MAX_BOTH_DISTANCES = (0.19, 0.30)
+MAX_BOTH_DISTANCES = (0.18, 0.30)
 
 SYMBOLS = b"#*$%&|<>"
-CLASSES = ["lower", "upper", "digit", "space", "line", "punctuation", "symbol", "other"]
+# numbers are as normal in a text as words, so digits count with small letters
+CLASSES = ["small", "upper", "space", "line", "punctuation", "symbol", "other"]
+N_CLASSES = len(CLASSES)
 
 
 def _class_of_byte() -> np.ndarray:
-    """Class of each UTF-8 byte; bytes inside a character count as none (8)."""
-    kind = np.full(256, 7, np.uint8)
+    """Class of each UTF-8 byte; bytes inside a character count as none."""
+    kind = np.full(256, CLASSES.index("other"), np.uint8)
     for c in range(128):
         ch = chr(c)
-        kind[c] = (0 if ch.islower() else 1 if ch.isupper() else 2 if ch.isdigit() else 4 if ch == "\n"
-                   else 3 if ch.isspace() else 6 if c in SYMBOLS else 5)
-    kind[128:192] = 8
+        kind[c] = CLASSES.index("small" if ch.islower() or ch.isdigit() else "upper" if ch.isupper() else "line" if ch == "\n"
+                                else "space" if ch.isspace() else "symbol" if c in SYMBOLS else "punctuation")
+    kind[128:192] = N_CLASSES
     return kind
 
 
@@ -56,7 +58,7 @@ _KIND = _class_of_byte()
 
 
 def class_histogram(raw: bytes) -> np.ndarray:
-    return np.bincount(_KIND[np.frombuffer(raw, np.uint8)], minlength=9)[:8]
+    return np.bincount(_KIND[np.frombuffer(raw, np.uint8)], minlength=N_CLASSES + 1)[:N_CLASSES]
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -152,8 +154,8 @@ def _corpus_counts(docs: DataFrame, min_words: int, flush_at: int = 200_000) ->
 def median_shares(bins: list[tuple[int, int, int]]) -> np.ndarray:
     """Class histogram from ``(class, thousandths, documents)``: each class's
     median share."""
-    out = np.zeros(8)
-    for k in range(8):
+    out = np.zeros(N_CLASSES)
+    for k in range(N_CLASSES):
         own = sorted((share, n) for c, share, n in bins if c == k)
         below = np.cumsum([n for _, n in own])
         if len(own):
@@ -166,7 +168,7 @@ def language_references(docs: DataFrame, *, common_words: int = COMMON_WORDS, mi
     """Per language: its common words' numbers, its word histogram (the last
     bin holds all other words) and its class histogram, from the whole table.
     There are at most ``1 / min_share`` languages with ``common_words`` words
-    and 8 x 1001 shares each."""
+    and 7 x 1001 shares each."""
     counts = table(_corpus_counts(docs, min_words), "language-counts")
     n_docs = counts.where("kind = 'd'")
     total = n_docs.agg(F.sum("n")).first()[0] or 0
