@@ -79,13 +79,13 @@ def serving_features(places: DataFrame, stats_col: str | None = None) -> DataFra
         place_mean = F.coalesce(F.col(stats_col)["place_mean"], rating)
         place_std = F.coalesce(F.col(stats_col)["place_std"], F.lit(SERVING_PLACE_STD_NO_STATS))
 
-    user_mean = stat("user_mean", 3.5)
-    category_mean = stat("category_mean", 3.5)
-    city_mean = stat("city_mean", 3.5)
+    user_mean = stat("user_mean", d["user_mean"])
+    category_mean = stat("category_mean", d["category_mean"])
+    city_mean = stat("city_mean", d["city_mean"])
     user_avg_price = price * F.lit(SERVING_PRICE_MARKUP)
     cols = {
         "user_mean": user_mean,
-        "user_std": stat("user_std", 1.0),
+        "user_std": stat("user_std", d["user_std"]),
         "user_count": F.lit(float(SERVING_USER_COUNT)),
         "user_range": F.lit(float(SERVING_USER_RANGE)),
         "place_mean": place_mean,

@@ -422,6 +422,15 @@ ORACLES.update({
         select ws window_start, ws + interval 5 minute window_end, handler,
                round(sum(increase) / 300.0e0, 6) rate
         from sw group by ws, handler""",
+    "recommendation_rate": _with(SCORED + """,
+        ct as (select ts, count(*) n from rk group by ts),
+        cs as (select ts, cast(sum(n) over (order by ts) as double) "value" from ct),
+        ci as (select ts, "value" - lag("value") over (order by ts) increase from cs),
+        inc as (select * from ci where increase is not null),
+        """ + SLIDE.format(src="inc"), """
+        select ws window_start, ws + interval 5 minute window_end, 'bias-baseline' model_name,
+               'Production' model_stage, round(sum(increase) / 300.0e0, 6) rate
+        from sw group by ws"""),
     "endpoint_rates": f"""
         with {LOG}, {SLIDE.format(src='lg')}
         select ws window_start, ws + interval 5 minute window_end, handler,

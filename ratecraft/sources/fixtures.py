@@ -222,7 +222,8 @@ def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sum("n").over(w).cast("double").alias("value"))
 
 
-# Scrape targets: pod discovery labels for each event's source pod.
+# Scrape targets: pod discovery labels for each event's source pod.  Fixed
+# values: the label names that the relabelling rules (constants.py) refer to.
 TARGET_LABELS_SQL = """
 select event_id,
   map {'__address__': concat('10.0.', user_id % 7, '.', user_id % 11, ':8000'),
