@@ -1,4 +1,5 @@
-"""Helpers that several operators share: tables in the shared folder, running totals over a global order, and files next to those tables."""
+"""Helpers that several operators share: tables in the shared folder, running
+totals over a global order, and new columns made batch by batch."""
 
 from __future__ import annotations
 
@@ -24,6 +25,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder, and read back: the
     lineage is cut, and a lost executor costs a re-read of files."""
+    ship(df.sparkSession)
     return materialize(df, name=name)
 
 
@@ -58,6 +60,7 @@ def sheltered(docs: DataFrame, *used: str):
 def beside(docs: DataFrame, keep: list[str], inputs: list[str], fields: str, compute) -> DataFrame:
     """The columns in ``keep``, untouched, beside new ones: ``compute`` gets the
     ``inputs`` of a batch as lists (null: None) and gives the ``fields``."""
+    ship(docs.sparkSession)
     new = StructType.fromDDL(fields)
     schema = StructType([*docs.select(*keep).schema.fields, *new.fields])
     types = [to_arrow_type(f.dataType) for f in new.fields]

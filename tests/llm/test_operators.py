@@ -208,6 +208,16 @@ def test_mix_schedule(some_docs):
         assert r.taken == want and r.size == size[r.doc_id]
 
 
+def test_sources_without_words(spark):
+    rows = [(1, "", "z"), (2, "a b c", "y"), (3, None, "z"), (4, "d e f g h", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.source_size, r.target, r.taken) for r in mixing.mix(docs).taken().collect()}
+    assert got == {1: (0, 0, 0), 3: (0, 0, 0), 2: (3, 6, 6), 4: (5, 6, 6)}
+    none = docs.where("doc_id in (1, 3)")
+    assert {(r.size, r.target, r.taken) for r in mixing.mix(none).taken().collect()} == {(0, 0, 0)}
+    assert mixing.mixed_documents(none).count() == 0
+
+
 def test_mixed_documents_hold_the_taken_words(some_docs):
     taken = {r.doc_id: r.taken for r in mixing.mix(some_docs).taken().collect()}
     texts = {r.doc_id: r.text for r in some_docs.collect()}
