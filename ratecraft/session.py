@@ -70,15 +70,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _SCOPES: list[list[str]] = []
 
 
+@contextmanager
+def recorded_scratch(made: list[str]):
+    """Add the paths of the scratch tables made inside the block to ``made``."""
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES[:] = [s for s in _SCOPES if s is not made]
+
+
 @contextmanager
 def scratch_scope():
     """Delete the scratch tables made inside the block when it ends."""
     made: list[str] = []
-    _SCOPES.append(made)
     try:
-        yield
+        with recorded_scratch(made):
+            yield
     finally:
-        _SCOPES.remove(made)
         for path in made:
             remove(path)
 
