@@ -23,7 +23,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 END_ID = 2
 # Bounds of a worker's cache, whose entries take about 200 bytes.  It keeps what
 # comes first, so the frequent segments are in it; later ones are encoded anew.
-CACHED_SEGMENTS = 500_000
+CACHED_SEGMENTS = 300_000
 CACHED_LENGTH = 48
 # A tail of these after a letter is a piece of its own for both tokenizers.
 TAIL = ".,;:!?"
@@ -79,7 +79,7 @@ def encoder(path: str, keeps_space: bool) -> Encoder:
     return Encoder(path, keeps_space)
 
 
-def in_parts(texts, max_chars: int = 4_000_000):
+def in_parts(texts, max_chars: int = 2_000_000):
     """Slices of a batch of texts of about ``max_chars`` characters each."""
     start, size = 0, 0
     for k, t in enumerate(texts):
