@@ -33,9 +33,10 @@ _SEGMENTS = re.compile(r"\s*\S+|\s+")
 
 
 class Encoder:
-    """``keeps_space``: white space is part of the ids, and so of a segment."""
+    """``keeps_space``: white space is part of the ids, and so of a segment;
+    ``cached``: bound of the cache."""
 
-    def __init__(self, path: str, keeps_space: bool) -> None:
+    def __init__(self, path: str, keeps_space: bool, cached: int = CACHED_SEGMENTS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -43,6 +44,7 @@ class Encoder:
         self.cut = _SEGMENTS.findall if keeps_space else str.split
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.cache: dict[str, bytes] = {}
+        self.cached = cached
         self.end = np.array([END_ID], self.dtype).tobytes()
 
     def _bytes(self, segments: list[str]) -> list[bytes]:
@@ -69,14 +71,14 @@ class Encoder:
         if new:  # only what is short and within the bound stays
             late = list(cache)[before:]
             for k, s in enumerate(late):
-                if before + k >= CACHED_SEGMENTS or len(s) > CACHED_LENGTH:
+                if before + k >= self.cached or len(s) > CACHED_LENGTH:
                     del cache[s]
         return out
 
 
 @functools.cache
-def encoder(path: str, keeps_space: bool) -> Encoder:
-    return Encoder(path, keeps_space)
+def encoder(path: str, keeps_space: bool, cached: int = CACHED_SEGMENTS) -> Encoder:
+    return Encoder(path, keeps_space, cached)
 
 
 def in_parts(texts, max_chars: int = 2_000_000):
