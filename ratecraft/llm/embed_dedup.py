@@ -2,8 +2,9 @@
 
 1. Equal vectors form one class, which is one node; the rest works on nodes.
 2. Start: ``trees`` random-hyperplane trees put each node into one leaf per
-   tree; a leaf (cut into blocks of ``max_leaf``) gives each of its nodes its
-   nearest ``k`` neighbours there, and a spanning forest of its links.
+   tree; a leaf gives each of its nodes its nearest ``k`` neighbours there, and
+   a spanning forest of its links.  A leaf above ``max_leaf`` is cut into blocks
+   that meet in pairs, so that every pair of a leaf is compared.
 3. NN-descent: a node's list and the nodes that list it (the ``reverse``
    nearest) meet at the node; all pairs of them are compared, and a pair that
    is better than the worst of a list, or a link, goes into the lists.  A list
@@ -32,6 +33,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import table
 from .graph import components
@@ -62,6 +64,12 @@ def units(vectors: np.ndarray, kind) -> np.ndarray:
     return v / np.linalg.norm(v, axis=-1, keepdims=True)
 
 
+def doubles(vectors) -> np.ndarray:
+    """Unit vectors in doubles, of lists of one length."""
+    v = np.array(vectors.tolist(), np.float64)
+    return units(v / np.abs(v).max(axis=1, keepdims=True), np.float64)
+
+
 def stacked(codes) -> np.ndarray:
     return units(np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1), np.float32)
 
@@ -88,9 +96,11 @@ def nodes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         for pdf in batches:
             yield pdf.assign(code=[coded(np.asarray(v, np.float64)[None])[0].tobytes() for v in pdf["embedding"]])
 
+    # floats are kept as they are: half the size, and exact in doubles
+    kind = "array<float>" if rows.schema["embedding"].dataType.elementType == FloatType() else "array<double>"
     joined = rows.select(F.col("row").alias("node"), "embedding").join(classes.select("node", "copies"), "node").select(
-        "node", "copies", F.col("embedding").cast("array<double>").alias("embedding"))
-    return classes, table(joined.mapInPandas(encode, "node long, copies long, embedding array<double>, code binary"), "nodes")
+        "node", "copies", F.col("embedding").cast(kind).alias("embedding"))
+    return classes, table(joined.mapInPandas(encode, f"node long, copies long, embedding {kind}, code binary"), "nodes")
 
 
 def leaf_lists(nodes: DataFrame, n: int, *, threshold: float, k: int, trees: int, leaf: int, max_leaf: int) -> DataFrame:
@@ -107,13 +117,22 @@ def leaf_lists(nodes: DataFrame, n: int, *, threshold: float, k: int, trees: int
                 side = (stacked(own["code"].tolist()) @ planes > 0).reshape(len(own), trees, depth).astype(np.int64)
                 where = (side << np.arange(depth)).sum(axis=2)
                 out += [own.assign(tree=t, place=where[:, t], dim=int(dim)) for t in range(trees)]
-            yield pd.concat(out)[["node", "code", "tree", "place", "dim"]] if out else pdf.head(0).assign(tree=0, place=0, dim=0)
+            yield pd.concat(out)[[*fields, "tree", "place", "dim"]] if out else pdf.head(0).assign(tree=0, place=0, dim=0)
 
-    placed = table(nodes.select("node", "code").mapInPandas(place, "node long, code binary, tree int, place long, dim int"), "leaves")
+    fields = ["node", "code", "embedding"]
+    kind = nodes.schema["embedding"].dataType.simpleString()
+    placed = table(nodes.select(*fields).mapInPandas(
+        place, f"node long, code binary, embedding {kind}, tree int, place long, dim int"), "leaves")
     leaf_of = ["dim", "tree", "place"]
     big = table(placed.groupBy(*leaf_of).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_leaf).select(
-        *leaf_of, F.ceil(F.col("n") / F.lit(max_leaf // 2)).alias("blocks")), "big-leaves")
-    cut = placed.join(big, leaf_of, "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0)))
+        *leaf_of, F.ceil(F.col("n") / F.lit(max(1, max_leaf // 2))).alias("blocks")), "big-leaves")
+    cut = (placed.join(big, leaf_of, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+           .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    # every block of a leaf meets every other; own block with own block comes with each of them
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(
+        F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x != F.col("own"))))
+    met = cut.select(*fields, *leaf_of, "own", other.alias("other")).select(
+        *fields, *leaf_of, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, v = pdf["node"].to_numpy(), stacked(pdf["code"].tolist())
@@ -124,11 +143,15 @@ def leaf_lists(nodes: DataFrame, n: int, *, threshold: float, k: int, trees: int
         few = min(k, len(ids) - 1)
         best = np.argpartition(-sims, few - 1, axis=1)[:, :few]
         a, b = np.repeat(np.arange(len(ids)), few), best.ravel()
-        forest = spanning(sims >= threshold - MARGIN)
+        # a pair that only its code puts above the threshold must not stand for a link
+        exact_v = doubles(pdf["embedding"])
+        links = exact_v @ exact_v.T >= threshold
+        np.fill_diagonal(links, False)
+        forest = spanning(links)
         a, b = np.concatenate((a, forest[:, 0], forest[:, 1])), np.concatenate((b, forest[:, 1], forest[:, 0]))
         return pd.DataFrame({"a": ids[a], "b": ids[b], "cos": sims[a, b]})
 
-    return cut.groupBy(*leaf_of, "block").applyInPandas(nearest, PAIRS)
+    return met.groupBy(*leaf_of, "low", "high").applyInPandas(nearest, PAIRS)
 
 
 def spanning(near: np.ndarray) -> np.ndarray:
@@ -228,8 +251,7 @@ def group_links(nodes: DataFrame, groups: DataFrame, threshold: float, block: in
         out = []
         for (_, lo, hi), own in pdf.assign(lo=np.minimum(pdf["own"], pdf["other"]), hi=np.maximum(pdf["own"], pdf["other"])).groupby(
                 ["root", "lo", "hi"], sort=False):
-            v = np.array(own["embedding"].tolist(), np.float64)
-            v = units(v / np.abs(v).max(axis=1, keepdims=True), np.float64)
+            v = doubles(own["embedding"])
             a, b = ((own["own"] == lo).to_numpy(), (own["own"] == hi).to_numpy())
             near = v[a] @ v[b].T >= threshold
             if lo == hi:
