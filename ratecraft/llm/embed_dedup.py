@@ -14,8 +14,13 @@
    nodes to groups.  Within a group each list is enlarged to the whole group:
    its members meet in blocks, and every pair is tested, so that all links of a
    group count, however many there are.
-5. Audit: a bounded sample of vectors is compared with all others; if under
-   ``min_recall`` of their links were found, further rounds follow.
+   The number of trees grows with the depth, so that a pair at the threshold
+   shares a leaf with a chance of ``min_recall`` at any size.
+5. Audit: nodes without links, with up to ``k`` and with more are sampled apart
+   and compared with all others.  If the mean share of links found, per node,
+   is under ``min_recall`` among the nodes with few links or with many, another
+   round follows with as many new trees.  After ``max_rounds`` all blocks of
+   nodes are compared with each other.
 
 Lists are compared on vectors of one byte per dimension (cosine error under
 0.01 at 64 dimensions); every link is tested exactly.
@@ -103,9 +108,21 @@ def nodes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, table(joined.mapInPandas(encode, f"node long, copies long, embedding {kind}, code binary"), "nodes")
 
 
-def leaf_lists(nodes: DataFrame, n: int, *, threshold: float, k: int, trees: int, leaf: int, max_leaf: int) -> DataFrame:
-    """Neighbours of each node in its leaves: ``a, b, cos`` in both directions."""
-    depth = min(40, max(0, int(np.ceil(np.log2(max(1, n / leaf))))))
+def depth_of(n: int, leaf: int) -> int:
+    return min(40, max(0, int(np.ceil(np.log2(max(1, n / leaf))))))
+
+
+def trees_for(depth: int, threshold: float, recall: float) -> int:
+    """Trees in which a pair at the threshold shares a leaf at least once, with
+    a chance of ``recall``."""
+    together = (1 - np.arccos(threshold) / np.pi) ** depth
+    return 1 if together >= recall else int(np.ceil(np.log(1 - recall) / np.log(1 - together)))
+
+
+def leaf_lists(nodes: DataFrame, n: int, *, threshold: float, k: int, trees: int, leaf: int, max_leaf: int, draw: int = 0) -> DataFrame:
+    """Neighbours of each node in its leaves: ``a, b, cos`` in both directions.
+    Each ``draw`` has planes of its own."""
+    depth = depth_of(n, leaf)
 
     def place(batches):
         for pdf in batches:
@@ -113,7 +130,7 @@ def leaf_lists(nodes: DataFrame, n: int, *, threshold: float, k: int, trees: int
             out = []
             for dim in np.unique(sizes):
                 own = pdf[sizes == dim]
-                planes = np.random.default_rng([SEED, int(dim)]).standard_normal((int(dim), trees * depth)).astype(np.float32)
+                planes = np.random.default_rng([SEED, int(dim), draw]).standard_normal((int(dim), trees * depth)).astype(np.float32)
                 side = (stacked(own["code"].tolist()) @ planes > 0).reshape(len(own), trees, depth).astype(np.int64)
                 where = (side << np.arange(depth)).sum(axis=2)
                 out += [own.assign(tree=t, place=where[:, t], dim=int(dim)) for t in range(trees)]
@@ -265,28 +282,61 @@ def group_links(nodes: DataFrame, groups: DataFrame, threshold: float, block: in
     return met.groupBy("task").applyInPandas(count, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
-def audit(nodes: DataFrame, linked: DataFrame, threshold: float, sample: int) -> float:
-    """Share of the links of ``sample`` nodes (by hash) that were found."""
-    asked = nodes.join(linked, "node", "left").orderBy(F.xxhash64("node"), "node").limit(sample).select(
-        "node", "embedding", F.coalesce("linked", F.lit(0)).alias("linked")).collect()
+def every_link(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """``a, b``: links that connect what all links connect, by comparing every
+    pair of blocks of nodes."""
+    kind = nodes.withColumn("dim", F.length("code"))
+    sizes = table(kind.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks")), "dimension-blocks")
+    dealt = kind.join(F.broadcast(sizes), "dim").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    met = dealt.select("node", "embedding", "dim", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+
+    def connect(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, ids = doubles(pdf["embedding"]), pdf["node"].to_numpy()
+        near = v @ v.T >= threshold
+        np.fill_diagonal(near, False)
+        forest = spanning(near)
+        return pd.DataFrame({"a": ids[forest[:, 0]], "b": ids[forest[:, 1]]})
+
+    pair = met.select("node", "embedding", "dim", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return table(pair.groupBy("dim", "low", "high").applyInPandas(connect, "a long, b long"), "every-link")
+
+
+def audit(nodes: DataFrame, linked: DataFrame, threshold: float, k: int, sample: int) -> float:
+    """The smaller of two means over nodes, of the share of a node's links that
+    were found: of the nodes with up to ``k`` links, and of those with more.
+    ``sample`` nodes (by hash) are asked of those without a link found, with up
+    to ``k`` and with more; each stands for as many as were not asked."""
+    found = nodes.join(linked, "node", "left").withColumn("linked", F.coalesce("linked", F.lit(0)))
+    found = table(found.select("node", "embedding", "linked", F.when(F.col("linked") == 0, 0).when(F.col("linked") <= k, 1).otherwise(2)
+                               .alias("part")), "audited")
+    size = {r["part"]: r["count"] for r in found.groupBy("part").count().collect()}
+    asked = [r for p in size for r in found.where(F.col("part") == p).orderBy(F.xxhash64("node"), "node").limit(sample).collect()]
     by_size: dict = {}
     for r in asked:
         by_size.setdefault(len(r.embedding), []).append(r)
-    queries = {n: ([r.node for r in own], units(np.array([r.embedding for r in own]), np.float64)) for n, own in by_size.items()}
+    queries = {n: (np.array([r.node for r in own]), doubles(pd.Series([r.embedding for r in own]))) for n, own in by_size.items()}
 
     def count(batches):
-        total = 0
+        total: dict = {}
         for pdf in batches:
             for n, (ids, q) in queries.items():
                 own = pdf[pdf["embedding"].str.len() == n]
                 if len(own):
-                    near = units(np.array(own["embedding"].tolist(), np.float64), np.float64) @ q.T >= threshold
-                    near &= own["node"].to_numpy()[:, None] != np.array(ids)[None]
-                    total += int((near * own["copies"].to_numpy()[:, None]).sum())
-        yield pd.DataFrame({"n": [total]})
-
-    true = nodes.select("node", "copies", "embedding").mapInPandas(count, "n long").agg(F.sum("n")).first()[0] or 0
-    return 1.0 if not true else sum(r.linked for r in asked) / true
+                    near = doubles(own["embedding"]) @ q.T >= threshold
+                    near &= own["node"].to_numpy()[:, None] != ids[None]
+                    total[n] = total.get(n, 0) + own["copies"].to_numpy() @ near
+        for n, links in total.items():
+            yield pd.DataFrame({"node": queries[n][0], "n": links})
+
+    there = nodes.select("node", "copies", "embedding").mapInPandas(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    true = {r.node: r.n for r in there.collect()}
+    means = []
+    for few in (True, False):
+        own = [(size[r.part] / min(sample, size[r.part]), r.linked / true[r.node]) for r in asked
+               if true.get(r.node) and (true[r.node] <= k) == few]
+        if own:
+            means.append(sum(w * min(1.0, share) for w, share in own) / sum(w for w, _ in own))
+    return min(means, default=1.0)
 
 
 def near_duplicates(embeddings: DataFrame, *, threshold: float = THRESHOLD, k: int = K, reverse: int = REVERSE, trees: int = TREES,
@@ -297,10 +347,13 @@ def near_duplicates(embeddings: DataFrame, *, threshold: float = THRESHOLD, k: i
     rows = numbered(embeddings)
     classes, nodes = nodes_of(rows)
     n = nodes.count()
-    pairs = table(leaf_lists(nodes, n, threshold=threshold, k=k, trees=trees, leaf=leaf, max_leaf=max_leaf), "leaf-pairs")
+    trees = max(trees, trees_for(depth_of(n, leaf), threshold, min_recall))
+    start = lambda draw: table(leaf_lists(
+        nodes, n, threshold=threshold, k=k, trees=trees, leaf=leaf, max_leaf=max_leaf, draw=draw), f"leaf-pairs-{draw}")
+    pairs = start(0)
     near = pairs.where(F.col("cos") >= threshold - MARGIN)
     lists, longer = best_of(pairs, None, k, threshold)
-    done, recall = 0, 0.0
+    done = 0
     while True:
         while done < rounds:
             pairs = table(descend(lists, nodes, threshold=threshold, reverse=reverse), f"better-pairs-{done}")
@@ -309,10 +362,18 @@ def near_duplicates(embeddings: DataFrame, *, threshold: float = THRESHOLD, k: i
             done += 1
         groups = components(exact(near, nodes, threshold))
         linked = table(group_links(nodes, groups, threshold, block), "linked")
-        recall = audit(nodes, linked, threshold, audited)
-        if recall >= min_recall or done >= max_rounds:
+        recall = audit(nodes, linked, threshold, k, audited)
+        if recall >= min_recall:
+            break
+        if done >= max_rounds:
+            groups = components(every_link(nodes, threshold, block))
+            linked = table(group_links(nodes, groups, threshold, block), "linked")
+            recall = audit(nodes, linked, threshold, k, audited)
             break
         rounds = done + 1
+        pairs = start(rounds)
+        near = near.unionByName(pairs.where(F.col("cos") >= threshold - MARGIN))
+        lists, longer = best_of(lists.unionByName(pairs), longer, k, threshold)
     found = classes.join(groups, "node", "left").join(linked, "node", "left").select(
         "k1", "k2", "copies", "least", F.coalesce("root", "node").alias("root"), F.coalesce("linked", F.lit(0)).alias("linked"))
     found = table(found, "linked-classes")

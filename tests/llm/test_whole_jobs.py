@@ -14,3 +14,28 @@ def test_a_group_above_the_leaf_size_is_one_group(spark):
     got = {r.vec_id: r for r in embed_dedup.near_duplicates(docs, leaf=64, max_leaf=100, max_rounds=2).collect()}
     assert {(got[k].n_links, got[k].component_id) for k in range(300)} == {(299, 0)}
     assert all(got[k].n_links == 0 for k in range(300, 350))
+
+
+def test_lost_pairs_are_audited_apart_from_a_hot_group_and_then_found(spark, monkeypatch):
+    """One deep tree and no rounds lose most of 20 pairs, while the links of one
+    group are nearly all links."""
+    monkeypatch.setattr(embed_dedup, "trees_for", lambda *_: 1)
+    draw = np.random.default_rng(4)
+    one, lone = draw.standard_normal(32), draw.standard_normal((20, 32))
+    x = np.concatenate([one + 1e-7 * draw.standard_normal((200, 32)), lone, lone + 0.25 * draw.standard_normal((20, 32))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert near[200:].sum() >= 20
+    docs = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    nodes = docs.selectExpr("vec_id as node", "1 as copies", "embedding")
+    hot = spark.createDataFrame([(k, 199) for k in range(200)], "node long, linked long")
+    assert embed_dedup.audit(nodes, hot, 0.9, 8, 512) < 0.1
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(
+        docs, leaf=1e-9, trees=1, rounds=0, max_rounds=0, block=50).collect()}
+    assert [got[k].n_links for k in range(len(x))] == near.sum(axis=1).tolist()
+
+
+def test_trees_grow_with_the_depth():
+    assert [embed_dedup.trees_for(d, 0.9, 0.95) for d in (0, 1)] == [1, 2]
+    assert embed_dedup.trees_for(14, 0.9, 0.95) > embed_dedup.trees_for(8, 0.9, 0.95) > 4
