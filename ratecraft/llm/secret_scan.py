@@ -5,7 +5,7 @@ reported wherever they match.  Three weaker ones are only candidates:
 
 * ``key_id``: an assigned id, or a word with a known prefix or of capitals and
   digits;
-* ``key_secret``: a random-looking run of base64 characters;
+* ``key_secret``: a random-looking run of base64 or base32 characters, of any length;
 * ``endpoint``: a URL, or a host name with a port.
 
 Candidates and base matches are parts of a credential: an identifier, a secret
@@ -13,7 +13,9 @@ or an endpoint.  The parts of a document are interval-joined within scopes
 (at most ``scope`` code points between two parts), and a weak candidate is
 reported only if a part that complements it lies in its scope: an identifier
 needs a secret, an endpoint needs a secret, a secret needs an identifier or an
-endpoint.  Scopes never cross documents, and a document is one row, so the
+endpoint.  Candidates that overlap are all linked first; of those that are
+confirmed, the first of each overlap is reported, as long as the overlap is.
+Scopes never cross documents, and a document is one row, so the
 join runs beside the scan, on sorted positions, and nothing is shuffled.
 
 Defined results: null and empty texts have no spans; repeated rows each get
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -43,11 +45,12 @@ BASE_KINDS = KINDS[:3]
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 # Weak candidates, none of them with white space but a blank beside a separator.
-NAMED_ID = re.compile(r"id[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9._@-]{4,64}")
-KEY_ID = re.compile(r"(?<![A-Za-z0-9_-])(?:(?:ASIA|AROA|AIDA|SK|AC|sk|pk|ghp|xox[abp])[_-]?(?=[A-Za-z]*[0-9])[A-Za-z0-9]{12,60}"
-                    r"|(?=[A-Z]*[0-9])[A-Z][A-Z0-9]{15,31})(?![A-Za-z0-9])")
-KEY_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"\b(?:https?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ftp)://[^\x20\x09-\x0D\"'<>]{4,256}"
+NAMED_ID = re.compile(r"[iI][dD][\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9._@-]{4,}")
+PREFIXED_ID = r"(?:ASIA|AROA|AIDA|SK|AC|sk|pk|ghp|xox[abp])[_-]?(?=[A-Za-z]*[0-9])[A-Za-z0-9]{12,}"
+KEY_ID = re.compile(rf"(?<![A-Za-z0-9_-])(?:{PREFIXED_ID}"
+                    r"|(?=[A-Z]*[0-9])[A-Z][A-Z0-9]{15,})(?![A-Za-z0-9])")
+KEY_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,6}(?![A-Za-z0-9+/_=-])")
+ENDPOINT = re.compile(r"\b(?:https?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ftp)://[^\x20\x09-\x0D\"'<>]{4,}"
                       r"|(?<![A-Za-z0-9.@-])(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,24}:[0-9]{2,5}(?![0-9])", re.A)
 PORT = re.compile(r":[0-9]{2}")
 MIN_ENTROPY = 3.5
@@ -62,8 +65,12 @@ def entropy(word: str) -> float:
 
 
 def looks_random(word: str) -> bool:
+    """Two kinds of characters are enough for a run of letters and digits that
+    is no identifier with a known prefix; with other characters in it, it may be
+    a path or a slug, and needs all three."""
     kinds = sum(bool(re.search(p, word)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
-    return kinds == 3 and entropy(word) >= MIN_ENTROPY
+    plain = kinds == 2 and word.rstrip("=").isalnum() and not re.fullmatch(PREFIXED_ID, word)
+    return (kinds == 3 or plain) and entropy(word) >= MIN_ENTROPY
 
 
 def base_spans(text: str, words: list[str]) -> list[tuple[int, int, str]]:
@@ -83,8 +90,9 @@ def base_spans(text: str, words: list[str]) -> list[tuple[int, int, str]]:
 
 
 def weak_spans(text: str, words: list[str], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Weak candidates that overlap no base span of the text."""
-    odd = " ".join(w for w in words if len(w) >= 14 and not w.isalpha())
+    """Weak candidates that overlap no base span of the text; they may overlap
+    each other."""
+    odd = " ".join(w for w in words if len(w) >= 14 and not (w.isalpha() and (w[1:].islower() or w.isupper())))
     found = []
     if NAMED_ID.search(text):
         found += [(m.start(), m.end(), "key_id") for m in NAMED_ID.finditer(text)]
@@ -94,30 +102,50 @@ def weak_spans(text: str, words: list[str], base: list[tuple[int, int, str]]) ->
         found += [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
     if KEY_SECRET.search(odd):
         found += [(m.start(), m.end(), "key_secret") for m in KEY_SECRET.finditer(text) if looks_random(m[0])]
-    out, taken, k, last = [], sorted((s, e) for s, e, _ in base), 0, -1
+    out, taken, k = [], merged((s, e, "") for s, e, _ in base), 0
     for s, e, kind in sorted(found, key=lambda x: (x[0], KINDS.index(x[2]))):
         while k < len(taken) and taken[k][1] <= s:
             k += 1
-        if (k == len(taken) or taken[k][0] >= e) and s >= last:
+        if k == len(taken) or taken[k][0] >= e:
             out.append((s, e, kind))
-            last = e
     return out
 
 
-def confirmed(base: list[tuple[int, int, str]], weak: list[tuple[int, int, str]], scope: int = SCOPE) -> list[tuple[int, int, str]]:
-    """The weak candidates with a complementary part in scope: the interval
-    join of a document's parts.  Per role the parts are sorted by start and
-    carry the largest end so far, so each candidate takes one binary search."""
+def merged(spans) -> list[tuple[int, int, str]]:
+    """Overlapping spans as one, named after the first."""
+    out: list[tuple[int, int, str]] = []
+    for s, e, kind in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]) if x[2] else 0)):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]), out[-1][2])
+        else:
+            out.append((s, e, kind))
+    return out
+
+
+def confirmed(base: list[tuple[int, int, str]], weak: list[tuple[int, int, str]], scope: int = SCOPE,
+              apart: bool = False) -> list[tuple[int, int, str]]:
+    """The weak candidates with a complementary part in scope (``apart``: one
+    that does not overlap the candidate): the interval join of a document's
+    parts.  Per role the parts are sorted by start and carry the largest end so
+    far, so each candidate takes one binary search."""
     if not weak:
         return []
     starts: dict[str, list[int]] = {"id": [], "secret": [], "endpoint": []}
     ends: dict[str, list[int]] = {"id": [], "secret": [], "endpoint": []}
+    stops: dict[str, list[int]] = {"id": [], "secret": [], "endpoint": []}
     for s, e, kind in sorted(base + weak):
         role = ROLE[kind]
         starts[role].append(s)
         ends[role].append(max(e, ends[role][-1]) if ends[role] else e)
+        stops[role].append(e)
+    for own in stops.values():
+        own.sort()
 
     def near(span, role):
+        if apart:  # the last one that ends before the span, or the first that starts after it
+            left, right = bisect_right(stops[role], span[0]), bisect_left(starts[role], span[1])
+            return (left > 0 and stops[role][left - 1] >= span[0] - scope
+                    or right < len(starts[role]) and starts[role][right] <= span[1] + scope)
         before = bisect_right(starts[role], span[1] + scope)
         return before > 0 and ends[role][before - 1] >= span[0] - scope
 
@@ -129,7 +157,7 @@ def find(text: str | None, scope: int = SCOPE) -> tuple[list, list]:
     text = text or ""
     words = text.split()
     base = base_spans(text, words)
-    more = confirmed(base, weak_spans(text, words, base), scope)
+    more = merged(confirmed(base, weak_spans(text, words, base), scope, apart=True))
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]))) if more else base
 
 

@@ -1,8 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
+import random
+import string
+
 import numpy as np
 
-from ratecraft.llm import embed_dedup
+from ratecraft.llm import embed_dedup, secret_scan
 
 
 def test_a_group_above_the_leaf_size_is_one_group(spark):
@@ -39,3 +42,38 @@ def test_lost_pairs_are_audited_apart_from_a_hot_group_and_then_found(spark, mon
 def test_trees_grow_with_the_depth():
     assert [embed_dedup.trees_for(d, 0.9, 0.95) for d in (0, 1)] == [1, 2]
     assert embed_dedup.trees_for(14, 0.9, 0.95) > embed_dedup.trees_for(8, 0.9, 0.95) > 4
+
+
+def drawn(seed, alphabet, n):
+    draw = random.Random(seed)
+    return "".join(draw.choice(alphabet) for _ in range(n))
+
+
+def test_parts_of_credentials_are_masked_to_their_ends():
+    masked = lambda t: secret_scan.mask(t, secret_scan.find(t)[1])
+    both = string.ascii_letters + string.digits
+    name, long = "ASIAIOSFODNN7EXAMPLE", drawn(1, both, 900)
+    assert masked(f"{name} {long} end") == "[key_id] [key_secret] end"
+    place = "https://db.example.com/" + "x" * 400
+    assert masked(f"{place} {long} end") == "[endpoint] [key_secret] end"
+    for key in (drawn(2, string.ascii_uppercase + "234567", 32) + "======", drawn(3, string.ascii_lowercase + string.digits, 30)):
+        assert masked(f"https://db.example.com/x {key} end") == "[endpoint] [key_secret] end"
+    for label in ("ID=", "Id: "):
+        assert masked(f"{label}{'zq12' * 30} {long} end") == "[key_id] [key_secret] end"
+    # an identifier's form does not hide a secret that has its endpoint
+    assert masked(f"https://db.example.com/x sk_{drawn(4, both, 30)} end") == "[endpoint] [key_secret] end"
+
+
+def test_a_part_does_not_confirm_itself():
+    for alone in (drawn(2, string.ascii_uppercase + "234567", 32), "https://db.example.com/" + drawn(3, string.ascii_letters + string.digits, 40)):
+        assert secret_scan.find(f"see {alone} here")[1] == []
+
+
+def test_confirmation_apart_matches_all_pairs():
+    draw = random.Random(2)
+    for _ in range(300):
+        spans = sorted((s, s + draw.randint(5, 60), draw.choice(secret_scan.KINDS)) for s in (draw.randint(0, 900) for _ in range(8)))
+        weak = [s for s in spans if s[2] not in secret_scan.BASE_KINDS]
+        fits = [w for w in weak if any(secret_scan.ROLE[o[2]] in secret_scan.COMPLEMENTS[secret_scan.ROLE[w[2]]]
+                                       and 0 <= max(o[0] - w[1], w[0] - o[1]) <= 100 for o in spans)]
+        assert secret_scan.confirmed([s for s in spans if s not in weak], weak, 100, apart=True) == fits
