@@ -124,6 +124,18 @@ def counter_increases(samples: DataFrame, series: list[str], ts: str = "ts",
     return x.withColumn("increase", inc).drop("__day", "__prev", "__prev_day")
 
 
+def running_total(per_time: DataFrame, series: list[str], n: str = "n") -> DataFrame:
+    """``series``, ``ts`` and ``value``: the sum of ``n`` up to each time of one
+    row per series and time.  Two-level, as in ``in_progress``."""
+    x = per_time.withColumn("__day", F.date_trunc("day", "ts"))
+    by_day = Window.partitionBy(*series).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = x.groupBy(*series, "__day").agg(F.sum(n).alias("__n")).select(
+        *series, "__day", F.coalesce(F.sum("__n").over(by_day), F.lit(0)).alias("__offset"))
+    own = Window.partitionBy(*series, "__day").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    return x.join(offsets, [*series, "__day"]).select(
+        *series, "ts", (F.col("__offset") + F.sum(n).over(own)).cast("double").alias("value"))
+
+
 def counter_rate(samples: DataFrame, series: list[str], width: str = RATE_WINDOW,
                  slide: str = "1 minute", seconds: int = RATE_WINDOW_SECONDS) -> DataFrame:
     """O57 per-second rate of a sampled counter, reset-aware, in sliding

@@ -493,14 +493,12 @@ def q_counter_rate(spark, sf_dir):
 
 def q_recommendation_rate(spark, sf_dir):
     """O57 on the counter of scored places per model and stage, as it stands
-    after each request time (one row per time: few beside the scored rows)."""
-    from pyspark.sql import Window
-    from ..operators.metrics import counter_rate
+    after each request time."""
+    from ..operators.metrics import counter_rate, running_total
     labels = list(MODEL_LABELS)
     per_time = _scored(spark, sf_dir).select(*[F.lit(v).alias(k) for k, v in MODEL_LABELS.items()], "ts").groupBy(
         *labels, "ts").agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(*labels).orderBy("ts")).cast("double")
-    return round_doubles(counter_rate(per_time.select(*labels, "ts", total.alias("value")), labels))
+    return round_doubles(counter_rate(running_total(per_time, labels), labels))
 
 
 def q_endpoint_rates(spark, sf_dir):
