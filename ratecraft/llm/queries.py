@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, embed_dedup, mixing, packing, pseudo_lm, quality, secret_scan, simhash, url_filter, warc
+from . import (binary, conversations, embed_dedup, hard_negatives, mixing, packing, pseudo_lm, quality, secret_scan, simhash, token_counts,
+               url_filter, warc)
 from .common import read
 
 
@@ -74,6 +75,26 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.token_counts(read(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding; every seventh is moved to the
+    next label first, so that near vectors of other labels exist."""
+    number = F.col("vec_id")
+    moved = F.when(number % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives.mine(rows, number % 100 == 0)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, damaged first."""
+    rows = read(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damaged(rows), rows.select("conv_id"))
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_url_filter": op2_url_filter,
@@ -85,10 +106,14 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_binary_records": op9_binary_records,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_token_counts": op11_token_counts,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": embed_dedup.ORACLE,
     "op3_mix_sources": mixing.ORACLE,
     "op4_warc_index": warc.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
