@@ -140,6 +140,28 @@ def join_preferences(rows: DataFrame, profiles: DataFrame, *, salt_cols=None, co
                       count_from=count_from, has_hot=has_hot, rows_per_task=rows_per_task)
 
 
+# Categories (cities) up to which a user's preferences are one map in the user's
+# row: the map cannot have more entries than there are categories.
+MAX_MAP_ENTRIES = 10_000
+
+
+def join_preference_pairs(rows: DataFrame, user_cat: DataFrame, user_city: DataFrame, *, salt_cols=None,
+                          has_hot: tuple[bool | None, bool | None] = (None, None), counted: bool = False,
+                          rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """O24 without maps: two joins on (user, category) and (user, city), for any
+    number of categories or cities.  Pairs with many rows and null keys are
+    salted.  ``counted``: the tables' own row counts are those of ``rows``."""
+    for pairs, key, prefix, value, hot in ((user_cat, "place_category", "uc", "user_category_pref", has_hot[0]),
+                                           (user_city, "place_city", "ucy", "user_city_pref", has_hot[1])):
+        own = pairs.select("user_id", key, f"{prefix}_rows", F.col(f"{prefix}_present").alias("_there"), F.col(value).alias("_value"))
+        j = salted_join(rows, own, ["user_id", key], rows_col=f"{prefix}_rows" if counted else None, has_hot=hot,
+                        salt_cols=salt_cols, rows_per_task=rows_per_task)
+        there = F.coalesce("_there", F.lit(False))
+        rows = _finish(j, {f"{prefix}_present": there, value: F.when(there, F.col("_value")).otherwise(GM())},
+                       ["_there", "_value", f"{prefix}_rows"])
+    return rows
+
+
 def join_user_profiles(rows: DataFrame, profiles: DataFrame, *, salt_cols=None, count_from=None,
                        has_hot: bool | None = None,
                        rows_per_task: int = ROWS_PER_TASK) -> DataFrame:

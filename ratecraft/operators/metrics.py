@@ -83,13 +83,16 @@ def request_rate(log: DataFrame, by: list[str] = ("method", "status"),
                  seconds: int = RATE_WINDOW_SECONDS) -> DataFrame:
     """O56 requests per second in sliding windows, per ``by`` group."""
     if log.isStreaming:                  # one stateful aggregation
-        counted, w = log.withColumn("n", F.lit(1)), F.window("ts", width, slide)
-    else:
-        counted, w = per_step(log, "ts", slide, by, F.count(F.lit(1)).alias("n")), F.window("step", width, slide)
-    return (counted.groupBy(w.alias("w"), *by)
-            .agg((F.sum("n") / F.lit(float(seconds))).alias("rate"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                    *by, "rate"))
+        return step_rates(log.withColumn("n", F.lit(1)), by, "ts", width, slide, seconds)
+    return step_rates(per_step(log, "ts", slide, by, F.count(F.lit(1)).alias("n")), by, "step", width, slide, seconds)
+
+
+def step_rates(counts: DataFrame, by: list[str], ts: str = "step", width: str = RATE_WINDOW, slide: str = "1 minute",
+               seconds: int = RATE_WINDOW_SECONDS, n: str = "n") -> DataFrame:
+    """Sums of ``n`` per second in sliding windows, per ``by`` group."""
+    return (counts.groupBy(F.window(ts, width, slide).alias("w"), *by)
+            .agg((F.sum(n) / F.lit(float(seconds))).alias("rate"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "rate"))
 
 
 def endpoint_rates(log: DataFrame, handlers: list[str] | None = None, **kw) -> DataFrame:
@@ -141,11 +144,8 @@ def counter_rate(samples: DataFrame, series: list[str], width: str = RATE_WINDOW
     """O57 per-second rate of a sampled counter, reset-aware, in sliding
     windows: sum of increases of samples inside the window / seconds."""
     inc = counter_increases(samples, series).where(F.col("increase").isNotNull())
-    w = F.window("ts", width, slide)
-    return (inc.groupBy(w.alias("w"), *series)
-            .agg((F.sum("increase") / F.lit(float(seconds))).alias("rate"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                    *series, "rate"))
+    steps = per_step(inc, "ts", slide, series, F.sum("increase").alias("n"))
+    return step_rates(steps, series, "step", width, slide, seconds)
 
 
 def bucket_rates(df: DataFrame, value: str, buckets: list[float], ts: str = "ts",
@@ -301,12 +301,43 @@ def labels_text(labels: Column) -> Column:
 
 
 def sample_at_interval(samples: DataFrame, series: list[str], interval: str = SCRAPE_INTERVAL,
-                       value: str = "value", order: list[str] = ("ts",)) -> DataFrame:
-    """O65 last value of each series in each scrape tick (tumbling window)."""
+                       value: str = "value", order: list[str] = ("ts",), carry: bool = True) -> DataFrame:
+    """O65 value of each series at every scrape tick from its first to its last
+    sample: the last one of the tick, else the one before (``carry=False``: only
+    ticks with samples).
+
+    Ticks are laid out and filled per (series, day); a day begins with the last
+    value of the days before it, from a window over one row per day, so no window
+    holds more than a day of ticks.  A null sample repeats the value before."""
     key = F.struct(*[F.col(c) for c in order])
-    return (samples.groupBy(F.window("ts", interval).alias("w"), *series)
-            .agg(F.max_by(F.col(value), key).alias("value"))
-            .select(*series, F.col("w.end").alias("tick"), "value"))
+    found = (samples.groupBy(F.window("ts", interval).alias("w"), *series)
+             .agg(F.max_by(F.col(value), key).alias("value"))
+             .select(*series, F.col("w.end").alias("tick"), "value"))
+    if not carry:
+        return found
+    step = F.expr(f"INTERVAL {interval}")
+    found = found.withColumn("__day", F.to_date("tick"))
+    spans = found.groupBy(*series).agg(F.min("tick").alias("__first"), F.max("tick").alias("__last"))
+    # a row per series and day, with or without samples
+    days = spans.select(*series, "__first", "__last", F.explode(F.sequence(F.to_date("__first"), F.to_date("__last"))).alias("__day"))
+    last = found.groupBy(*series, "__day").agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("tick"))).alias("__value"))
+    before = Window.partitionBy(*series).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    opened = _same_keys(days, last, [*series, "__day"]).withColumn("__from", F.last("__value", ignorenulls=True).over(before))
+    kind = dict(found.dtypes)["tick"]
+    midnight = F.col("__day").cast("timestamp_ntz")
+    ticks = opened.select(*series, "__day", "__from", F.explode(F.sequence(
+        F.greatest("__first", midnight.cast(kind)),
+        F.least("__last", (midnight + F.expr("INTERVAL 1 DAY") - step).cast(kind)), step)).alias("tick"))
+    laid = _same_keys(ticks, found.drop("__day"), [*series, "tick"])
+    so_far = Window.partitionBy(*series, "__day").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+    return laid.select(*series, "tick", F.coalesce(F.last("value", ignorenulls=True).over(so_far), F.col("__from")).alias("value"))
+
+
+def _same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which null keys (a series without a label) are alike."""
+    other = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
+    alike = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in keys]
+    return left.join(other, alike, "left").drop(*[f"__r_{c}" for c in keys])
 
 
 def retention(samples: DataFrame, keep: str) -> DataFrame:

@@ -243,10 +243,14 @@ def preference_pivot(rows: DataFrame, categories: list[str]) -> DataFrame:
     """O20 wide user x category matrix with a column for each of the caller's
     ``categories``; absent pairs take the global mean, a present pair whose
     ratings are all null stays null.  (The long form of the same matrix, for
-    any number of categories, is ``user_category_pref``.)
+    any number of categories, is ``user_category_pref``.)  A category that has no
+    column ends the job: its ratings would be lost without a word.
     """
+    known = F.col("place_category").isin(categories)
     pairs = preference_table(pair_table(rows, "place_category", "uc"),
-                             "place_category", "uc", "pref").where("uc_present")
+                             "place_category", "uc", "pref").where("uc_present").withColumn(
+        "place_category", F.when(known, F.col("place_category")).otherwise(F.raise_error(
+            F.concat(F.lit("preference_pivot has no column for category "), "place_category"))))
     # marker keeps "present but null" apart from "absent"
     wide = (pairs.groupBy("user_id").pivot("place_category", categories)
             .agg(F.first(F.struct(F.col("pref").alias("v")), ignorenulls=False)))

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import remove, scratch_path
+from ..session import recorded_scratch, remove, scratch_path
 from ..sources import fixtures
 
 _TABLES: dict[tuple[str, str, str], tuple[DataFrame, str]] = {}
 _MODELS: dict[tuple[str, str, str], str] = {}
+_FITTED: set[tuple[str, str, str]] = set()
 
 
 def _key(spark: SparkSession, sf_dir: str, name: str):
@@ -78,7 +79,7 @@ def target_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.target_labels(spark, sf_dir)
 
 
-_OBJECTS: dict[tuple[str, str, str], object] = {}
+_OBJECTS: dict[tuple[str, str, str], tuple[object, list[str]]] = {}
 
 
 def shared(spark: SparkSession, sf_dir: str, name: str, build):
@@ -86,21 +87,28 @@ def shared(spark: SparkSession, sf_dir: str, name: str, build):
     per (application, folder, name)."""
     k = _key(spark, sf_dir, name)
     if k not in _OBJECTS:
-        _OBJECTS[k] = build()
-    return _OBJECTS[k]
+        made: list[str] = []
+        with recorded_scratch(made):
+            _OBJECTS[k] = build(), made
+    return _OBJECTS[k][0]
 
 
 def clear(inputs: bool = False) -> None:
-    """Forget every derived object (the benchmark times each query cold);
-    ``inputs=True`` forgets the input tables too."""
+    """Forget every derived object and delete its files (the benchmark times
+    each query cold); ``inputs=True`` does so with the input tables too.  Models
+    given by ``set_model_path`` are forgotten, their files are the caller's."""
+    gone = [path for _, path in _TABLES.values()] + [p for _, made in _OBJECTS.values() for p in made]
+    gone += [path for k, path in _MODELS.items() if k in _FITTED]
     if inputs:
+        gone += _INPUT_PATHS.values()
         _INPUTS.clear()
         _INPUT_PATHS.clear()
-    for _, path in _TABLES.values():
+    for path in gone:
         remove(path)
     _TABLES.clear()
     _OBJECTS.clear()
     _MODELS.clear()
+    _FITTED.clear()
 
 
 def model_path(spark: SparkSession, sf_dir: str, name: str, fit) -> str:
@@ -108,6 +116,7 @@ def model_path(spark: SparkSession, sf_dir: str, name: str, fit) -> str:
     k = _key(spark, sf_dir, name)
     if k not in _MODELS:
         _MODELS[k] = fit()
+        _FITTED.add(k)
     return _MODELS[k]
 
 

@@ -12,7 +12,9 @@ Plan shape (see ``explain``):
   category / city tables) for the joins below, with no job per join.
 * the rating rows then meet the users once and the places once (O21-O25):
   a user's row carries the statistics and two maps with the category and
-  city preferences.  Both are shuffle joins with salted hot and null keys;
+  city preferences - as long as there are few enough categories and cities to
+  bound a map; beyond it the preferences are two joins on (user, category) and
+  (user, city).  All are shuffle joins with salted hot and null keys;
   category / city are checked broadcasts (salted joins beyond the bound),
   the globals a one-row broadcast.
 * scalar features (O27-O30) are plain column expressions in the same
@@ -69,7 +71,8 @@ def stat_tables(rows: DataFrame, checkpoint: bool = True) -> StatTables:
 
 
 def attach_stats(target: DataFrame, t: StatTables, *, salt_cols: list[str] | None,
-                 count_big: bool = False, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                 count_big: bool = False, rows_per_task: int = ROWS_PER_TASK,
+                 max_map_entries: int | None = None) -> DataFrame:
     """O21-O25 + O27-O30 on any rows with the rating columns.
 
     ``count_big`` makes the skew split count ``target`` rows per key (use it
@@ -95,22 +98,31 @@ def attach_stats(target: DataFrame, t: StatTables, *, salt_cols: list[str] | Non
         return None if f is None else f[0]
 
     kw = dict(salt_cols=salt_cols, count_from=counts, rows_per_task=rows_per_task)
-    profiles = joins.user_profiles(t.users, t.user_cat, t.user_city)
+    # a user's maps are bounded by the measured number of categories and cities
+    bound = joins.MAX_MAP_ENTRIES if max_map_entries is None else max_map_entries
+    as_maps = facts and max(keys(stats.GID_CAT) or 0, keys(stats.GID_CITY) or 0) <= bound
     x = joins.with_globals(target, t.glob)
     x = joins.join_category_city(x, t.categories, t.cities,
                                  known_rows=(keys(stats.GID_CAT), keys(stats.GID_CITY)), **kw)
-    x = joins.join_user_profiles(x, profiles, has_hot=hot(stats.GID_USER), **kw)
+    if as_maps:
+        profiles = joins.user_profiles(t.users, t.user_cat, t.user_city)
+        x = joins.join_user_profiles(x, profiles, has_hot=hot(stats.GID_USER), **kw)
+    else:
+        x = joins.join_user_stats(x, t.users, has_hot=hot(stats.GID_USER), **kw)
+        x = joins.join_preference_pairs(
+            x, t.user_cat, t.user_city, salt_cols=salt_cols, counted=not count_big, rows_per_task=rows_per_task,
+            has_hot=(None, None) if count_big else (hot(stats.GID_USER_CAT), hot(stats.GID_USER_CITY)))
     x = joins.join_place_stats(x, t.places, has_hot=hot(stats.GID_PLACE), **kw)
     return features.add_scalar_features(x)
 
 
 def joined_rows(ratings: DataFrame, *, key_cols: list[str], bucket_col: str = "split_bucket",
-                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                rows_per_task: int = ROWS_PER_TASK, max_map_entries: int | None = None) -> DataFrame:
     """Rating rows with every statistic joined (defaults applied), plus the
     ``*_present`` flags that tell which lookups fell back."""
     rows = with_split(ratings, bucket_col=bucket_col, key_cols=key_cols)
     return attach_stats(rows, stat_tables(rows), salt_cols=key_cols,
-                        rows_per_task=rows_per_task)
+                        rows_per_task=rows_per_task, max_map_entries=max_map_entries)
 
 
 def feature_matrix(ratings: DataFrame, *, key_cols: list[str], label: str = "user_rating",

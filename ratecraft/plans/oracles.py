@@ -122,6 +122,11 @@ ORACLES = {
     "train_test_split": _with(BASE, """
         select is_train, count(*) n_rows, count(distinct user_id) n_users
         from x group by is_train"""),
+    "train_test_split_exact": _with(BASE, """
+        select rn > (select cast(ceil(count(*) * 20 / 100.0) as bigint) from r) is_train, count(*) n_rows,
+               count(distinct user_id) n_users, cast(sum(l_orderkey * 7 + l_partkey) as bigint) key_sum
+        from (select *, row_number() over (order by md5(concat_ws(':', '42', l_orderkey, l_partkey, l_suppkey, l_linenumber))) rn from r)
+        group by 1"""),
     "user_stats": _with(STATS, """
         select user_id, round(um, 6) user_mean, round(us, 6) user_std, uc user_count,
                round(umin, 6) user_min, round(umax, 6) user_max from u"""),
@@ -350,7 +355,8 @@ ORACLES.update({
         select round(avg((y - p) * (y - p)), 6) mse, round(avg(abs(y - p)), 6) mae,
                round(sqrt(avg((y - p) * (y - p))), 6) rmse,
                round(case when var_pop(y) * count(*) > 0
-                     then 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) end, 6) r2
+                     then 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))
+                     when sum((y - p) * (y - p)) = 0 then 1 when count(*) > 0 then 0 end, 6) r2
         from tb"""),
     "binary_metrics": _with(TB + """,
         cm as (select count_if(y >= 3.5 and p >= 3.5) tp, count_if(y < 3.5 and p >= 3.5) fp,
@@ -494,8 +500,12 @@ ORACLES.update({
         with gs as ({GAUGE_SAMPLES_SQL}),
         o as (select *, time_bucket(interval 10 second, ts) b,
                      row_number() over (partition by handler, time_bucket(interval 10 second, ts)
-                                        order by ts desc, seq desc) rn from gs)
-        select handler, b + interval 10 second tick, round(value, 6) value from o where rn = 1""",
+                                        order by ts desc, seq desc) rn from gs),
+        v as (select handler, b + interval 10 second tick, value from o where rn = 1),
+        tk as (select handler, unnest(generate_series(min(tick), max(tick), interval 10 second)) tick from v group by handler)
+        select tk.handler, tk.tick, round(last_value(v.value ignore nulls) over (
+                 partition by tk.handler order by tk.tick rows between unbounded preceding and current row), 6) value
+        from tk left join v on v.handler = tk.handler and v.tick = tk.tick""",
     "retention": f"""
         with gs as ({GAUGE_SAMPLES_SQL}), nw as (select max(ts) m from gs)
         select handler, count(*) n_samples, 'retention' scope from gs, nw
@@ -503,6 +513,10 @@ ORACLES.update({
         union all
         select handler, count(*) n_samples, 'dashboard' scope from gs, nw
         where ts >= m - interval 30 minute group by handler""",
+    "retention_by_day": f"""
+        with gs as ({GAUGE_SAMPLES_SQL})
+        select handler, count(*) n_samples, min(ts) first_ts, max(ts) last_ts from gs
+        where ts >= (select max(ts) from gs) - interval 20 hour group by handler""",
     "load_summary": f"""
         with {LOG},
         a as (select count(*) t, cast(count_if(status = 200) as bigint) s,
@@ -522,6 +536,8 @@ ORACLES.update({
     "stream_confidence_histogram": ORACLES["confidence_histogram"],
     # streamed scoring must equal the batch ranking
     "stream_score": ORACLES["rank_places"],
+    "stream_gauge_last": ORACLES["gauge_last"],
+    "stream_response_sink": ORACLES["response_sink"],
 })
 
 
@@ -594,3 +610,19 @@ ORACLES.update({
         select 'baseline-fallback-model', '1.0', 'Production', 'fallback', 0.85e0, 0.65e0,
                0.78e0, 22, 'production'"""),
 })
+
+_BASELINE_ROW = "'baseline-fallback-model', '1.0', 'Production', 'fallback'"
+ORACLES["serve_with_fallback"] = _with(JOINED + """,
+te as (select count(*) n, avg(place_rating + user_mean - global_mean) bias, avg(place_mean) pm, avg(global_mean) gm
+       from j where not is_train)""", f"""
+select c case_name, a model_name, b model_version, d model_stage, e run_id, n n_rows, round(v, 6) mean_prediction
+from (select 'alias' c, 'rating-gb' a, '1' b, 'production' d, 'bias' e, n, bias v from te
+      union all select 'latest', 'rating-gb', '3', 'latest', 'place_mean', n, pm from te
+      union all select 'unknown alias', 'rating-gb', '3', 'latest', 'place_mean', n, pm from te
+      union all select 'broken', {_BASELINE_ROW}, n, gm from te
+      union all select 'no registry', {_BASELINE_ROW}, n, gm from te)""")
+
+ORACLES["model_rmse_gauge"] = _with(RUNS + SCORED[len(STATS):], """
+select 'rating-gb' model_name, 'production' model_stage, round(m.rmse, 6) last_value, q.ts last_ts
+from (select * from rq where request_id in (select request_id from rk) order by ts desc, request_id desc limit 1) q,
+     ver join m on m.run_id = ver.run_id where ver.alias = 'production'""")

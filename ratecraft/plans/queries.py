@@ -20,6 +20,7 @@ from ..sources.requests import parse_requests, parse_summary
 from ..schema import PREDICT_RESPONSE, RECOMMEND_RESPONSE
 from ..session import scratch_path
 from ..streaming import jobs
+from ..streaming.store import Versions
 from . import serving
 from .feature_matrix import feature_matrix, joined_rows
 from .materialize import materialize
@@ -49,6 +50,15 @@ def q_train_test_split(spark, sf_dir):
                  F.count_distinct("user_id").alias("n_users")))
 
 
+def q_train_test_split_exact(spark, sf_dir):
+    """Exactly 20 % of the rows (rounded up) as test rows, by the smallest
+    row hashes; rows, users and a checksum of the keys per side."""
+    from ..operators.split import exact_split
+    rows = exact_split(catalog.ratings(spark, sf_dir), key_cols=ROW_KEY)
+    return rows.groupBy(TRAIN_FLAG).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("user_id").alias("n_users"),
+                                        F.sum(F.col("l_orderkey") * 7 + F.col("l_partkey")).alias("key_sum"))
+
+
 # ------------------------------------------------------------- stats ------
 def q_user_stats(spark, sf_dir):
     return round_doubles(stats.user_stats(_rows(spark, sf_dir)))
@@ -391,7 +401,8 @@ def _model(spark, sf_dir):
 
 def q_train_gbt(spark, sf_dir):
     """O35 (rows only): one row per fitted tree."""
-    gbt = _model(spark, sf_dir).stages[-1]
+    from ..operators.train import trees_of
+    gbt = trees_of(_model(spark, sf_dir))
     rows = [(i, float(w), t.numNodes, t.depth)
             for i, (t, w) in enumerate(zip(gbt.trees, gbt.treeWeights))]
     return spark.createDataFrame(rows, "tree int, weight double, num_nodes int, depth int")
@@ -470,6 +481,19 @@ def q_model_gauge_last(spark, sf_dir):
     return round_doubles(gauge_last(samples, list(MODEL_LABELS), order=["ts", "request_id"]))
 
 
+def q_model_rmse_gauge(spark, sf_dir):
+    """O54 on the RMSE gauge per model and stage: every request sets it to the
+    RMSE of the model that serves; the last request's value stays."""
+    from ..operators.evaluate import resolve_model
+    from ..operators.metrics import gauge_last
+    from ..operators.runs import register_versions
+    m = materialize(_run_metrics(spark, sf_dir), name="run-metrics")
+    serves = resolve_model(register_versions(m, MODEL_NAME), m, MODEL_NAME).select("model_name", "model_stage", "rmse")
+    requests = _scored(spark, sf_dir).where("recommendation_rank = 1").select("request_id", "ts")
+    samples = requests.crossJoin(F.broadcast(serves))                 # one row
+    return round_doubles(gauge_last(samples, list(MODEL_LABELS), "rmse", order=["ts", "request_id"]))
+
+
 def q_confidence_histogram(spark, sf_dir):
     """O55 cumulative confidence buckets, sum and count per model labels."""
     from ..operators.metrics import histogram
@@ -556,7 +580,8 @@ def q_relabel(spark, sf_dir):
 
 
 def q_sample_at_interval(spark, sf_dir):
-    """O65 last gauge value per handler per 10-second scrape tick."""
+    """O65 gauge value per handler at every 10-second scrape tick from its first
+    to its last event; a tick without an event repeats the value before."""
     from ..operators.metrics import sample_at_interval
     return round_doubles(sample_at_interval(catalog.gauge_samples(spark, sf_dir), ["handler"],
                                             order=["ts", "seq"]))
@@ -571,6 +596,18 @@ def q_retention(spark, sf_dir):
                            {"retention": RETENTION, "dashboard": DASHBOARD_RANGE}, ["handler"])
 
 
+def q_retention_by_day(spark, sf_dir):
+    """O66 as deletion: gauge samples stored by day; the days that 20 hours
+    before the newest sample have passed are deleted, the rest is read with a
+    filter on the day."""
+    from ..operators import samples as store
+    path = scratch_path(spark, "samples-by-day")
+    store.append_samples(catalog.gauge_samples(spark, sf_dir), path)
+    store.drop_expired(spark, path, "20 hours")
+    kept = store.read_retained(spark, path, "20 hours")
+    return kept.groupBy("handler").agg(F.count(F.lit(1)).alias("n_samples"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
 def q_load_summary(spark, sf_dir):
     """O67 load-test style summary of the request log."""
     from ..operators.metrics import load_summary
@@ -578,21 +615,30 @@ def q_load_summary(spark, sf_dir):
 
 
 # ---------------------------------------------------------- streaming -----
+# Streams read this many files, with rows in no order, one per micro-batch.
+STREAM_FILES = 3
+
+
 def q_stream_metrics(spark, sf_dir):
-    """Request rates from a file stream of the request log (watermark
-    10 minutes, append mode).  The log is closed by an end mark, so every
-    window is written, as in the batch form."""
-    land = jobs.landing_folder(catalog.request_log(spark, sf_dir), "log-landing")
-    jobs.end_log(spark, land)
+    """Request rates from a file stream of the request log, whose files
+    come in no time order, one per micro-batch."""
+    land = jobs.landing_folder(catalog.request_log(spark, sf_dir), "log-landing", STREAM_FILES)
     out, ck = scratch_path(spark, "stream-metrics"), scratch_path(spark, "stream-metrics-ck")
-    jobs.run_available(jobs.stream_request_rates(jobs.file_stream(spark, land)), out, ck)
-    res = spark.read.parquet(out)
+    res = jobs.stream_rates(jobs.file_stream(spark, land, max_files=1), out, ck)
     return round_doubles(res.select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"),
         F.col("window_end").cast("timestamp_ntz").alias("window_end"),
         "method", "status", "rate"))
 
 
+def q_stream_gauge_last(spark, sf_dir):
+    """O54 over a stream: newest duration gauge per handler from files in no
+    time order."""
+    land = jobs.landing_folder(catalog.gauge_samples(spark, sf_dir), "gauge-landing", STREAM_FILES)
+    out, ck = scratch_path(spark, "stream-gauges"), scratch_path(spark, "stream-gauges-ck")
+    return round_doubles(jobs.stream_gauges(jobs.file_stream(spark, land, max_files=1), out, ck, ["handler"], order=["ts", "seq"]))
+
+
 def _scored_stream(spark, sf_dir) -> DataFrame:
     """File stream of scored rows with the model's labels."""
     rows = _scored(spark, sf_dir).select(*[F.lit(v).alias(k) for k, v in MODEL_LABELS.items()], "confidence_raw")
@@ -604,7 +650,7 @@ def q_stream_recommendations_total(spark, sf_dir):
     out, ck = scratch_path(spark, "stream-totals"), scratch_path(spark, "stream-totals-ck")
     jobs.stream_totals(_scored_stream(spark, sf_dir).groupBy(*MODEL_LABELS).agg(
         F.count(F.lit(1)).alias("recommendations_total")), out, ck)
-    return spark.read.parquet(out)
+    return Versions(spark, out).newest()
 
 
 def q_stream_confidence_histogram(spark, sf_dir):
@@ -612,24 +658,38 @@ def q_stream_confidence_histogram(spark, sf_dir):
     from ..operators.metrics import histogram
     out, ck = scratch_path(spark, "stream-buckets"), scratch_path(spark, "stream-buckets-ck")
     jobs.stream_totals(histogram(_scored_stream(spark, sf_dir), "confidence_raw", list(MODEL_LABELS)), out, ck)
-    return round_doubles(spark.read.parquet(out))
+    return round_doubles(Versions(spark, out).newest())
 
 
-def _stream_scored(spark, sf_dir, predictor) -> DataFrame:
-    """O68 over a file stream of the requests; ``predictor()`` is asked for
-    the predictor at the start of each micro-batch."""
-    tables = catalog.shared(spark, sf_dir, "serving_tables", lambda: serving.serving_tables(
-        catalog.ratings(spark, sf_dir), key_cols=ROW_KEY))
+def _published_tables(spark, sf_dir) -> str:
+    """Folder with a published snapshot of the statistics."""
+    def publish():
+        path = scratch_path(spark, "statistics-versions")
+        serving.publish_tables(spark, path, serving.serving_tables(catalog.ratings(spark, sf_dir), key_cols=ROW_KEY))
+        return path
+    return catalog.shared(spark, sf_dir, "published_tables", publish)
+
+
+def _request_stream(spark, sf_dir, predictor):
+    """File stream of the requests, and a function that scores a micro-batch of
+    it; ``predictor()`` and the newest published statistics are taken at the
+    start of each micro-batch."""
+    path = _published_tables(spark, sf_dir)
     land = jobs.landing_folder(catalog.requests(spark, sf_dir), "request-landing")
 
     def score_batch(batch):
         rows = serving.request_rows(batch, checkpoint=True)
-        ranked = serving.scored(serving.enriched_features(rows, tables), predictor())
-        return ranked.select("request_id", "pos", "place_id", "predicted_rating",
-                             "confidence_score", "recommendation_rank")
+        return serving.scored(serving.enriched_features(rows, serving.newest_tables(spark, path)), predictor())
+
+    return jobs.file_stream(spark, land), score_batch
 
+
+def _stream_scored(spark, sf_dir, predictor) -> DataFrame:
+    """O68 over a file stream of the requests."""
+    stream, score_batch = _request_stream(spark, sf_dir, predictor)
     out, ck = scratch_path(spark, "stream-score"), scratch_path(spark, "stream-score-ck")
-    jobs.stream_score(jobs.file_stream(spark, land), score_batch, out, ck)
+    jobs.stream_score(stream, lambda batch: score_batch(batch).select(
+        "request_id", "pos", "place_id", "predicted_rating", "confidence_score", "recommendation_rank"), out, ck)
     return spark.read.parquet(out).drop("batch_id")
 
 
@@ -640,10 +700,57 @@ def q_stream_score(spark, sf_dir):
 
 
 def q_stream_model_score(spark, sf_dir):
-    """O68 (rows only): each micro-batch scored by the newest registered model."""
+    """O68 (rows only): each micro-batch scored by the model that the registry
+    names when the batch starts."""
+    from ..operators import registry as reg
     registry = scratch_path(spark, "registry")
-    jobs.register_model(spark, registry, 1, _model_path(spark, sf_dir))
-    return _stream_scored(spark, sf_dir, lambda: serving.model_predictor(jobs.newest_model(spark, registry)))
+    reg.register_model(spark, registry, MODEL_NAME, 1, _model_path(spark, sf_dir))
+    reg.set_alias(spark, registry, MODEL_NAME, 1)
+    return _stream_scored(spark, sf_dir, lambda: reg.load_serving(
+        spark, registry, MODEL_NAME, serving.model_predictor, serving.baseline_predictor).predictor)
+
+
+def q_stream_response_sink(spark, sf_dir):
+    """O5 over a stream: nested JSON responses of each micro-batch as JSON files
+    under its batch id, read back and parsed."""
+    stream, score_batch = _request_stream(spark, sf_dir, lambda: serving.bias_predictor)
+    out, ck = scratch_path(spark, "stream-responses"), scratch_path(spark, "stream-responses-ck")
+    jobs.stream_responses(stream, lambda batch: score.request_response(score_batch(batch), "bias-baseline"), out, ck)
+    return _flat_response(spark.read.schema("request_id long, response string").json(out))
+
+
+def q_serve_with_fallback(spark, sf_dir):
+    """O42 / O43 at run time: test rows scored by what the registry leads to -
+    the alias' model, the latest where the alias' files are gone, the baseline
+    where all files are gone and where there is no registry."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+
+    from ..operators import registry as reg
+    from ..operators.train import save_model
+    test = _matrix(spark, sf_dir).where(~F.col(TRAIN_FLAG))
+    path = scratch_path(spark, "registry")
+
+    def saved(formula):
+        return save_model(PipelineModel([SQLTransformer(statement=f"SELECT *, {formula} AS prediction FROM __THIS__")]), scratch_path(spark, "model"))
+
+    gone = scratch_path(spark, "no-model")
+    reg.register_model(spark, path, MODEL_NAME, 1, saved("place_rating + user_mean - global_mean"), "bias")
+    reg.register_model(spark, path, MODEL_NAME, 2, gone, "lost")
+    reg.register_model(spark, path, MODEL_NAME, 3, saved("place_mean"), "place_mean")
+    reg.register_model(spark, path, "lost-model", 1, gone, "lost")
+    for name, version, alias in ((MODEL_NAME, 3, "production"), (MODEL_NAME, 1, "production"), (MODEL_NAME, 2, "canary"), ("lost-model", 1, "production")):
+        reg.set_alias(spark, path, name, version, alias)
+    out = None
+    for case, registry, name, alias in (("alias", path, MODEL_NAME, "production"), ("latest", path, MODEL_NAME, "canary"),
+                                        ("unknown alias", path, MODEL_NAME, "staging"), ("broken", path, "lost-model", "production"),
+                                        ("no registry", gone, MODEL_NAME, "production")):
+        s = reg.load_serving(spark, registry, name, lambda model: model.transform, serving.baseline_predictor, alias)
+        part = s.predictor(test).agg(F.count(F.lit(1)).alias("n_rows"), F.avg("prediction").alias("mean_prediction")).select(
+            F.lit(case).alias("case_name"), F.lit(s.name).alias("model_name"), F.lit(s.version).alias("model_version"),
+            F.lit(s.stage).alias("model_stage"), F.lit(s.run_id).alias("run_id"), "n_rows", "mean_prediction")
+        out = part if out is None else out.unionByName(part)
+    return round_doubles(out)
 
 
 def q_response_sink(spark, sf_dir):
@@ -723,6 +830,7 @@ def q_resolve_model(spark, sf_dir):
 QUERIES = Q(
     scan_ratings=q_scan_ratings,
     train_test_split=q_train_test_split,
+    train_test_split_exact=q_train_test_split_exact,
     user_stats=q_user_stats,
     place_stats=q_place_stats,
     category_stats=q_category_stats,
@@ -775,6 +883,7 @@ QUERIES = Q(
     recommendations_total=q_recommendations_total,
     gauge_last=q_gauge_last,
     model_gauge_last=q_model_gauge_last,
+    model_rmse_gauge=q_model_rmse_gauge,
     confidence_histogram=q_confidence_histogram,
     request_rate=q_request_rate,
     counter_rate=q_counter_rate,
@@ -788,12 +897,16 @@ QUERIES = Q(
     relabel=q_relabel,
     sample_at_interval=q_sample_at_interval,
     retention=q_retention,
+    retention_by_day=q_retention_by_day,
     load_summary=q_load_summary,
     stream_metrics=q_stream_metrics,
     stream_recommendations_total=q_stream_recommendations_total,
     stream_confidence_histogram=q_stream_confidence_histogram,
     stream_score=q_stream_score,
     stream_model_score=q_stream_model_score,
+    stream_gauge_last=q_stream_gauge_last,
+    stream_response_sink=q_stream_response_sink,
+    serve_with_fallback=q_serve_with_fallback,
     response_sink=q_response_sink,
     run_metrics_sink=q_run_metrics_sink,
     training_run=q_training_run,

@@ -15,12 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features, score, validate
 from ..operators.split import with_split
 from ..sources.requests import parse_requests
+from ..streaming.store import Versions
 from .feature_matrix import StatTables, attach_stats, stat_tables
 from .materialize import materialize
 
@@ -56,6 +57,38 @@ def enriched_features(rows: DataFrame, tables: StatTables) -> DataFrame:
     return attach_stats(rows, tables, salt_cols=REQUEST_KEY, count_big=True)
 
 
+def baseline_predictor(df: DataFrame) -> DataFrame:
+    """O43 without a model: the training global mean, which the features hold."""
+    return df.withColumn("prediction", F.col("global_mean"))
+
+
+# ---- statistics that change while a stream runs -----------------------------
+def publish_tables(spark: SparkSession, path: str, tables: StatTables, version: int | None = None) -> int:
+    """Write a snapshot of the statistics as the next version below ``path``.
+    The index is written last and counts only when it is complete, so a reader
+    gets all tables of one version or all of the one before."""
+    index = Versions(spark, f"{path}/index")
+    if version is None:
+        version = max(index.complete(), default=-1) + 1
+    base = f"{path}/tables/version={version:012d}"
+    for name in StatTables._fields[:-1]:
+        getattr(tables, name).write.mode("overwrite").parquet(f"{base}/{name}")
+    facts = [(gid, n, most) for gid, (n, most) in (tables.facts or {}).items()]
+    index.publish(spark.createDataFrame(facts, "gid int, n_keys long, max_rows long"), version)
+    return version
+
+
+def newest_tables(spark: SparkSession, path: str) -> StatTables:
+    """The newest complete snapshot."""
+    versions = Versions(spark, f"{path}/index").complete()
+    if not versions:
+        raise ValueError(f"no statistics are published below {path}")
+    base = f"{path}/tables/version={versions[-1]:012d}"
+    facts = {r["gid"]: (r["n_keys"], r["max_rows"]) for r in
+             spark.read.parquet(Versions(spark, f"{path}/index").folder(versions[-1])).collect()}   # a row per grouping set
+    return StatTables(*[spark.read.parquet(f"{base}/{name}") for name in StatTables._fields[:-1]], facts or None)
+
+
 def bias_predictor(df: DataFrame) -> DataFrame:
     """Closed-form predictor: the place's rating shifted by how far the
     user's mean rating lies from the global mean.  Oracle-checkable

@@ -21,13 +21,16 @@ BASE_CONF = {
 }
 
 
-def get_session(master: str = "local[*]", shuffle_partitions: int = 8,
+def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app: str = "ratecraft", extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with the engine defaults."""
-    builder = SparkSession.builder.master(master).appName(app)
+    """Build (or reuse) a session with the engine defaults.  What is not asked
+    for - master, shuffle partitions, memory - stays as the cluster has it."""
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", "16g")
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -93,17 +96,43 @@ def scratch_scope():
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path behind a folder of the shared store (``file:``,
-    ``hdfs:``, ``s3:``, ``gs:`` or a plain path)."""
+    """File system and path behind a folder of the shared store, for files that
+    tasks write themselves (``file:``, ``hdfs:``, ``s3:``, ``s3a:``, ``gs:``,
+    ``abfss:`` or a plain path)."""
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    if uri.startswith("dbfs:"):  # mounted on every machine of such a cluster
+        return pafs.LocalFileSystem(), "/dbfs/" + uri[5:].lstrip("/")
     if "://" not in uri:
         return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(f"{STORE_NAMES.get(scheme, scheme)}://{rest}")
+
+
+# Spark's names of stores that the Arrow file systems know by another one.
+STORE_NAMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def _hadoop(uri: str, spark: SparkSession | None = None):
+    """Spark's own file system and path of a folder: any store that Spark reads."""
+    spark = spark or SparkSession.active()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def folder_names(spark: SparkSession, uri: str) -> list[str]:
+    """Names of the folders directly in a folder (none, if it is not there)."""
+    fs, path = _hadoop(uri, spark)
+    return [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()] if fs.exists(path) else []
+
+
+def has_file(spark: SparkSession, uri: str) -> bool:
+    fs, path = _hadoop(uri, spark)
+    return fs.exists(path)
 
 
 def remove(uri: str) -> None:
     """Delete a scratch folder, if it is there."""
-    fs, path = open_store(uri)
-    if fs.get_file_info(path).type == pafs.FileType.Directory:
-        fs.delete_dir(path)
+    fs, path = _hadoop(uri)
+    if fs.exists(path):
+        fs.delete(path, True)
