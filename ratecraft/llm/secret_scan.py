@@ -6,7 +6,7 @@ reported wherever they match.  Three weaker ones are only candidates:
 * ``key_id``: an assigned id, or a word with a known prefix or of capitals and
   digits;
 * ``key_secret``: a random-looking run of base64 or base32 characters, of any length;
-* ``endpoint``: a URL, or a host name with a port.
+* ``endpoint``: a URL, or a host name with a port of any length.
 
 Candidates and base matches are parts of a credential: an identifier, a secret
 or an endpoint.  The parts of a document are interval-joined within scopes
@@ -15,6 +15,9 @@ reported only if a part that complements it lies in its scope: an identifier
 needs a secret, an endpoint needs a secret, a secret needs an identifier or an
 endpoint.  Candidates that overlap are all linked first; of those that are
 confirmed, the first of each overlap is reported, as long as the overlap is.
+A URL is a scope of its own: a user (or an id among the segments behind the host),
+a secret (a password, or a random segment) and the host are parts beside each
+other and complement one another where an identifier and a secret co-occur.
 Scopes never cross documents, and a document is one row, so the
 join runs beside the scan, on sorted positions, and nothing is shuffled.
 
@@ -51,7 +54,13 @@ KEY_ID = re.compile(rf"(?<![A-Za-z0-9_-])(?:{PREFIXED_ID}"
                     r"|(?=[A-Z]*[0-9])[A-Z][A-Z0-9]{15,})(?![A-Za-z0-9])")
 KEY_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,6}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"\b(?:https?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ftp)://[^\x20\x09-\x0D\"'<>]{4,}"
-                      r"|(?<![A-Za-z0-9.@-])(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,24}:[0-9]{2,5}(?![0-9])", re.A)
+                      r"|(?<![A-Za-z0-9.@-])(?:[a-z0-9-]{1,63}\.)+[a-z]{2,24}:[0-9]{2,5}(?![0-9])", re.A)
+# A URL's user and password, host with port, and the rest; segments of the rest.
+URL = re.compile(r"[a-z][a-z0-9+.-]*://(?:([^\x20\x09-\x0D\"'<>/?#:@]+):([^\x20\x09-\x0D\"'<>/?#@]+)@)?"
+                 r"([^\x20\x09-\x0D\"'<>/?#@]+)([^\x20\x09-\x0D\"'<>]*)", re.A)
+SEGMENT = re.compile(r"[A-Za-z0-9]+")
+URL_ID = re.compile(r"(?=[A-Z]*[0-9])[A-Z][A-Z0-9]{2,}")
+LEAST_PASSWORD, LEAST_SEGMENT = 6, 20
 PORT = re.compile(r":[0-9]{2}")
 MIN_ENTROPY = 3.5
 SCOPE = 200
@@ -102,8 +111,13 @@ def weak_spans(text: str, words: list[str], base: list[tuple[int, int, str]]) ->
         found += [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
     if KEY_SECRET.search(odd):
         found += [(m.start(), m.end(), "key_secret") for m in KEY_SECRET.finditer(text) if looks_random(m[0])]
+    return free(found, base)
+
+
+def free(spans, base) -> list[tuple[int, int, str]]:
+    """Those of ``spans`` that overlap no base span, in order."""
     out, taken, k = [], merged((s, e, "") for s, e, _ in base), 0
-    for s, e, kind in sorted(found, key=lambda x: (x[0], KINDS.index(x[2]))):
+    for s, e, kind in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]))):
         while k < len(taken) and taken[k][1] <= s:
             k += 1
         if k == len(taken) or taken[k][0] >= e:
@@ -111,6 +125,30 @@ def weak_spans(text: str, words: list[str], base: list[tuple[int, int, str]]) ->
     return out
 
 
+def url_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Parts of the URLs that hold an identifier and a secret (a base span counts
+    as what it is): the identifiers, the secrets and the host."""
+    if "://" not in text:
+        return []
+    out = []
+    for m in URL.finditer(text):
+        parts = [(*m.span(3), "endpoint")]
+        if m[2] is not None and len(m[2]) >= LEAST_PASSWORD:
+            parts += [(*m.span(1), "key_id"), (*m.span(2), "key_secret")]
+        if len(m[4]) >= LEAST_SEGMENT:
+            for g in SEGMENT.finditer(text, *m.span(4)):
+                if len(g[0]) >= LEAST_SEGMENT and looks_random(g[0]):
+                    parts.append((*g.span(), "key_secret"))
+                elif URL_ID.fullmatch(g[0]):
+                    parts.append((*g.span(), "key_id"))
+        roles = {ROLE[kind] for _, _, kind in parts}
+        if len(parts) > 1 and base:
+            roles |= {ROLE[kind] for s, e, kind in base if m.start() <= s and e <= m.end()}
+        if {"id", "secret"} <= roles:
+            out += parts
+    return free(out, base)
+
+
 def merged(spans) -> list[tuple[int, int, str]]:
     """Overlapping spans as one, named after the first."""
     out: list[tuple[int, int, str]] = []
@@ -157,7 +195,7 @@ def find(text: str | None, scope: int = SCOPE) -> tuple[list, list]:
     text = text or ""
     words = text.split()
     base = base_spans(text, words)
-    more = merged(confirmed(base, weak_spans(text, words, base), scope, apart=True))
+    more = merged(confirmed(base, weak_spans(text, words, base), scope, apart=True) + url_spans(text, base))
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]))) if more else base
 
 

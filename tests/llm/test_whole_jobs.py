@@ -77,3 +77,26 @@ def test_confirmation_apart_matches_all_pairs():
         fits = [w for w in weak if any(secret_scan.ROLE[o[2]] in secret_scan.COMPLEMENTS[secret_scan.ROLE[w[2]]]
                                        and 0 <= max(o[0] - w[1], w[0] - o[1]) <= 100 for o in spans)]
         assert secret_scan.confirmed([s for s in spans if s not in weak], weak, 100, apart=True) == fits
+
+
+def test_parts_of_one_url_complement_each_other():
+    secret = drawn(5, string.ascii_letters + string.digits, 32)
+    of = lambda t: [(k, t[a:b]) for a, b, k in secret_scan.find(t)[1]]
+    assert of(f"dsn postgres://admin:{secret}@db.example.com:5432/prod here") == [
+        ("key_id", "admin"), ("key_secret", secret), ("endpoint", "db.example.com:5432")]
+    assert of(f"post to https://hooks.example.com/services/T00/B00/{secret}.") == [
+        ("endpoint", "hooks.example.com"), ("key_id", "T00"), ("key_id", "B00"), ("key_secret", secret)]
+    number = "0123456789abcdef" * 2                     # a base span inside the url is its secret
+    assert of(f"https://h.example.com/hook/A17/{number}") == [("endpoint", "h.example.com"), ("key_id", "A17"), ("hex", number)]
+    text = f"dsn postgres://admin:{secret}@db.example.com:5432/prod here"
+    assert secret_scan.mask(text, secret_scan.find(text)[1]) == "dsn postgres://[key_id]:[key_secret]@[endpoint]/prod here"
+    for alone in ("https://a.example.com/T00/B00/list", "https://user:ab@h.example.com/x", "http://user@h.example.com/" + "word" * 9,
+                  "https://a.example.com/C4/My-Long-Title-of-2023-and-More", "see://", "://", "https://@"):
+        assert of(f"see {alone} here") == []
+
+
+def test_a_host_of_many_labels_is_an_endpoint():
+    secret = drawn(6, string.ascii_letters + string.digits, 40)
+    host = ".".join("abcdefghij") + ".example.com:5432"
+    found = secret_scan.find(f"{host} {secret}")[1]
+    assert [k for _, _, k in found] == ["endpoint", "key_secret"] and found[0][:2] == (0, len(host))
