@@ -48,12 +48,24 @@ def naive_distance(p, q):
 
 def naive_class(c):
     if ord(c) > 127:
-        return 6
-    return (0 if c.islower() or c.isdigit() else 1 if c.isupper() else 3 if c == "\n" else 2 if c.isspace()
-            else 5 if c in "#*$%&|<>" else 4)
+        return 7
+    return (0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 4 if c == "\n" else 3 if c.isspace()
+            else 6 if c in "#*$%&|<>" else 5)
 
 
-def test_quality_matches_brute_force(some_docs):
+def naive_chance(reference, n):
+    """Expected divergence of n words drawn from a reference."""
+    total, out = sum(reference.values()), 0.0
+    for m in reference.values():
+        q = m / total
+        for k in range(n + 1):
+            p = k / n
+            out += math.comb(n, k) * q ** k * (1 - q) ** (n - k) * ((p * math.log2(2 * p / (p + q)) if p else 0) + q * math.log2(2 * q / (p + q))) / 2
+    return out
+
+
+@pytest.mark.parametrize("max_broadcast", [1000, 0])
+def test_quality_matches_brute_force(some_docs, max_broadcast):
     docs = {r.doc_id: r for r in some_docs.collect()}
     words, shares = {}, {}
     for r in docs.values():
@@ -61,8 +73,9 @@ def test_quality_matches_brute_force(some_docs):
         words.setdefault(r.lang, Counter()).update(w)
         if len(w) >= 50:
             hist = Counter(map(naive_class, r.text))
-            shares.setdefault(r.lang, []).append([hist[k] * 1000 // len(r.text) for k in range(7)])
-    for r in quality.judge(some_docs).collect():
+            shares.setdefault(r.lang, []).append([hist[k] * 1000 // len(r.text) for k in range(8)])
+    judged = 0
+    for r in quality.judge(some_docs, max_broadcast=max_broadcast).collect():
         text, lang = docs[r.doc_id].text, docs[r.doc_id].lang
         base = naive_base(text)
         assert tuple(r[1:6]) == base
@@ -70,15 +83,43 @@ def test_quality_matches_brute_force(some_docs):
         if base[0] < 50:
             assert r.class_distance is None
             continue
-        median = {k: sorted(s[k] for s in shares[lang])[(len(shares[lang]) - 1) // 2] for k in range(7)}
+        median = {k: sorted(s[k] for s in shares[lang])[(len(shares[lang]) - 1) // 2] for k in range(8)}
         by_class = naive_distance(Counter(map(naive_class, text)), median)
         common = dict(sorted(((w, n) for w, n in words[lang].items() if w.isalpha()), key=lambda x: (-x[1], x[0]))[:64])
         reference = common | {None: sum(words[lang].values()) - sum(common.values())}
         own = Counter(w.lower() if w.lower() in common else None for w in WORD.findall(text))
         by_word = naive_distance(own, reference)
         assert r.class_distance == pytest.approx(by_class, abs=1e-9) and r.word_distance == pytest.approx(by_word, abs=1e-9)
-        far = by_class > 0.35 or by_word > 0.75 or (by_class > 0.18 and by_word > 0.3)
-        assert r.kept == (not r.base_failed and not far)
+        step = int(2 ** (math.floor(4 * math.log2(base[0]) + 1e-9) / 4))
+        chance, most = naive_chance(reference, step), naive_distance({None: 1}, reference) ** 2
+        way = (by_word ** 2 - chance) / (most - chance)
+        assert r.word_way == pytest.approx(way, abs=1e-6)
+        bad = by_class > 0.35 or way >= 0.8 + 0.2 * 50 / base[0] or (by_class > 0.18 and way > 0.4)
+        assert r.kept == (not r.base_failed and not bad)
+        judged += 1
+    assert judged > 40
+
+
+def test_quality_rejects_what_is_not_of_its_language(spark):
+    """Documents of four languages, and texts that only look like them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    labels = dict(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality").collect())
+    draw = random.Random(1)
+    made = lambda letters, n: " ".join("".join(draw.choices(letters, k=draw.randint(3, 9))) for _ in range(n))
+    german = [r.text for r in docs.where("lang = 'de' and length(text) > 1500").orderBy("doc_id").limit(8).collect()]
+    french = [r.text for r in docs.where("lang = 'fr' and length(text) > 1500").orderBy("doc_id").limit(8).collect()]
+    odd = [(-1, made("0123456789", 300), "en"), (-2, made("abcdefghilmnoprstu", 300), "en"), (-3, made("qxzjkvwy", 300), "en"),
+           (-4, made("qxzjkvwy", 300), "rare")] + [(-10 - k, t, "en") for k, t in enumerate(german)]
+    sound = [(-100 - k, t, ["rare", None][k % 2]) for k, t in enumerate(french)]
+    rows = docs.unionByName(spark.createDataFrame(odd + sound, "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in quality.judge(rows).collect()}
+    clean = [r for i, r in got.items() if labels.get(i) == 1 and not r.base_failed]
+    junk = [r for i, r in got.items() if labels.get(i) == 0 and not r.base_failed]
+    junk_texts = {r.doc_id for r in docs.collect() if labels.get(r.doc_id) == 0}
+    assert not any(got[i].kept for i, _, _ in odd)
+    assert all(got[i].kept for i, t, _ in sound if got[i].n_words >= 50 and not got[i].base_failed and i not in junk_texts)
+    assert sum(r.kept for r in clean) >= 0.995 * len(clean) > 200
+    assert sum(r.kept for r in junk) <= 0.1 * len(junk)
 
 
 # --- SimHash
@@ -415,7 +456,7 @@ def test_embedding_edges(spark):
 
 def test_slopes_match_differences():
     draw = np.random.default_rng(0)
-    w = pseudo_lm.fresh()
+    w = pseudo_lm.fresh(1792)
     w = pseudo_lm.Weights(*[a.astype(np.float64) for a in w.arrays()])
     around, target = draw.integers(0, 2049, (50, 4)), draw.integers(0, 2048, 50)
     _, grad = pseudo_lm.predict(w, around, target, slopes=True)
@@ -429,13 +470,61 @@ def test_slopes_match_differences():
         assert (down - up) / 2e-5 == pytest.approx(g[at], rel=1e-4, abs=1e-6)
 
 
-def test_probabilities_add_up_to_one():
-    w = pseudo_lm.fresh(3)
-    words = pseudo_lm.CLASSES * pseudo_lm.MEMBERS
+@pytest.mark.parametrize("known", [0, 1, 300, 1792])
+def test_probabilities_add_up_to_one(known):
+    w = pseudo_lm.fresh(known, 3)
+    words = w.leaf.shape[0] * w.leaf.shape[1]
+    assert words >= known + pseudo_lm.BUCKETS == len(w.vectors) - 1
     logs = pseudo_lm.predict(w, np.tile([[1, 2, 3, 4]], (words, 1)), np.arange(words))
     assert np.exp(logs.astype(float)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_spelling_matches_a_plain_count(spark):
+    counts = spark.createDataFrame([("the", 50), ("theme", 3), ("été", 2), ("a", 7), ("x", 1)], "word string, n long")
+    spelled = pseudo_lm.spelling(counts, ["the"])
+    three, above, two, one = Counter(), Counter(), Counter(), Counter()
+    for w, n in (("theme", 3), ("été", 2), ("a", 7), ("x", 1)):
+        line = [256, 256, *w.encode(), 257]
+        for x, y, z in zip(line, line[1:], line[2:]):
+            three[x, y, z] += n
+            above[x, y] += n
+            two[y, z] += n
+            one[y] += n
+    words = ["theme", "aa", "é", "q", "thé"]
+    want = []
+    for w in words:
+        line, total = [256, 256, *w.encode(), 257], 0.0
+        for x, y, z in zip(line, line[1:], line[2:]):
+            a, b, c = pseudo_lm.MIX
+            total += math.log(a * three[x, y, z] / max(1, above[x, y]) + b * two[y, z] / max(1, one[y]) + c / 257)
+        want.append(total)
+    assert spelled.of([w.encode() for w in words]).tolist() == pytest.approx(want)
+    parts = [min(0.0, x + math.log(pseudo_lm.BUCKETS)) for x in want]
+    assert spelled.sums([[b"theme", b"aa", b"theme"], [], [b"q"]]) == pytest.approx([2 * parts[0] + parts[1], 0.0, parts[3]])
+
+
+def test_every_position_is_a_target_once():
+    """Rounds of interleaved parts; counted on a stand-in for the network's step."""
+    texts, seen = [[np.arange(k % 9) for k in range(40)], [np.arange(5)], [np.arange(0)]], Counter()
+    original = pseudo_lm.predict
+
+    def count(w, around, target, slopes=False):
+        seen.update(map(tuple, np.column_stack([around, target]).tolist()))
+        return original(w, around, target, slopes)
+
+    pseudo_lm.predict = count
+    try:
+        for k in range(pseudo_lm.ROUNDS):
+            pseudo_lm.train(pseudo_lm.fresh(20), texts, k)
+    finally:
+        pseudo_lm.predict = original
+    want = Counter()
+    for batch in texts:
+        around, target, _ = pseudo_lm.windows(batch, 20 + pseudo_lm.BUCKETS)
+        want.update(map(tuple, np.column_stack([around, target]).tolist()))
+    assert seen == want and pseudo_lm.ROUNDS == pseudo_lm.MASKED
+
+
 def test_network_beats_word_frequencies_on_held_out_texts(spark):
     draw = random.Random(7)
     pairs = [(f"a{k}", f"b{k}") for k in range(40)]
@@ -444,14 +533,45 @@ def test_network_beats_word_frequencies_on_held_out_texts(spark):
         return " ".join(f"{x} {y}" for x, y in draw.choices(pairs, k=n))
 
     docs = spark.createDataFrame([(k, text(400)) for k in range(120)], "doc_id long, text string").repartition(3)
-    words = pseudo_lm.vocabulary(docs)
-    weights = pseudo_lm.fit(pseudo_lm.encoded(docs, words), rounds=4, rate=0.3, masked=2, step=256)
+    words = pseudo_lm.vocabulary(pseudo_lm.word_counts(docs))
+    weights = pseudo_lm.fit(pseudo_lm.encoded(docs, words), len(words), rounds=4, rate=0.3, masked=2, step=256)
     held = spark.createDataFrame([(0, text(500)), (1, " ".join(draw.sample(text(500).split(), 1000)))], "doc_id long, text string")
     mean = {r.doc_id: r.mean_log_probability for r in pseudo_lm.score(pseudo_lm.encoded(held, words), weights).collect()}
     assert mean[0] > math.log(1 / 80) + 0.5  # 80 equally frequent words: their frequency alone gives log 1/80
     assert mean[0] > mean[1] + 0.5  # the same words out of order
 
 
+def test_noise_scores_below_clean_texts_and_a_plain_scorer_agrees(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    labels = dict(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality").collect())
+    draw = random.Random(1)
+    made = lambda letters: " ".join("".join(draw.choices(letters, k=draw.randint(3, 9))) for _ in range(300))
+    noise = [(-1, made("0123456789"), None), (-2, made("abcdefghilmnoprstu"), None), (-3, made("qxzjkvwy"), None)]
+    rows = docs.unionByName(spark.createDataFrame(noise, docs.schema))
+    counts = pseudo_lm.word_counts(rows)
+    words = pseudo_lm.vocabulary(counts)
+    spelled = pseudo_lm.spelling(counts, words)
+    ids = pseudo_lm.encoded(rows, words, spelled)
+    weights = pseudo_lm.fit(ids, len(words))
+    got = {r.doc_id: r for r in pseudo_lm.score(ids, weights).collect()}
+    texts = {r.doc_id: (r.text, r.lang) for r in rows.collect()}
+    clean = sorted(got[i].mean_log_probability for i, (_, lang) in texts.items() if lang == "en" and labels.get(i) == 1 and got[i].n_words >= 50)
+    assert len(clean) > 100 and all(got[k].mean_log_probability < clean[len(clean) // 20] for k in (-1, -2, -3))
+    # word by word, with plain loops
+    number = {w: k for k, w in enumerate(words)}
+    soft = lambda scores, k: scores[k] - max(scores) - math.log(sum(math.exp(x - max(scores)) for x in scores))
+    for i in [*sorted(texts)[:3], *(k for k, (t, _) in texts.items() if t and 5 < len(t) < 400)][:8]:
+        tokens_ = [w.decode() for w in (texts[i][0] or "").encode().lower().split()]
+        own = [number.get(w, len(words) + zlib.crc32(w.encode()) % pseudo_lm.BUCKETS) for w in tokens_]
+        line = [len(weights.vectors) - 1] * 2 + own + [len(weights.vectors) - 1] * 2
+        total = sum(min(0.0, float(spelled.of([w.encode()])[0]) + math.log(pseudo_lm.BUCKETS)) for w in tokens_ if w not in number)
+        for k, target in enumerate(own):
+            h = sum(weights.vectors[line[k + j]].astype(float) * weights.place[p].astype(float) for p, j in enumerate((0, 1, 3, 4)))
+            c, m = divmod(target, weights.leaf.shape[1])
+            total += soft((weights.top @ h + weights.top_bias).tolist(), c) + soft((weights.leaf[c] @ h + weights.leaf_bias[c]).tolist(), m)
+        assert got[i].log_likelihood == pytest.approx(total, rel=1e-3, abs=1e-3)
+
+
 def test_average_of_partitions(spark):
     parts = [(k, k + 1, np.full(5, k, np.float32).tobytes()) for k in range(11)]
     got = pseudo_lm.averaged(spark.createDataFrame(parts, "slot long, words long, weights binary"), fan_in=3)
