@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import open_store
 from . import tokens
-from .common import new_folder, running_totals, table
+from .common import new_folder, running_totals, ship, table
 
 # Fixed values of the format.
 CRC32C_POLYNOMIAL = 0x82F63B78
@@ -126,6 +126,7 @@ def write(docs: DataFrame, folder: str | None = None, *, path: str = tokens.BYTE
     """Write ``doc_id, text`` as shards below ``folder`` (default: a new folder
     of the shared store); returns the manifest."""
     spark = docs.sparkSession
+    ship(spark)
     folder = folder or new_folder(spark, "records")
 
     def shard(batches):
@@ -201,6 +202,7 @@ RESULT = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
 def read_back(manifest: DataFrame) -> DataFrame:
     """Per record, from the files: ``doc_id, start, n_tokens, ids_crc32``."""
+    ship(manifest.sparkSession)
     placed = running_totals(manifest, ["shard"], ["ids"], "shard-places")
 
     def rows(batches):

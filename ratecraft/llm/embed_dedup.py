@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from .common import table
+from .common import ship, table
 from .graph import components
 
 THRESHOLD = 0.9
@@ -133,13 +133,11 @@ def leaf_lists(nodes: DataFrame, n: int, *, threshold: float, k: int, trees: int
                 planes = np.random.default_rng([SEED, int(dim), draw]).standard_normal((int(dim), trees * depth)).astype(np.float32)
                 side = (stacked(own["code"].tolist()) @ planes > 0).reshape(len(own), trees, depth).astype(np.int64)
                 where = (side << np.arange(depth)).sum(axis=2)
-                out += [own.assign(tree=t, place=where[:, t], dim=int(dim)) for t in range(trees)]
-            yield pd.concat(out)[[*fields, "tree", "place", "dim"]] if out else pdf.head(0).assign(tree=0, place=0, dim=0)
+                out += [own[["node"]].assign(tree=t, place=where[:, t], dim=int(dim)) for t in range(trees)]
+            yield pd.concat(out)[["node", "tree", "place", "dim"]] if out else pdf[["node"]].head(0).assign(tree=0, place=0, dim=0)
 
-    fields = ["node", "code", "embedding"]
-    kind = nodes.schema["embedding"].dataType.simpleString()
-    placed = table(nodes.select(*fields).mapInPandas(
-        place, f"node long, code binary, embedding {kind}, tree int, place long, dim int"), "leaves")
+    # places only: a table with the vectors would be as many copies as there are trees
+    placed = table(nodes.select("node", "code").mapInPandas(place, "node long, tree int, place long, dim int"), "leaves")
     leaf_of = ["dim", "tree", "place"]
     big = table(placed.groupBy(*leaf_of).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_leaf).select(
         *leaf_of, F.ceil(F.col("n") / F.lit(max(1, max_leaf // 2))).alias("blocks")), "big-leaves")
@@ -148,8 +146,9 @@ def leaf_lists(nodes: DataFrame, n: int, *, threshold: float, k: int, trees: int
     # every block of a leaf meets every other; own block with own block comes with each of them
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(
         F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x != F.col("own"))))
-    met = cut.select(*fields, *leaf_of, "own", other.alias("other")).select(
-        *fields, *leaf_of, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    met = cut.select("node", *leaf_of, "own", other.alias("other")).select(
+        "node", *leaf_of, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).join(
+        nodes.select("node", "code", "embedding"), "node")
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, v = pdf["node"].to_numpy(), stacked(pdf["code"].tolist())
@@ -344,6 +343,7 @@ def near_duplicates(embeddings: DataFrame, *, threshold: float = THRESHOLD, k: i
                     block: int = BLOCK, audited: int = AUDITED, min_recall: float = MIN_RECALL) -> DataFrame:
     """One row per vector of ``vec_id, embedding``: ``vec_id, n_links,
     component_id, kept, recall`` (the audited one)."""
+    ship(embeddings.sparkSession)
     rows = numbered(embeddings)
     classes, nodes = nodes_of(rows)
     n = nodes.count()

@@ -36,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from ..session import open_store
-from .common import new_folder, table
+from .common import new_folder, ship, table
 
 MIN_BYTES = 0
 GZIP_LEVEL = 4
@@ -93,6 +93,7 @@ def write(pages: DataFrame, folder: str | None = None, *, min_bytes: int = MIN_B
     """Write ``page_id, url, captured (timestamp), html`` as archives below
     ``folder`` (default: a new folder of the shared store); returns
     ``run, path, records, bytes`` per archive."""
+    ship(pages.sparkSession)
     folder = folder or new_folder(pages.sparkSession, "archives")
 
     def archive(batches):
@@ -165,6 +166,7 @@ def order_key(r: dict) -> tuple:
 
 def capture_runs(archives: DataFrame) -> DataFrame:
     """One sorted run of captures per archive of ``run, path``."""
+    ship(archives.sparkSession)
     schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(CAPTURES).fields])
 
     def index(batches):
