@@ -11,8 +11,10 @@ the end of a word are a piece of their own, and so are looked up apart.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -32,6 +34,17 @@ _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f
 _SEGMENTS = re.compile(r"\s*\S+|\s+")
 
 
+# Fixed values of the vocabularies: how a token shows a space, and a word's end.
+SPACE_TOKEN = "\u0120"
+END_OF_WORD = "</w>"
+# Words encoded in one string.
+GROUP = 1000
+
+
+def _is_spaced_word(s: str) -> bool:
+    return s[0] == " " and s[1:].isalpha()
+
+
 class Encoder:
     """``keeps_space``: white space is part of the ids, and so of a segment;
     ``cached``: bound of the cache."""
@@ -41,38 +54,81 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.keeps_space = keeps_space
         self.cut = _SEGMENTS.findall if keeps_space else str.split
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.dtype, self.code = (np.dtype("<u2"), "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (np.dtype("<u4"), "I")
+        # tokens that a word starts with (its space is theirs) or ends with
+        self.marks_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.marks_word[[k for t, k in self.tokenizer.get_vocab().items()
+                         if (t.startswith(SPACE_TOKEN) if keeps_space else t.endswith(END_OF_WORD))]] = True
+        self.between = "" if keeps_space else " "
+        self.is_word = _is_spaced_word if keeps_space else str.isalpha
         self.cache: dict[str, bytes] = {}
         self.cached = cached
         self.end = np.array([END_ID], self.dtype).tobytes()
 
     def _bytes(self, segments: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        return [array(self.code, e.ids).tobytes() for e in found]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of segments that are one word each, encoded in long strings: the
+        library's cost for each string is then paid once for many words.  A token
+        tells whether a word starts (ends) with it, which gives the words' parts;
+        a string whose words don't come out one for one is encoded by segment."""
+        out: list[bytes] = []
+        groups = [words[k:k + GROUP] for k in range(0, len(words), GROUP)]
+        joined = self.tokenizer.encode_batch_fast([self.between.join(g) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, joined, strict=True):
+            ids = np.array(e.ids, self.dtype)
+            at = np.flatnonzero(self.marks_word[ids])
+            if len(at) != len(group):
+                out += self._bytes(group)
+                continue
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            cuts = ([*(at * size).tolist(), len(raw)] if self.keeps_space else [0, *((at + 1) * size).tolist()])
+            out += [raw[x:y] for x, y in itertools.pairwise(cuts)]
+        return out
 
-    def _learn(self, new: set[str]) -> None:
-        """Put the segments into the cache, which may grow beyond its bound."""
-        cores = {s: c for s in new if (c := s.rstrip(TAIL)) != s and c and c[-1].isalpha()}
-        plain = (new - cores.keys()) | set(cores.values()) | {s[len(c):] for s, c in cores.items()}
-        plain = list(plain - self.cache.keys())
-        self.cache.update(zip(plain, self._bytes(plain), strict=True))
-        self.cache.update((s, self.cache[c] + self.cache[s[len(c):]]) for s, c in cores.items())
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of segments that the cache lacks."""
+        cache, ends, words, others = self.cache, {}, set(), set()
+        for s in new:
+            core = s.rstrip(TAIL)
+            if core != s and core and core[-1].isalpha():
+                ends[s] = core
+                tail = s[len(core):]
+                if tail not in cache:
+                    others.add(tail)
+                if core in cache:
+                    continue
+            else:
+                core = s
+            if self.is_word(core):
+                words.add(core)
+            else:
+                others.add(core)
+        words, others = list(words), list(others)
+        found = dict(zip(words, self._words(words), strict=True))
+        found.update(zip(others, self._bytes(others), strict=True))
+        for s, core in ends.items():
+            tail = s[len(core):]
+            found[s] = (found[core] if core in found else cache[core]) + (found[tail] if tail in found else cache[tail])
+        return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text (null: none), with the end id."""
         cuts = [[t] if t and _ODD_SPACE.search(t) else self.cut(t) if t else [] for t in texts]
-        cache, before = self.cache, len(self.cache)
-        new = set().union(*cuts) - cache.keys()
-        if new:
-            self._learn(new)
-        get = cache.__getitem__
-        out = [np.frombuffer(b"".join([*map(get, c), self.end]), self.dtype) for c in cuts]
-        if new:  # only what is short and within the bound stays
-            late = list(cache)[before:]
-            for k, s in enumerate(late):
-                if before + k >= self.cached or len(s) > CACHED_LENGTH:
-                    del cache[s]
+        cache, room = self.cache, self.cached - len(self.cache)
+        fresh = self._learn(set().union(*cuts).difference(cache))
+        cache.update(fresh)
+        get, end = cache.__getitem__, [self.end]
+        out = [np.frombuffer(b"".join([*map(get, c), *end]), self.dtype) for c in cuts]
+        for s in fresh:  # only what is short and within the bound stays
+            if room <= 0 or len(s) > CACHED_LENGTH:
+                del cache[s]
+            else:
+                room -= 1
         return out
 
 
