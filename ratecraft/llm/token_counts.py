@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import beside, ship, table
-from .tokens import TAIL, in_parts
+from .tokens import in_parts
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 LIMIT = 4096
@@ -40,6 +40,8 @@ TABLE_CHARS = 24
 # Bound of a worker's cache, in units of at most so many characters.
 CACHED_UNITS = 400_000
 CACHED_CHARS = 48
+# Marks that are cut off after a letter, if the vocabulary joins none of them to one.
+MARKS = ".,;:!?"
 # Summaries merged in one task.
 FAN_IN = 32
 # The character for a space inside the vocabulary's pieces.
@@ -75,7 +77,7 @@ class Lengths:
         # what the cuts rest on; a vocabulary without these encodes whole texts
         self.cuts_spaces = not any(SPACE in p.lstrip(SPACE) for p in pieces) and sum(self._encoded([" a", " b"])) == self._encoded([" a  b"])[0]
         self.cuts_lines = not any("\n" in p for p in pieces)
-        self.cuts_marks = not any(a.isalpha() and b in TAIL for p in pieces for a, b in zip(p, p[1:], strict=False))
+        self.cuts_marks = not any(a.isalpha() and b in MARKS for p in pieces for a, b in zip(p, p[1:], strict=False))
         # a line end, and a space with nothing after it before a line end or the end
         self.line_end = self._encoded(["\n"])[0] - 1
         self.cache: dict[str | None, int] = {None: self.line_end, "": 1}
@@ -92,7 +94,7 @@ class Lengths:
                 yield None
             lead = "\n" if k else ""
             if self.cuts_marks and self.cuts_lines:
-                core = line.rstrip(TAIL)
+                core = line.rstrip(MARKS)
                 if core and core != line and core[-1].isalpha():
                     yield lead + core
                     yield "\n" + line[len(core):]

@@ -14,6 +14,7 @@ import functools
 import itertools
 import os
 import re
+import string
 from array import array
 
 import numpy as np
@@ -25,10 +26,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 END_ID = 2
 # Bounds of a worker's cache, whose entries take about 200 bytes.  It keeps what
 # comes first, so the frequent segments are in it; later ones are encoded anew.
-CACHED_SEGMENTS = 300_000
+CACHED_SEGMENTS = 500_000
 CACHED_LENGTH = 48
-# A tail of these after a letter is a piece of its own for both tokenizers.
-TAIL = ".,;:!?"
+# A tail of these after a letter is a piece of its own for both tokenizers (not the
+# apostrophe, which opens a piece with letters).
+TAIL = "".join(c for c in string.punctuation if c != "'")
 
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SEGMENTS = re.compile(r"\s*\S+|\s+")
