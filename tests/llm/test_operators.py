@@ -500,7 +500,11 @@ def test_spelling_matches_a_plain_count(spark):
         want.append(total)
     assert spelled.of([w.encode() for w in words]).tolist() == pytest.approx(want)
     parts = [min(0.0, x + math.log(pseudo_lm.BUCKETS)) for x in want]
-    assert spelled.sums([[b"theme", b"aa", b"theme"], [], [b"q"]]) == pytest.approx([2 * parts[0] + parts[1], 0.0, parts[3]])
+    encoder = pseudo_lm.Encoder(["the"], spelled)
+    for _ in range(2):
+        ids, rare = encoder.encode(["the theme aa\nTheme", None, "q THE"])
+        assert rare == pytest.approx([2 * parts[0] + parts[1], 0.0, parts[3]])
+        assert [len(x) for x in ids] == [4, 0, 2] and ids[0][0] == ids[2][1] == 0 and ids[0][1] == ids[0][3] == 1 + zlib.crc32(b"theme") % 256
 
 
 def test_every_position_is_a_target_once():
