@@ -471,6 +471,16 @@ def test_slopes_match_differences():
 
 
 @pytest.mark.parametrize("known", [0, 1, 300, 1792])
+def test_probabilities_of_large_and_small_scores_agree():
+    small = np.random.default_rng(1).standard_normal((20, 7)).astype(np.float32)
+    target = np.arange(20) % 7
+    want = small[np.arange(20), target] - np.log(np.exp(small.astype(np.float64)).sum(axis=1))
+    for shift in (0, 200, -200):  # the same probabilities; beyond the bounds of a plain exponential
+        logs, p = pseudo_lm.soft(small + np.float32(shift), target, True)
+        assert np.allclose(logs, want, atol=1e-4) and np.allclose(p.sum(axis=1), 1, atol=1e-5)
+    assert len(pseudo_lm.soft(np.zeros((0, 7), np.float32), np.zeros(0, int), False)[0]) == 0
+
+
 def test_probabilities_add_up_to_one(known):
     w = pseudo_lm.fresh(known, 3)
     words = w.leaf.shape[0] * w.leaf.shape[1]
