@@ -1,10 +1,13 @@
 """Near-duplicate embeddings by NN-descent.
 
 1. Equal vectors form one class, which is one node; the rest works on nodes.
-2. Start: ``trees`` random-hyperplane trees put each node into one leaf per
-   tree; a leaf gives each of its nodes its nearest ``k`` neighbours there, and
-   a spanning forest of its links.  A leaf above ``max_leaf`` is cut into blocks
-   that meet in pairs, so that every pair of a leaf is compared.
+2. Start: a few random-hyperplane trees put each node into one leaf per tree,
+   and one more deals the nodes at random, so that lists reach beyond leaves; a
+   leaf gives each of its nodes its nearest ``k`` neighbours there, and a spanning
+   forest of its links.  A leaf above ``max_leaf`` is cut into blocks that meet in
+   pairs, so that every pair of a leaf is compared.  The number of trees grows
+   with the depth, so that a pair at the threshold shares a leaf with a chance of
+   ``start_recall`` at any size; the rest is left to the rounds.
 3. NN-descent: a node's list and the nodes that list it (the ``reverse``
    nearest) meet at the node; all pairs of them are compared, and a pair that
    is better than the worst of a list, or a link, goes into the lists.  A list
@@ -14,13 +17,12 @@
    nodes to groups.  Within a group each list is enlarged to the whole group:
    its members meet in blocks, and every pair is tested, so that all links of a
    group count, however many there are.
-   The number of trees grows with the depth, so that a pair at the threshold
-   shares a leaf with a chance of ``min_recall`` at any size.
 5. Audit: nodes without links, with up to ``k`` and with more are sampled apart
    and compared with all others.  If the mean share of links found, per node,
    is under ``min_recall`` among the nodes with few links or with many, another
-   round follows with as many new trees.  After ``max_rounds`` all blocks of
-   nodes are compared with each other.
+   round follows; once a round gains less than ``MIN_GAIN`` of the links, with as
+   many new trees as at the start.  After ``max_rounds`` all blocks of nodes are
+   compared with each other.
 
 Lists are compared on vectors of one byte per dimension (cosine error under
 0.01 at 64 dimensions); every link is tested exactly.
@@ -46,14 +48,16 @@ from .graph import components
 THRESHOLD = 0.9
 K = 8
 REVERSE = 16
-TREES = 4
+TREES = 2
 LEAF = 512
 MAX_LEAF = 2048
 ROUNDS = 2
-MAX_ROUNDS = 6
+MAX_ROUNDS = 8
+MIN_GAIN = 0.01
+START_RECALL = 0.7
 BLOCK = 1024
 AUDITED = 512
-MIN_RECALL = 0.95
+MIN_RECALL = 0.99
 MARGIN = 0.01
 SEED = 11
 PAIRS = "a long, b long, cos float"
@@ -120,8 +124,8 @@ def trees_for(depth: int, threshold: float, recall: float) -> int:
 
 
 def leaf_lists(nodes: DataFrame, n: int, *, threshold: float, k: int, trees: int, leaf: int, max_leaf: int, draw: int = 0) -> DataFrame:
-    """Neighbours of each node in its leaves: ``a, b, cos`` in both directions.
-    Each ``draw`` has planes of its own."""
+    """Neighbours of each node in its leaves, and in one of as many random groups:
+    ``a, b, cos`` in both directions.  Each ``draw`` has planes and groups of its own."""
     depth = depth_of(n, leaf)
 
     def place(batches):
@@ -137,7 +141,10 @@ def leaf_lists(nodes: DataFrame, n: int, *, threshold: float, k: int, trees: int
             yield pd.concat(out)[["node", "tree", "place", "dim"]] if out else pdf[["node"]].head(0).assign(tree=0, place=0, dim=0)
 
     # places only: a table with the vectors would be as many copies as there are trees
-    placed = table(nodes.select("node", "code").mapInPandas(place, "node long, tree int, place long, dim int"), "leaves")
+    leaves = nodes.select("node", "code").mapInPandas(place, "node long, tree int, place long, dim int")
+    mixed = nodes.select("node", F.lit(trees).alias("tree"), F.pmod(F.xxhash64("node", F.lit(draw)), F.lit(1 << depth)).alias("place"),
+                         F.length("code").alias("dim"))
+    placed = table(leaves.unionByName(mixed) if depth else leaves, "leaves")
     leaf_of = ["dim", "tree", "place"]
     big = table(placed.groupBy(*leaf_of).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_leaf).select(
         *leaf_of, F.ceil(F.col("n") / F.lit(max(1, max_leaf // 2))).alias("blocks")), "big-leaves")
@@ -230,10 +237,23 @@ def descend(lists: DataFrame, nodes: DataFrame, *, threshold: float, reverse: in
     return meet.join(codes, "x").withColumn("bucket", bucket).groupBy("bucket").applyInPandas(compare, PAIRS)
 
 
-def exact(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def candidates(pairs: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``, the smaller first: pairs that may be links."""
+    return pairs.where(F.col("cos") >= threshold - MARGIN).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def refined(lists: DataFrame, longer: DataFrame, near: DataFrame, nodes: DataFrame, *, threshold: float, k: int, reverse: int,
+            name: str) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """One round: the lists and lengths after it, all candidates found so far, and
+    the round's share of them."""
+    pairs = table(descend(lists, nodes, threshold=threshold, reverse=reverse), f"better-pairs-{name}")
+    found = table(near.union(candidates(pairs, threshold)).distinct(), f"candidates-{name}")
+    before, after = near.count(), found.count()
+    return *best_of(lists.unionByName(pairs), longer, k, threshold), found, (after - before) / max(1, after)
+
+
+def exact(near: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """``a, b``: the candidate pairs whose cosine, in doubles, is a link's."""
-    near = pairs.where(F.col("cos") >= threshold - MARGIN).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     of = lambda c: nodes.select(F.col("node").alias(c), F.col("embedding").alias(f"v{c}"))
 
     def test(batches):
@@ -340,25 +360,24 @@ def audit(nodes: DataFrame, linked: DataFrame, threshold: float, k: int, sample:
 
 def near_duplicates(embeddings: DataFrame, *, threshold: float = THRESHOLD, k: int = K, reverse: int = REVERSE, trees: int = TREES,
                     leaf: int = LEAF, max_leaf: int = MAX_LEAF, rounds: int = ROUNDS, max_rounds: int = MAX_ROUNDS,
-                    block: int = BLOCK, audited: int = AUDITED, min_recall: float = MIN_RECALL) -> DataFrame:
+                    block: int = BLOCK, audited: int = AUDITED, min_recall: float = MIN_RECALL,
+                    start_recall: float = START_RECALL) -> DataFrame:
     """One row per vector of ``vec_id, embedding``: ``vec_id, n_links,
     component_id, kept, recall`` (the audited one)."""
     ship(embeddings.sparkSession)
     rows = numbered(embeddings)
     classes, nodes = nodes_of(rows)
     n = nodes.count()
-    trees = max(trees, trees_for(depth_of(n, leaf), threshold, min_recall))
+    trees = max(trees, trees_for(depth_of(n, leaf), threshold, start_recall))
     start = lambda draw: table(leaf_lists(
         nodes, n, threshold=threshold, k=k, trees=trees, leaf=leaf, max_leaf=max_leaf, draw=draw), f"leaf-pairs-{draw}")
     pairs = start(0)
-    near = pairs.where(F.col("cos") >= threshold - MARGIN)
+    near = table(candidates(pairs, threshold).distinct(), "candidates")
     lists, longer = best_of(pairs, None, k, threshold)
-    done = 0
+    done, gain = 0, 0.0
     while True:
         while done < rounds:
-            pairs = table(descend(lists, nodes, threshold=threshold, reverse=reverse), f"better-pairs-{done}")
-            near = near.unionByName(pairs.where(F.col("cos") >= threshold - MARGIN))
-            lists, longer = best_of(lists.unionByName(pairs), longer, k, threshold)
+            lists, longer, near, gain = refined(lists, longer, near, nodes, threshold=threshold, k=k, reverse=reverse, name=str(done))
             done += 1
         groups = components(exact(near, nodes, threshold))
         linked = table(group_links(nodes, groups, threshold, block), "linked")
@@ -371,9 +390,10 @@ def near_duplicates(embeddings: DataFrame, *, threshold: float = THRESHOLD, k: i
             recall = audit(nodes, linked, threshold, k, audited)
             break
         rounds = done + 1
-        pairs = start(rounds)
-        near = near.unionByName(pairs.where(F.col("cos") >= threshold - MARGIN))
-        lists, longer = best_of(lists.unionByName(pairs), longer, k, threshold)
+        if gain < MIN_GAIN:
+            pairs = start(rounds)
+            near = table(near.union(candidates(pairs, threshold)).distinct(), f"candidates-trees-{rounds}")
+            lists, longer = best_of(lists.unionByName(pairs), longer, k, threshold)
     found = classes.join(groups, "node", "left").join(linked, "node", "left").select(
         "k1", "k2", "copies", "least", F.coalesce("root", "node").alias("root"), F.coalesce("linked", F.lit(0)).alias("linked"))
     found = table(found, "linked-classes")

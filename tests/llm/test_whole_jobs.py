@@ -39,6 +39,29 @@ def test_lost_pairs_are_audited_apart_from_a_hot_group_and_then_found(spark, mon
     assert [got[k].n_links for k in range(len(x))] == near.sum(axis=1).tolist()
 
 
+def test_rounds_find_links_beyond_the_leaves(spark):
+    """One tree and one random deal find a part of the planted links; each of
+    three rounds adds more, and the whole operator finds all of them."""
+    draw = np.random.default_rng(6)
+    x = np.concatenate([(c + 0.2 * draw.standard_normal((12, 32))) for c in draw.standard_normal((60, 1, 32))] + [draw.standard_normal((800, 32))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    docs = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    nodes = embed_dedup.nodes_of(embed_dedup.numbered(docs))[1]
+    pairs = embed_dedup.table(embed_dedup.leaf_lists(nodes, len(x), threshold=0.9, k=8, trees=1, leaf=32, max_leaf=500), "start")
+    found = embed_dedup.table(embed_dedup.candidates(pairs, 0.9).distinct(), "start-candidates")
+    lists, longer = embed_dedup.best_of(pairs, None, 8, 0.9)
+    links = [embed_dedup.exact(found, nodes, 0.9).count()]
+    for k in range(3):
+        lists, longer, found, gain = embed_dedup.refined(lists, longer, found, nodes, threshold=0.9, k=8, reverse=16, name=f"test-{k}")
+        links.append(embed_dedup.exact(found, nodes, 0.9).count())
+    assert links == sorted(links) and links[0] < links[1], links
+    assert links[0] < 0.9 * near.sum() / 2 and links[3] >= 0.95 * near.sum() / 2, (links, near.sum() / 2)
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(docs, leaf=32, trees=1).collect()}
+    assert sum(got.values()) >= 0.99 * near.sum()
+
+
 def test_trees_grow_with_the_depth():
     assert [embed_dedup.trees_for(d, 0.9, 0.95) for d in (0, 1)] == [1, 2]
     assert embed_dedup.trees_for(14, 0.9, 0.95) > embed_dedup.trees_for(8, 0.9, 0.95) > 4
