@@ -54,7 +54,7 @@ MAX_LEAF = 2048
 ROUNDS = 2
 MAX_ROUNDS = 8
 MIN_GAIN = 0.01
-START_RECALL = 0.7
+START_RECALL = 0.95
 BLOCK = 1024
 AUDITED = 512
 MIN_RECALL = 0.99
