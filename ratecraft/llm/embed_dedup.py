@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by NN-descent.
 
 1. Equal vectors form one class, which is one node; the rest works on nodes.
-2. Start: a few random-hyperplane trees put each node into one leaf per tree,
+2. Start: random-hyperplane trees put each node into one leaf per tree,
    and one more deals the nodes at random, so that lists reach beyond leaves; a
    leaf gives each of its nodes its nearest ``k`` neighbours there, and a spanning
    forest of its links.  A leaf above ``max_leaf`` is cut into blocks that meet in
