@@ -58,8 +58,9 @@ class Mix:
     placements: DataFrame
 
     def taken(self) -> DataFrame:
-        """``documents`` with ``taken``, the words the mix takes of each."""
-        counts = self.placements.groupBy("row").agg(F.sum("n_words").alias("taken"))
+        """``documents`` with ``taken``, the words the mix takes of each, and
+        ``first_slot``, where the schedule first takes some (else null)."""
+        counts = self.placements.groupBy("row").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"))
         return self.documents.join(counts, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
 
 
@@ -190,9 +191,41 @@ sources as (
   from levels),
 laid as (
   select *, coalesce(sum(size) over (partition by src order by place, doc_id
-                                     rows between unbounded preceding and 1 preceding), 0) first_word
-  from sized)
+                                     rows between unbounded preceding and 1 preceding), 0)::bigint first_word
+  from sized),
+needs as (
+  select src, words, quota, cast(ceil(words / 512) as bigint) blocks,
+         case when quota > 0 then cast(quota // words * ceil(words / 512) + ceil(quota % words / 512) as bigint) else 0 end slots
+  from sources),
+placed as (
+  select *, coalesce(sum(slots) over (order by src rows between unbounded preceding and 1 preceding), 0) before_slots,
+         sum(slots) over () n
+  from needs),
+points as (
+  select i slot, i % 2147483648 * 1327217885 % 2147483648 point
+  from (select unnest(range(cast(coalesce(sum(slots), 0) as bigint))) i from needs)),
+drawn as (
+  select slot, src, row_number() over (partition by src order by slot) - 1 rank
+  from points join placed on point >= floor(before_slots / cast(n as double) * 2147483648)
+                         and point < floor((before_slots + slots) / cast(n as double) * 2147483648)),
+met as (select p.src, n, slots, coalesce(d.n_drawn, 0) n_drawn
+        from placed p left join (select src, count(*) n_drawn from drawn group by src) d using (src)),
+closing as (
+  select cast(n as bigint) + rank - n_drawn slot, src, rank
+  from (select src, n, n_drawn, unnest(range(n_drawn, slots)) rank from met where n_drawn < slots)),
+schedule as (
+  select slot, src, rank % blocks block,
+         least(512, words - rank % blocks * 512, quota - rank // blocks * words - rank % blocks * 512) n_words
+  from (select * from drawn union all select * from closing) join needs using (src) where rank < slots),
+pieces as (
+  select doc_id, src, size, first_word, unnest(range(first_word // 512, (first_word + size - 1) // 512 + 1)) block
+  from laid where size > 0),
+starts as (
+  select doc_id, src, first_word, min(slot) first_slot from pieces join schedule using (src, block)
+  where least(first_word + size, block * 512 + n_words) > greatest(first_word, block * 512)
+  group by doc_id, src, first_word)
 select doc_id, size, words source_size, target,
-       cast(greatest(0, least(size, quota - first_word)) + greatest(0, least(size, quota - words - first_word)) as bigint) taken
-from laid join sources using (src)
+       cast(greatest(0, least(size, quota - first_word)) + greatest(0, least(size, quota - words - first_word)) as bigint) taken,
+       case when size > 0 then first_slot end first_slot
+from laid join sources using (src) left join starts using (doc_id, src, first_word)
 """

@@ -26,9 +26,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document."""
+    """Words that the mix takes of every document, and the schedule's slot that
+    first takes some of them."""
     taken = mixing.mix(read(spark, sf_dir, "documents")).taken()
-    return taken.select("doc_id", "size", "source_size", "target", "taken")
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
