@@ -200,3 +200,22 @@ def test_clear_deletes_the_files(spark):
         catalog._OBJECTS.update({k: v for k, v in objects.items() if k[2] != "t-object"})
         catalog._TABLES.update(tables)
         catalog._MODELS.update({k: v for k, v in models.items() if k[2] != "t-model"})
+
+
+def test_training_rows_are_dealt_evenly(spark, monkeypatch):
+    """Rows that lie in one partition: the fit would be one task per level."""
+    from ratecraft.operators import train
+    got = []
+
+    class Recorder:
+        def fit(self, rows):
+            got.extend(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect())
+            raise StopIteration
+
+    monkeypatch.setattr(train, "gbt_pipeline", lambda **_: Recorder())
+    rows = spark.range(40_000).select((F.col("id") % 7).alias("x"), (F.col("id") % 5).cast("double").alias("label")).coalesce(1)
+    try:
+        train.train_gbt(rows, features=["x"])
+    except StopIteration:
+        pass
+    assert sum(got) == 40_000 and len(got) == 4 and max(got) <= 1.05 * min(got)
