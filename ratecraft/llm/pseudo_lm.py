@@ -46,8 +46,6 @@ from .tokens import in_parts
 SHARE = 5e-5
 BUCKETS = 256  # the last words of the vocabulary: buckets of rare words
 MIX = (0.75, 0.2, 0.05)
-# Bound of the byte triples that are broadcast; the rarest beyond it count as unseen.
-TRIPLES = 1 << 18
 # Bound of a worker's cache of rare words.
 CACHED_WORDS = 600_000
 REACH = 2
@@ -300,7 +298,9 @@ class Encoder:
 
 
 def spelling(counts: DataFrame, words: list[str]) -> Spelling:
-    """Byte triples of all words outside the vocabulary, by how often they occur."""
+    """All byte triples of all words outside the vocabulary, by how often they
+    occur.  Words are UTF-8, so there are at most some millions of triples (under
+    258 cubed in any case), however large the corpus: none is left out."""
     ship(counts.sparkSession)
     known = counts.sparkSession.sparkContext.broadcast(set(words))
 
@@ -318,8 +318,8 @@ def spelling(counts: DataFrame, words: list[str]) -> Spelling:
         yield pd.DataFrame({"code": list(found), "n": list(found.values())}).astype("int64")
 
     summed = counts.mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    top = summed.orderBy(F.desc("n"), "code").limit(TRIPLES).toPandas()
-    return Spelling(top["code"].to_numpy(np.int64), top["n"].to_numpy(np.int64))
+    found = summed.toPandas()
+    return Spelling(found["code"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
 
 
 def encoded(docs: DataFrame, words: list[str], spelled: Spelling | None = None) -> DataFrame:

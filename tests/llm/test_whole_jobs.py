@@ -5,7 +5,7 @@ import string
 
 import numpy as np
 
-from ratecraft.llm import embed_dedup, secret_scan
+from ratecraft.llm import embed_dedup, pseudo_lm, secret_scan
 
 
 def test_a_group_above_the_leaf_size_is_one_group(spark):
@@ -123,3 +123,17 @@ def test_a_host_of_many_labels_is_an_endpoint():
     host = ".".join("abcdefghij") + ".example.com:5432"
     found = secret_scan.find(f"{host} {secret}")[1]
     assert [k for _, _, k in found] == ["endpoint", "key_secret"] and found[0][:2] == (0, len(host))
+
+
+def test_spelling_keeps_every_triple(spark):
+    """More kinds of triples than any bound of the broadcast table: the rarest were
+    dropped, and their words scored as unseen."""
+    letters = [chr(c) for c in range(97, 123)] + [chr(c) for c in range(0x430, 0x4A0)]
+    draw = random.Random(6)
+    words = list({"".join(draw.choices(letters, k=40)) for _ in range(30_000)} | {chr(0x4e00 + k) + chr(0x5e00 + 7 * k % 9000) for k in range(9000)}
+                 | {a + b + c for a in map(chr, range(33, 127)) for b in map(chr, range(33, 127)) for c in map(chr, range(33, 97))})
+    code, _ = pseudo_lm.triples([w.encode() for w in words])
+    kinds, n = np.unique(code, return_counts=True)
+    assert len(kinds) > 1 << 18
+    got = pseudo_lm.spelling(spark.createDataFrame([(w, 1) for w in words], "word string, n long"), [])
+    assert (got.codes == kinds).all() and (got.counts == n).all()
