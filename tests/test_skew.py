@@ -123,3 +123,26 @@ def test_serving_join_with_hot_request_keys_matches_default(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert "__nsalt" in b._jdf.queryExecution().analyzed().toString()      # hot keys split
     assert "__nsalt" not in a._jdf.queryExecution().analyzed().toString()  # only null keys dealt
+
+
+def test_pairs_shuffle_narrow_rows_or_partial_sums_of_hot_users(spark, monkeypatch):
+    """Without hot users one narrow row per rating is shuffled and no partial
+    sums; both ways give what one grouping gives."""
+    from ratecraft.operators import stats
+    from ratecraft.operators.split import with_split
+    from ratecraft.sources.fixtures import tpch_ratings
+    monkeypatch.setattr(stats, "PAIR_ROWS", 1000)
+    rows = with_split(tpch_ratings(spark, "/root/testdata/sf0.001")).withColumn(
+        "user_id", F.when(F.col("user_id") % 9 != 0, F.col("user_id"))).withColumn(
+        "place_category", F.when(F.col("place_id") % 7 != 0, F.col("place_category")))
+    cold, hot = (stats.pair_statistics(rows, rows.count(), h) for h in (False, True))
+    plan = cold._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [user_id" in plan and "RepartitionBy" not in hot._jdf.queryExecution().optimizedPlan().toString()
+    assert cold.exceptAll(hot).count() == hot.exceptAll(cold).count() == 0
+    for other, gid in (("place_category", stats.GID_USER_CAT), ("place_city", stats.GID_USER_CITY)):
+        got = cold.where(F.col("gid") == gid).select("user_id", other, "n_rows", "n_train", "sm", "c")
+        want = stats.pair_table(rows, other, "x").where("user_id is not null")
+        assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    # what is shuffled for a rating holds no aggregate: one exchange by the user alone
+    shuffles = [x for x in cold._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(user_id" in x]
+    assert len(shuffles) == 1 and "gid" not in shuffles[0]
