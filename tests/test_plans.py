@@ -13,6 +13,7 @@ import pytest
 from ratecraft.operators import stats
 from ratecraft.operators.split import with_split
 from ratecraft.plans.feature_matrix import attach_stats, stat_tables
+from ratecraft.plans.materialize import materialize
 from ratecraft.sources.fixtures import ROW_KEY, tpch_ratings
 
 
@@ -100,3 +101,22 @@ def test_sliding_windows_expand_steps_not_rows(large_settings):
     for df in (metrics.request_rate(log), metrics.latency_quantile(log, LATENCY_BUCKETS)):
         p = _plan(df)
         assert p.count("Expand") == 1 and p.index("Expand") < p.rindex("Exchange")   # a shuffle below it
+
+
+def test_a_request_text_is_parsed_once(spark):
+    """Validation filters on many parsed fields; pushed down, each parsed the text."""
+    from ratecraft.plans import serving
+    from ratecraft.sources.fixtures import tpch_requests
+    texts = materialize(tpch_requests(spark, "/root/testdata/sf0.001"))
+    plan = serving.request_rows(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "{"), (4, '{"places": []}')], "request_id long, body string")
+    from ratecraft.sources.requests import parse_requests
+    got = {r.request_id: (r.malformed, r.places) for r in parse_requests(odd).collect()}
+    assert got == {1: (True, None), 2: (True, None), 3: (True, None), 4: (False, [])}
+
+
+def test_request_lines_are_shuffled_flat(spark):
+    from ratecraft.sources.fixtures import tpch_requests
+    plan = tpch_requests(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [l_orderkey" in plan
