@@ -120,3 +120,24 @@ def test_request_lines_are_shuffled_flat(spark):
     from ratecraft.sources.fixtures import tpch_requests
     plan = tpch_requests(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [l_orderkey" in plan
+
+
+def test_requests_are_gathered_by_tasks_of_a_fixed_number_of_lines(spark, monkeypatch):
+    """Tasks of a fixed number of shuffled bytes collected and sorted more lists
+    than their memory holds.  Orders without lines and null names stay."""
+    import json
+
+    from pyspark.sql import functions as F
+
+    from ratecraft.sources import fixtures
+    few = materialize(fixtures.tpch_requests(spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(fixtures, "REQUEST_LINES", 400, raising=False)
+    df = fixtures.tpch_requests(spark, "/root/testdata/sf0.001")
+    lines = fixtures.table(spark, "/root/testdata/sf0.001", "lineitem").count()
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    for key in ("l_orderkey", "o_orderkey"):     # both sides alike, so that nothing is shuffled again
+        deal = re.search(rf"RepartitionByExpression \[{key}#\d+L?\], (\d+)", plan)
+        assert deal and int(deal[1]) == -(-lines // 400)
+    assert df.exceptAll(few).count() == few.exceptAll(df).count() == 0
+    texts = [r.body for r in few.where(F.col("body").endswith("]}")).limit(50).collect()]
+    assert all(set(json.loads(t)) == {"user", "places"} and "},,{" not in t for t in texts)
