@@ -141,3 +141,22 @@ def test_requests_are_gathered_by_tasks_of_a_fixed_number_of_lines(spark, monkey
     assert df.exceptAll(few).count() == few.exceptAll(df).count() == 0
     texts = [r.body for r in few.where(F.col("body").endswith("]}")).limit(50).collect()]
     assert all(set(json.loads(t)) == {"user", "places"} and "},,{" not in t for t in texts)
+
+
+def test_only_tables_too_large_to_broadcast_have_their_keys_counted(spark, monkeypatch):
+    from ratecraft.operators import joins
+    from ratecraft.plans import feature_matrix as fm, serving
+    from ratecraft.sources.fixtures import tpch_requests
+    seen, real = [], joins.key_counts
+    monkeypatch.setattr(joins, "key_counts", lambda rows, *kinds: seen.append(kinds) or real(rows, *kinds))
+    t = stat_tables(with_split(tpch_ratings(spark, "/root/testdata/sf0.001"), key_cols=ROW_KEY))
+    t = t._replace(places=t.places.withColumn("place_id", t.places.place_id.cast("string")))
+    rows = materialize(serving.request_rows(tpch_requests(spark, "/root/testdata/sf0.001")))
+    attach = lambda: attach_stats(rows, t, salt_cols=["request_id", "pos"], count_big=True).select("request_id", "pos", "city_mean", "category_mean")
+    small = attach()
+    assert seen.pop() == (("user", "place"),)
+    for module in (fm, joins):
+        monkeypatch.setattr(module, "MAX_BROADCAST_ROWS" if module is fm else "bounded_broadcast", 1 if module is fm else lambda *a, **k: None)
+    large = attach()
+    assert seen.pop() == (("user", "place", "category", "city"),)
+    assert small.exceptAll(large).count() == large.exceptAll(small).count() == 0
