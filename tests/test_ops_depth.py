@@ -219,3 +219,14 @@ def test_training_rows_are_dealt_evenly(spark, monkeypatch):
     except StopIteration:
         pass
     assert sum(got) == 40_000 and len(got) == 4 and max(got) <= 1.05 * min(got)
+
+
+def test_scored_rows_are_spread(spark, monkeypatch):
+    """Test rows that lie in one small file: one task would run all trees on all rows."""
+    from ratecraft.plans import queries
+    one = spark.range(40_000).select("id", (F.col("id") % 4 == 0).alias("is_train")).coalesce(1)
+    monkeypatch.setattr(queries, "_matrix", lambda *_: one)
+    rows = queries._test_rows(spark, "none")
+    got = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(got) == 30_000 and len(got) == 3 and max(got) <= 1.05 * min(got)
+    assert rows.where("is_train").count() == 0
