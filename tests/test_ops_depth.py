@@ -230,3 +230,15 @@ def test_scored_rows_are_spread(spark, monkeypatch):
     got = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(got) == 30_000 and len(got) == 3 and max(got) <= 1.05 * min(got)
     assert rows.where("is_train").count() == 0
+
+
+def test_spread_gives_every_core_the_same_number_of_tasks(spark, monkeypatch):
+    """Five tasks on four cores: each level of each tree would wait for one task."""
+    from ratecraft.operators import train
+    monkeypatch.setattr(train, "MOST_ROWS", 6_000)
+    monkeypatch.setattr(train, "LEAST_ROWS", 1_000)
+    cores = spark.sparkContext.defaultParallelism
+    for n in (6_000 * cores + 1, 30_000, 6_000 * cores, 100):
+        got = [r["count"] for r in train.spread(spark.range(n).coalesce(1), n).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(got) == n and max(got) <= 6_000
+        assert len(got) % cores == 0 if n >= 1_000 * cores else len(got) == 1
