@@ -3,11 +3,6 @@ totals over a global order, and new columns made batch by batch."""
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-from pathlib import Path
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from ..plans.materialize import materialize
-from ..session import open_store, scratch_path
+from ..session import open_store, scratch_path, ship
 
 # A word is a run of characters other than these six (space, \t \n \v \f \r);
 # bytes.split() without arguments cuts UTF-8 at exactly them.
@@ -29,20 +24,6 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name=name)
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per application,
-    unless their PYTHONPATH has it already."""
-    root, app = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
-    if app in _SHIPPED or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
-    name = Path(__file__).resolve().parents[1].name
-    spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{name}", "zip", root, name))
-    _SHIPPED.add(app)
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
